@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning",)
+MODULES = ("cleaning", "along", "contacts")
 
 
 def load() -> tuple[dict, dict]:

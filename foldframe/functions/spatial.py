@@ -40,3 +40,28 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float
          .select(*keys, "r", (F.col("_hx") + F.col("_dx")).alias("_gx"), (F.col("_hy") + F.col("_dy")).alias("_gy"),
                  (F.col("_hz") + F.col("_dz")).alias("_gz")))
     return a.join(b, [*keys, "_gx", "_gy", "_gz"]).where(on).select(*keys, "l", "r")
+
+
+HALF_SHELL = [(0, 0, 0)] + [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
+
+
+def near_self_pairs(rows: DataFrame, keys: list[str], order: list[str], radius: float, on: Column) -> DataFrame:
+    """Unordered pairs of one group within ``radius``, each met once, with ``l`` before ``r`` in ``order``.
+
+    Half of the neighbouring cells suffice for a self-join: the right side is repeated into its own cell and thirteen
+    others. ``on`` may use d (the distance), l and r.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius).cast("int")
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    a = rows.select(*keys, whole.alias("a"), cell("x").alias("_gx"), cell("y").alias("_gy"), cell("z").alias("_gz"))
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x, y, z in HALF_SHELL])
+    b = rows.select(*keys, whole.alias("b"), F.explode(steps).alias("_s"))
+    cell_b = lambda c: F.floor(F.col(f"b.{c}") / radius).cast("int")
+    b = b.select(*keys, "b", ((F.col("_s.x") == 0) & (F.col("_s.y") == 0) & (F.col("_s.z") == 0)).alias("_same"),
+                 *[(cell_b(c) + F.col(f"_s.{c}")).alias(f"_g{c}") for c in "xyz"])
+    before = F.struct(*[F.col(f"a.{c}") for c in order]) < F.struct(*[F.col(f"b.{c}") for c in order])
+    dx, dy, dz = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
+    met = (a.join(b, [*keys, "_gx", "_gy", "_gz"]).where(~F.col("_same") | before)
+           .withColumn("d", F.sqrt(dx * dx + dy * dy + dz * dz)).where(F.col("d") < radius))
+    return (met.select(*keys, "d", F.when(before, F.col("a")).otherwise(F.col("b")).alias("l"),
+                       F.when(before, F.col("b")).otherwise(F.col("a")).alias("r")).where(on))

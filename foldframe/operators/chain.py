@@ -41,9 +41,9 @@ def ss_runs(residues: DataFrame, state: str = "ss") -> DataFrame:
 def cut_mask(residues: DataFrame, limit: int = K.SS_LIMIT, stale_start: bool = False) -> DataFrame:
     """Whether the chain may be cut before each position.
 
-    A helix or strand run from ``start`` to ``stop`` (first position after it) with 0 < stop - start <= limit is closed on
-    [start, stop). A run still open at the chain end does not count. With ``stale_start`` a direct change from helix to
-    strand (or back) keeps the earlier start.
+    A helix or strand run from ``start`` to ``end`` with 0 < end - start <= limit is closed on [start, end). A run still
+    open at the chain end does not count. With ``stale_start`` a direct change from helix to strand (or back) keeps the
+    earlier start.
     """
     coded = residues.select("ck", "idx", codes.ss_cut(F.col("ss")).alias("code"))
     runs = ss_runs(coded, "code")
@@ -54,8 +54,8 @@ def cut_mask(residues: DataFrame, limit: int = K.SS_LIMIT, stale_start: bool = F
         runs = runs.withColumn("start", F.min("start").over(W.partitionBy("ck", "_g")))
     last = F.max("end").over(W.partitionBy("ck"))
     closed = (runs.withColumn("_last", last).where((F.col("code") > 0) & (F.col("end") < F.col("_last"))
-                                                   & (F.col("end") + 1 - F.col("start") <= limit))
-              .select("ck", F.explode(F.sequence("start", "end")).alias("idx")).distinct().withColumn("_x", F.lit(True)))
+                                                   & (F.col("end") - F.col("start")).between(1, limit))
+              .select("ck", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx")).distinct().withColumn("_x", F.lit(True)))
     return (residues.select("ck", "idx").join(closed, ["ck", "idx"], "left")
             .select("ck", "idx", F.col("_x").isNull().alias("cuttable")))
 

@@ -59,7 +59,7 @@ def main() -> None:
 
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, queries = connect(sf_dir), entry.oracle_sql(), entry.queries()
     for name in sys.argv[2:] or list(queries):
