@@ -16,11 +16,8 @@ register_view("fx_con", ("fx_res",), """select a.ck, a.idx as i, b.idx as j, 1e0
   + (a.z-b.z)*(a.z-b.z)) - 6e0) / 1.5e0)) as p from fx_res a join fx_res b on a.ck = b.ck""")
 register_view("fx_pre", ("fx_con",), """select ck, i, j, sum(t) over (partition by ck, j order by i) as c from
   (select ck, i, j, sum(p) over (partition by ck, i order by j) as t from fx_con) s""")
-register_view("fx_blk", ("fx_pre",), """select d.ck, d.i, e.j, e2.c - coalesce(b.c, 0) - coalesce(g.c, 0) + coalesce(f.c, 0) as d
-  from (select ck, i from fx_pre where i = j) d join (select ck, j from fx_pre where i = j) e on d.ck = e.ck and d.i <= e.j
-  join fx_pre e2 on e2.ck = d.ck and e2.i = e.j and e2.j = e.j
-  left join fx_pre b on b.ck = d.ck and b.i = d.i - 1 and b.j = e.j left join fx_pre g on g.ck = d.ck and g.i = e.j and g.j = d.i - 1
-  left join fx_pre f on f.ck = d.ck and f.i = d.i - 1 and f.j = d.i - 1""")
+register_view("fx_blk", ("fx_con",), """select ck, i, j, sum(2e0 * u - 1e0 / (1e0 + exp(-4e0))) over (partition by ck, i order by j) as d from
+  (select ck, i, j, sum(p) over (partition by ck, j order by i desc) as u from fx_con where i <= j) t""")
 register_view("fx_seg", ("fx_res",), """select ck, 0 as seg, min(idx) as s, max(idx) as e from fx_res group by ck
   union all select ck, case when idx < 84 then 1 else 2 end, min(idx), max(idx) from fx_res group by ck, case when idx < 84 then 1 else 2 end""")
 register_view("fx_pum", ("fx_con", "fx_pu"), """select c.ck, a.pu as a, b.pu as b, sum(c.p) as s from fx_con c join fx_pu a on a.ck = c.ck and c.i between a.s and a.e
@@ -51,23 +48,26 @@ def _(q: Input):
     return CT.prefix_sums(CT.contact_probability(residues(q))).where("i <= j").select("ck", "i", "j", F.round("c", 6).alias("c"))
 
 
-@query("best_single_cut", "fx_blk fx_seg fx_mask", """with c as (select g.ck, g.seg, m.idx - 1 as i, a.d as a, b.d as b, (t.d - a.d - b.d) / 2 as c
-   from fx_seg g join fx_mask m on m.ck = g.ck and m.cuttable and m.idx - 1 - g.s >= 30 and g.e - (m.idx - 1) >= 30
-   join fx_blk a on a.ck = g.ck and a.i = g.s and a.j = m.idx - 1 join fx_blk b on b.ck = g.ck and b.i = m.idx and b.j = g.e
-   join fx_blk t on t.ck = g.ck and t.i = g.s and t.j = g.e),
+@query("best_single_cut", "fx_blk fx_seg fx_mask", """with m as materialized (select g.ck, g.seg, g.s, g.e, m.idx - 1 as i
+   from fx_seg g join fx_mask m on m.ck = g.ck where m.cuttable and m.idx - 1 - g.s >= 30 and g.e - (m.idx - 1) >= 30),
+ ma as materialized (select g.*, a.d as a from m g join fx_blk a on a.ck = g.ck and a.i = g.s and a.j = g.i),
+ mb as materialized (select g.*, b.d as b from ma g join fx_blk b on b.ck = g.ck and b.i = g.i + 1 and b.j = g.e),
+ c as (select g.*, (t.d - a - b) / 2 as c from mb g join fx_blk t on t.ck = g.ck and t.i = g.s and t.j = g.e),
  v as (select *, round((a*b - c*c) / ((a+c)*(b+c)), 9) as score from c where (a+c)*(b+c) <> 0)
  select ck, seg, round(score, 6) as score, i from (select *, row_number() over (partition by ck, seg order by score desc, i) as k from v where score > 0) t where k = 1""")
 def _(q: Input):
     return CU.best_single_cut(chains(q), segments(q)).select("ck", "seg", F.round("score", 6).alias("score"), "i")
 
 
-@query("best_double_cut", "fx_blk fx_seg fx_mask", """with c as (select g.ck, g.seg, m.idx - 1 as i, n.idx - 1 as j, d.d as a,
-     (l2.d - l1.d - d.d + r1.d - d.d - r2.d) / 2 as c, t.d as t
-   from fx_seg g join fx_mask m on m.ck = g.ck and m.cuttable and m.idx - 1 >= g.s + 29 and m.idx - 1 < g.e - 30 and m.idx - 1 + 60 < g.e - 15
-   join fx_mask n on n.ck = g.ck and n.cuttable and n.idx - 1 >= m.idx - 1 + 30 and n.idx - 1 <= g.e - 15
-   join fx_blk d on d.ck = g.ck and d.i = m.idx and d.j = n.idx - 1 join fx_blk l1 on l1.ck = g.ck and l1.i = g.s and l1.j = m.idx - 1
-   join fx_blk l2 on l2.ck = g.ck and l2.i = g.s and l2.j = n.idx - 1 join fx_blk r1 on r1.ck = g.ck and r1.i = m.idx and r1.j = g.e
-   join fx_blk r2 on r2.ck = g.ck and r2.i = n.idx and r2.j = g.e join fx_blk t on t.ck = g.ck and t.i = g.s and t.j = g.e),
+@query("best_double_cut", "fx_blk fx_seg fx_mask", """with m as materialized (select g.ck, g.seg, g.s, g.e, m.idx - 1 as i
+   from fx_seg g join fx_mask m on m.ck = g.ck where m.cuttable and m.idx - 1 >= g.s + 29 and m.idx - 1 < g.e - 30 and m.idx - 1 + 60 < g.e - 15),
+ n as materialized (select m.*, n.idx - 1 as j from m join fx_mask n on n.ck = m.ck where n.cuttable and n.idx - 1 >= m.i + 30 and n.idx - 1 <= m.e - 15),
+ n1 as materialized (select g.*, x.d as a from n g join fx_blk x on x.ck = g.ck and x.i = g.i + 1 and x.j = g.j),
+ n2 as materialized (select g.*, x.d as l1 from n1 g join fx_blk x on x.ck = g.ck and x.i = g.s and x.j = g.i),
+ n3 as materialized (select g.*, x.d as l2 from n2 g join fx_blk x on x.ck = g.ck and x.i = g.s and x.j = g.j),
+ n4 as materialized (select g.*, x.d as r1 from n3 g join fx_blk x on x.ck = g.ck and x.i = g.i + 1 and x.j = g.e),
+ n5 as materialized (select g.*, x.d as r2 from n4 g join fx_blk x on x.ck = g.ck and x.i = g.j + 1 and x.j = g.e),
+ c as (select g.*, x.d as t, (l2 - l1 - a + r1 - a - r2) / 2 as c from n5 g join fx_blk x on x.ck = g.ck and x.i = g.s and x.j = g.e),
  v as (select *, round((a*(t-a-2*c) - c*c) / ((a+c)*(t-a-c)), 9) as score from c where (a+c)*(t-a-c) <> 0)
  select ck, seg, round(score, 6) as score, i, j from (select *, row_number() over (partition by ck, seg order by score desc, i, j) as k from v where score > 0) t where k = 1""")
 def _(q: Input):

@@ -6,13 +6,16 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from foldframe import constants as K
 from foldframe.functions import codes
 from foldframe.functions import geometry as G
 
-ALONG = W.partitionBy("ck").orderBy("idx")
+def along() -> WindowSpec:
+    """Residues of a chain in index order."""
+    return W.partitionBy("ck").orderBy("idx")
 
 
 def chain_string(residues: DataFrame, char: Column, name: str) -> DataFrame:
@@ -33,8 +36,8 @@ def ss_reduce(residues: DataFrame) -> DataFrame:
 
 def ss_runs(residues: DataFrame, state: str = "ss") -> DataFrame:
     """Maximal runs of equal state: ck, state, start, end."""
-    starts = residues.withColumn("_n", F.coalesce((F.lag(state).over(ALONG) != F.col(state)).cast("int"), F.lit(0)))
-    runs = starts.withColumn("_r", F.sum("_n").over(ALONG.rowsBetween(W.unboundedPreceding, 0)))
+    starts = residues.withColumn("_n", F.coalesce((F.lag(state).over(along()) != F.col(state)).cast("int"), F.lit(0)))
+    runs = starts.withColumn("_r", F.sum("_n").over(along().rowsBetween(W.unboundedPreceding, 0)))
     return runs.groupBy("ck", "_r", state).agg(F.min("idx").alias("start"), F.max("idx").alias("end")).drop("_r")
 
 
@@ -62,8 +65,8 @@ def cut_mask(residues: DataFrame, limit: int = K.SS_LIMIT, stale_start: bool = F
 
 def ca_steps(residues: DataFrame, min_d: float = 3.7, max_d: float = 3.9, cis_d: float = 3.6) -> DataFrame:
     """Distance from the CA before and its verdict: 0 regular, 1 cis, 2 outside the limits."""
-    d = G.distance(F.lag("ca").over(ALONG), F.col("ca"))
-    omega = G.dihedral(F.lag("ca").over(ALONG), F.lag("c").over(ALONG), F.col("n"), F.col("ca"))
+    d = G.distance(F.lag("ca").over(along()), F.col("ca"))
+    omega = G.dihedral(F.lag("ca").over(along()), F.lag("c").over(along()), F.col("n"), F.col("ca"))
     steps = residues.select("ck", "idx", "auth_num", "aa", d.alias("d"), omega.alias("omega"))
     cis = (F.col("d") < cis_d) | ((F.col("d") < min_d) & (F.abs("omega") < 20))
     bad = (F.col("d") > max_d) | ((F.col("d") < min_d) & ~cis)
@@ -83,7 +86,7 @@ def ca_trace_check(residues: DataFrame, min_d: float = 3.7, max_d: float = 3.9,
 
 def peptide_bond_check(residues: DataFrame, poor: float = 1.5, bad: float = 3.0) -> DataFrame:
     """Worst C-N bond of a chain: Ok, Poor or Bad."""
-    d = G.distance(F.lag("c").over(ALONG), F.col("n"))
+    d = G.distance(F.lag("c").over(along()), F.col("n"))
     level = F.when(d > bad, 2).when(d > poor, 1).otherwise(0)
     return (residues.select("ck", level.alias("level")).groupBy("ck").agg(F.max("level").alias("level"))
             .select("ck", F.when(F.col("level") == 2, "Bad").when(F.col("level") == 1, "Poor").otherwise("Ok").alias("geometry")))
@@ -91,11 +94,11 @@ def peptide_bond_check(residues: DataFrame, poor: float = 1.5, bad: float = 3.0)
 
 def with_fragments(residues: DataFrame, max_cn: float = 1.7, max_ca: float = 4.1, ca_only: bool = False) -> DataFrame:
     """Add ``frag``: 0-based number of the unbroken stretch a residue belongs to."""
-    step = G.distance(F.lag("ca").over(ALONG), F.col("ca")) > max_ca if ca_only else G.distance(F.lag("c").over(ALONG), F.col("n")) > max_cn
-    present = F.lag("idx").over(ALONG).isNotNull()
+    step = G.distance(F.lag("ca").over(along()), F.col("ca")) > max_ca if ca_only else G.distance(F.lag("c").over(along()), F.col("n")) > max_cn
+    present = F.lag("idx").over(along()).isNotNull()
     broken = F.when(present, F.coalesce(step, F.lit(True))).otherwise(F.lit(False))
     marked = residues.withColumn("_b", broken.cast("int"))
-    return marked.withColumn("frag", F.sum("_b").over(ALONG.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_b")
+    return marked.withColumn("frag", F.sum("_b").over(along().rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_b")
 
 
 def chain_fragments(residues: DataFrame, max_cn: float = 1.7, max_ca: float = 4.1, ca_only: bool = False) -> DataFrame:
@@ -107,7 +110,7 @@ def chain_fragments(residues: DataFrame, max_cn: float = 1.7, max_ca: float = 4.
 
 def backbone_torsions(residues: DataFrame, undefined: float = 360.0, max_cn: float = 2.0) -> DataFrame:
     """phi, psi and omega in degrees; ``undefined`` where the neighbour is missing or not bonded."""
-    prev, nxt = lambda c: F.lag(c).over(ALONG), lambda c: F.lead(c).over(ALONG)
+    prev, nxt = lambda c: F.lag(c).over(along()), lambda c: F.lead(c).over(along())
     bonded_prev = G.distance(prev("c"), F.col("n")) <= max_cn
     bonded_next = G.distance(F.col("c"), nxt("n")) <= max_cn
     val = lambda ok, t: F.when(ok, t).otherwise(F.lit(undefined))
@@ -123,7 +126,7 @@ def ca_virtual_angles(residues: DataFrame) -> DataFrame:
     ``residues`` carries ``frag``. alpha: torsion of CA i-1..i+2; kappa: angle between CA i-2 to i and i to i+2;
     tco: cosine between this and the previous C=O.
     """
-    at = lambda c, k: (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(ALONG)
+    at = lambda c, k: (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(along())
     same = lambda a, b: F.coalesce(at("frag", a) == at("frag", b) if a and b else at("frag", a or b) == F.col("frag"), F.lit(False))
     alpha = F.when(same(-1, 2), G.dihedral(at("ca", -1), F.col("ca"), at("ca", 1), at("ca", 2))).otherwise(F.lit(360.0))
     ck = G.cos_angle(G.sub(F.col("ca"), at("ca", -2)), G.sub(at("ca", 2), F.col("ca")))
@@ -157,7 +160,7 @@ def codes_map(defs: dict[str, list[list[str]]]) -> Column:
 
 def ca_tetrad_descriptor(residues: DataFrame) -> DataFrame:
     """Seven numbers for four consecutive CA: d13, d14, d24, signed height, d12, d23, d34."""
-    p = [F.col("ca")] + [F.lead("ca", k).over(ALONG) for k in (1, 2, 3)]
+    p = [F.col("ca")] + [F.lead("ca", k).over(along()) for k in (1, 2, 3)]
     rows = residues.select("ck", "idx", *[c.alias(f"p{k}") for k, c in enumerate(p)]).where("p3 is not null")
     c = [F.col(f"p{k}") for k in range(4)]
     return rows.select("ck", "idx", G.distance(c[0], c[2]).alias("d13"), G.distance(c[0], c[3]).alias("d14"), G.distance(c[1], c[3]).alias("d24"),
@@ -168,7 +171,7 @@ def ca_tetrad_descriptor(residues: DataFrame) -> DataFrame:
 def window_energy(energies: DataFrame, size: int) -> DataFrame:
     """Mean residue energy in a centred window; only full windows are kept. Input: ck, idx, e."""
     before, after = math.ceil(size / 2) - 1, size // 2
-    w = ALONG.rowsBetween(-before, after)
+    w = along().rowsBetween(-before, after)
     return (energies.select("ck", "idx", F.avg("e").over(w).alias("mean_e"), F.count("e").over(w).alias("_n"))
             .where(F.col("_n") == size).drop("_n"))
 

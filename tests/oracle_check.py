@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -38,9 +40,15 @@ SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VAR
 
 
 def compare(df, con, sql: str) -> str:
+    t = time.time()
     got_rows = [tuple(r) for r in df.collect()]
+    t1 = time.time()
+    timer = threading.Timer(float(os.environ.get("SQL_LIMIT", "60")), con.interrupt)
+    timer.start()
     rel = con.sql(sql)
     want_rows = rel.fetchall()
+    timer.cancel()
+    print(f"   spark {t1 - t:.1f}s sql {time.time() - t1:.1f}s", end=" ")
     gt, wt = dict(df.dtypes), dict(zip(rel.columns, [str(t) for t in rel.types], strict=True))
     if sorted(gt) != sorted(wt):
         return f"columns differ: {sorted(gt)} / {sorted(wt)}"
