@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "along", "contacts")
+MODULES = ("cleaning", "along", "contacts", "potential")
 
 
 def load() -> tuple[dict, dict]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldframe.session import spread
+
 TILE = 256
 
 
@@ -20,7 +22,8 @@ def tiled_pairs(rows: DataFrame, keys: list[str], order: str, tile: int = TILE)
     last = F.floor(F.col("_last") / tile).cast("int")
     left = based.select(*keys, F.col("_b").alias("_bl"), F.explode(F.sequence(F.col("_b"), last)).alias("_br"), whole.alias("l"))
     right = based.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_bl"), F.col("_b").alias("_br"), whole.alias("r"))
-    return (left.join(right, [*keys, "_bl", "_br"]).where(F.col(f"l.{order}") <= F.col(f"r.{order}"))
+    on = [*keys, "_bl", "_br"]
+    return (spread(left, *on).join(spread(right, *on), on).where(F.col(f"l.{order}") <= F.col(f"r.{order}"))
             .select(*keys, "l", "r"))
 
 
@@ -39,7 +42,8 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius: float
     b = (b.withColumn("_dx", F.explode(shift)).withColumn("_dy", F.explode(shift)).withColumn("_dz", F.explode(shift))
          .select(*keys, "r", (F.col("_hx") + F.col("_dx")).alias("_gx"), (F.col("_hy") + F.col("_dy")).alias("_gy"),
                  (F.col("_hz") + F.col("_dz")).alias("_gz")))
-    return a.join(b, [*keys, "_gx", "_gy", "_gz"]).where(on).select(*keys, "l", "r")
+    cells = [*keys, "_gx", "_gy", "_gz"]
+    return spread(a, *cells).join(spread(b, *cells), cells).where(on).select(*keys, "l", "r")
 
 
 HALF_SHELL = [(0, 0, 0)] + [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
@@ -61,7 +65,8 @@ def near_self_pairs(rows: DataFrame, keys: list[str], order: list[str], radius:
                  *[(cell_b(c) + F.col(f"_s.{c}")).alias(f"_g{c}") for c in "xyz"])
     before = F.struct(*[F.col(f"a.{c}") for c in order]) < F.struct(*[F.col(f"b.{c}") for c in order])
     dx, dy, dz = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
-    met = (a.join(b, [*keys, "_gx", "_gy", "_gz"]).where(~F.col("_same") | before)
+    cells = [*keys, "_gx", "_gy", "_gz"]
+    met = (spread(a, *cells).join(spread(b, *cells), cells).where(~F.col("_same") | before)
            .withColumn("d", F.sqrt(dx * dx + dy * dy + dz * dz)).where(F.col("d") < radius))
     return (met.select(*keys, "d", F.when(before, F.col("a")).otherwise(F.col("b")).alias("l"),
                        F.when(before, F.col("b")).otherwise(F.col("a")).alias("r")).where(on))

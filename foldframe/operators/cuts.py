@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foldframe import constants as K
 from foldframe.operators import contacts as CT
+from foldframe.session import spread
 
 ROWS = 256
 Cut = tuple[float, int, int]  # score, first cut, second cut (-1: none); a cut lies after its position
@@ -108,7 +109,7 @@ def unit_levels(xyz: np.ndarray, ok: np.ndarray, limit: int, levels: int, max_si
 
 def packed_chains(residues: DataFrame) -> DataFrame:
     """One row per chain with its CA coordinates and cut mask as arrays in index order. Input: ck, idx, ca, cuttable."""
-    rows = residues.groupBy("ck").agg(F.array_sort(F.collect_list(F.struct("idx", "ca.x", "ca.y", "ca.z", "cuttable"))).alias("_r"))
+    rows = spread(residues, "ck").groupBy("ck").agg(F.array_sort(F.collect_list(F.struct("idx", "ca.x", "ca.y", "ca.z", "cuttable"))).alias("_r"))
     return rows.select("ck", *[F.col(f"_r.{c}").alias(c) for c in ("x", "y", "z", "cuttable")])
 
 
