@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "along", "contacts", "potential")
+MODULES = ("cleaning", "along", "contacts", "potential", "domains")
 
 
 def load() -> tuple[dict, dict]:
