@@ -2,10 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foldframe.functions import codes
+
+# Fixed value: layout of a coordinate record.
+ATOM_FORMAT = "%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s"
+
+
+def atom_line() -> Column:
+    """Fixed-width coordinate record of an atom row."""
+    name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), "atom_name")).otherwise(F.col("atom_name"))
+    return F.format_string(ATOM_FORMAT, "record", "serial", name, "alt_loc", "res_name", "chain", "res_num", "icode", "x", "y", "z", "occ", "bfac", "element")
+
+
+def structure_text(atoms: DataFrame) -> DataFrame:
+    """Lines of coordinate files with MODEL and ENDMDL: structure_id, model, pos, value."""
+    w = W.partitionBy("structure_id", "model").orderBy("serial")
+    head = F.when(F.lag("serial").over(w).isNull(), F.format_string("MODEL     %4d", "model"))
+    tail = F.when(F.lead("serial").over(w).isNull(), F.lit("ENDMDL"))
+    return atoms.select("structure_id", "model", F.col("serial").alias("pos"), F.concat_ws("\n", head, atom_line(), tail).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str, key: str, order: list[str], **options: str) -> None:
+    """One text file per ``key`` value with its lines (column value) in ``order``."""
+    (lines.repartition(key).sortWithinPartitions(key, *order).select(key, "value").write.options(**options).partitionBy(key).text(path))
+
+
+def write_cleaned_structure(atoms: DataFrame, path: str, **options: str) -> None:
+    """Coordinate files, one per structure."""
+    write_lines(structure_text(atoms), path, "structure_id", ["model", "pos"], **options)
+
+
+def mmcif_text(atoms: DataFrame) -> DataFrame:
+    """Lines of mmCIF files with the atom loop only: structure_id, pos, value."""
+    items = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "auth_asym_id", "auth_seq_id", "pdbx_PDB_ins_code",
+             "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "pdbx_PDB_model_num"]
+    blank = lambda c: F.when(F.col(c) == " ", ".").otherwise(F.col(c))
+    row = F.format_string("%s %d %s %s %s %s %s %d %s %.3f %.3f %.3f %.2f %.2f %d", "record", "serial", "element", "atom_name", blank("alt_loc"), "res_name",
+                          "chain", "res_num", blank("icode"), "x", "y", "z", "occ", "bfac", "model")
+    body = atoms.select("structure_id", F.concat_ws("_", F.lpad(F.col("model").cast("string"), 6, "0"), F.lpad(F.col("serial").cast("string"), 9, "0")).alias("pos"), row.alias("value"))
+    head = F.concat_ws("\n", F.concat(F.lit("data_"), "structure_id"), F.lit("#\nloop_"), *[F.lit(f"_atom_site.{i}") for i in items])
+    ids = atoms.select("structure_id").distinct()
+    return body.unionByName(ids.select("structure_id", F.lit("0").alias("pos"), head.alias("value"))).unionByName(
+        ids.select("structure_id", F.lit("~").alias("pos"), F.lit("#").alias("value")))
+
+
+def contact_matrix_rows(contacts: DataFrame) -> DataFrame:
+    """Dense matrix rows as text, five decimals: ck, i, value. Input: both triangles (ck, i, j, p)."""
+    cells = F.array_sort(F.collect_list(F.struct("j", F.format_string("%7.5f", "p").alias("t"))))
+    return contacts.groupBy("ck", "i").agg(F.array_join(F.transform(cells, lambda s: s["t"]), " ").alias("value"))
+
+
+def write_contact_matrix(contacts: DataFrame, path: str) -> None:
+    """Dense matrix text, one file per chain."""
+    write_lines(contact_matrix_rows(contacts), path, "ck", ["i"])
+
 
 def write_pair_table(pair_energies: DataFrame, path: str) -> None:
     """Tab-separated energy, distance, pair and residue ids."""
     pair_energies.select("e", "d", "pair", F.concat_ws("-", "resl", "resr").alias("residues")).write.option("sep", "\t").csv(path)
+
+
+def write_potential_set(potentials: DataFrame, path: str, width: float = 0.1, bins: int = 150, **parameters: object) -> None:
+    """Energies (one text file per pair), bin centres and parameters below ``path``."""
+    spark = potentials.sparkSession
+    lines = potentials.select("pair", "bin", F.col("e").cast("string").alias("value"))
+    write_lines(lines, f"{path}/energies", "pair", ["bin"])
+    spark.range(0, bins, 1, 1).select(F.format_string("%.4f", (F.col("id") + 0.5) * width).alias("value")).write.text(f"{path}/xvector")
+    values = F.array(*[F.lit(f"{k.upper()}={v}") for k, v in parameters.items()])
+    spark.range(0, 1, 1, 1).select(F.explode(values).alias("value")).write.text(f"{path}/parameters")
+
+
+def fasta(sequences: DataFrame, name: str = "ck", width: int = 80) -> DataFrame:
+    """FASTA text per sequence, wrapped: name, value. Input: name column and seq."""
+    body = F.regexp_replace(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), "\n$", "")
+    return sequences.select(name, F.concat(F.lit(">"), name, F.lit("\n"), body).alias("value"))
+
+
+def write_fasta(sequences: DataFrame, path: str, name: str = "ck") -> None:
+    """FASTA records as text files."""
+    fasta(sequences, name).select("value").write.text(path)
+
+
+def ss_records(runs: DataFrame, residues: DataFrame) -> DataFrame:
+    """HELIX and SHEET records of runs (ck, ss, start, end): ck, kind, number, value. ``residues``: ck, idx, auth_num, aa, chain."""
+    end = lambda p: residues.select("ck", F.col("idx").alias(p), codes.three_letter(F.col("aa")).alias(f"n_{p}"), F.col("auth_num").alias(f"a_{p}"), F.col("chain").alias(f"c_{p}"))
+    kind = F.when(F.col("ss").isin("H", "G", "I"), "HELIX").when(F.col("ss") == "E", "SHEET")
+    rows = runs.withColumn("kind", kind).where("kind is not null").join(end("start"), ["ck", "start"]).join(end("end"), ["ck", "end"])
+    rows = rows.withColumn("number", F.row_number().over(W.partitionBy("ck", "kind").orderBy("start")))
+    shape = F.when(F.col("ss") == "H", 1).when(F.col("ss") == "G", 5).when(F.col("ss") == "I", 3)
+    helix = F.format_string("HELIX  %3d %3d %3s %1s %4d  %3s %1s %4d %2d%36d", "number", "number", "n_start", "c_start", "a_start", "n_end", "c_end", "a_end",
+                            F.coalesce(shape, F.lit(1)), F.col("end") - F.col("start") + 1)
+    sheet = F.format_string("SHEET  %3d %3s%2d %3s %1s%4d  %3s %1s%4d  %2d", "number", F.lit("A"), F.lit(1), "n_start", "c_start", "a_start", "n_end", "c_end", "a_end", F.lit(0))
+    return rows.select("ck", "kind", "number", F.when(F.col("kind") == "HELIX", helix).otherwise(sheet).alias("value"))
+
+
+def fragment_slices(residues: DataFrame, levels: DataFrame) -> DataFrame:
+    """Sequence and secondary-structure slice of every unit of every level (ck, level, ord, start, end)."""
+    at = levels.select("ck", "level", "ord", "start", "end", F.explode(F.sequence("start", "end")).alias("idx")).join(residues.select("ck", "idx", "aa", "ss"), ["ck", "idx"])
+    rows = F.array_sort(F.collect_list(F.struct("idx", "aa", "ss")))
+    text = lambda c: F.array_join(F.transform(rows, lambda s: s[c]), "")
+    return at.groupBy("ck", "level", "ord", "start", "end").agg(text("aa").alias("seq"), text("ss").alias("ss"))
+
+
+def slice_atoms(atoms: DataFrame, levels: DataFrame) -> DataFrame:
+    """Atom rows of every unit of every level."""
+    at = levels.select("ck", "level", "ord", F.explode(F.sequence("start", "end")).alias("idx"))
+    return atoms.join(at, ["ck", "idx"])
