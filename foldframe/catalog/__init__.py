@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "along", "contacts", "potential", "domains", "secondary", "checks", "files")
+MODULES = ("cleaning", "along", "contacts", "potential", "domains", "secondary", "checks", "files", "flagship")
 
 
 def load() -> tuple[dict, dict]:

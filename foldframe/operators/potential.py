@@ -294,10 +294,12 @@ def decoy_stats(codes: np.ndarray, l: np.ndarray, r: np.ndarray, k: np.ndarray,
     if seqs is None:
         return None
     upper = np.minimum(k + 1, cube.shape[2] - 1)
-    at_pair = (cube[:, :, k] * (1 - frac) + cube[:, :, upper] * frac).reshape(441, -1)
-    cols = np.arange(len(l))
-    step = max(1, 2_000_000 // max(1, len(l)))
-    e = np.concatenate([at_pair[s[:, l] * 21 + s[:, r], cols].sum(axis=1) for s in (seqs[x:x + step] for x in range(0, n, step))])
+    at_pair = np.ascontiguousarray((cube[:, :, k] * (1 - frac) + cube[:, :, upper] * frac).reshape(441, -1).T)
+    by_position = np.ascontiguousarray(seqs.T)
+    rows = by_position * 21
+    e = np.zeros(n)
+    for p in range(len(l)):  # one lookup of all decoys per residue pair stays in cache
+        e += at_pair[p].take(rows[l[p]] + by_position[r[p]])
     return float(e.mean()), float(e.std())
 
 

@@ -105,6 +105,10 @@ def pick_alternatives(measures: DataFrame, matrix: DataFrame, levels: int = 3, p
     w = W.partitionBy("ck", "n").orderBy(F.desc(F.round("kappa", 9)), "doms")
     near = with_quality(measures).join(pred, "ck").where((F.col("n") == 1) | (F.col("distance") < K.ALT_MAX_DISTANCE))
     near = near.where(F.abs(F.col("n") - F.col("n_pred")) <= levels)
+    # a chain whose partitions at n_pred are all too far keeps its densest one as optimum
+    lost = pred.join(near.where("n = n_pred").select("ck").distinct(), "ck", "left_anti")
+    spare = with_quality(measures).join(lost, "ck").where("n = n_pred").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    near = near.unionByName(spare.select(*near.columns))
     left = written(near.withColumn("rn", F.row_number().over(w)), "ranked")
     chosen = left.where("rn = 1")
     for step in range(1, per_level):
