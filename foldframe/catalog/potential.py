@@ -142,7 +142,7 @@ def _(q: Input):
 
 @query("decoy_zscore")
 def _(q: Input):
-    members = q.fx_res.select("ck", F.lit("chain").alias("subset"), "res_num")
+    members = q.fx_res.select("ck", F.concat(F.lit("whole "), "ck").alias("subset"), "res_num")
     z = P.decoy_zscore(scored(q), q.fx_res, members, trained(q))
     return z.select("ck", "subset", *[r(c, 4).alias(c) for c in ("e", "mean", "sd", "z")], P.aul_percent(F.col("z")).alias("aul"))
 

@@ -313,7 +313,8 @@ def decoy_zscore(pair_energies: DataFrame, residues: DataFrame, members: DataFra
     """
     cube = residues.sparkSession.sparkContext.broadcast(energy_cube(potentials, bins=bins))
     pos = W.partitionBy("ck", "subset").orderBy("res_num")
-    listed = members.join(residues.select("ck", "res_num", "aa"), ["ck", "res_num"]).withColumn("p", (F.row_number().over(pos) - 1).cast("int"))
+    at = spread(members.join(residues.select("ck", "res_num", "aa"), ["ck", "res_num"]), "ck", "subset")
+    listed = at.withColumn("p", (F.row_number().over(pos) - 1).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct("p", "aa")))
     seqs = listed.groupBy("ck", "subset").agg(F.array_join(F.transform(rows, lambda s: s["aa"]), "").alias("seq"))
     k, frac = bin_position(F.col("d"), width, bins)
@@ -322,7 +323,7 @@ def decoy_zscore(pair_energies: DataFrame, residues: DataFrame, members: DataFra
     inside = pair_energies.join(left, ["ckl", "numl"]).join(right, ["ckr", "numr", "subset"])
     packed = inside.groupBy(F.col("ckl").alias("ck"), "subset").agg(
         F.array_sort(F.collect_list(F.struct("l", "r", k.alias("k"), frac.alias("f")))).alias("q"), F.sum("e").alias("e"))
-    ready = (spread(seqs, "ck", "subset").join(packed, ["ck", "subset"], "left")
+    ready = (seqs.join(packed, ["ck", "subset"], "left")
              .select("ck", "subset", "seq", F.col("q.l").alias("l"), F.col("q.r").alias("r"), F.col("q.k").alias("k"), F.col("q.f").alias("f"),
                      F.coalesce("e", F.lit(0.0)).alias("e")))
 
