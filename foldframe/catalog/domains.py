@@ -14,6 +14,7 @@ from foldframe.operators import chain as CH
 from foldframe.operators import merge as M
 from foldframe.operators import quality as QU
 from foldframe.plans.fixtures import register_view
+from foldframe.session import written
 
 X, Y = f"((max_cr - {K.QX_MIN}e0) / {K.QX_SPAN}e0)", f"((min_density - {K.QY_MIN}e0) / {K.QY_SPAN}e0)"
 DD, HH, VV = f"(abs({K.QM}e0 * {X} - {Y} + {K.QQ}e0) / sqrt(1 + {K.QM}e0 * {K.QM}e0))", f"abs({Y} - {K.QH}e0)", f"abs({X} - {K.QV}e0)"
@@ -42,7 +43,7 @@ register_view("fx_assign", ("fx_meas",), f"select *, case when n > 1 then {STARS
 
 def matrix(q: Input):
     pu = q.fx_pu.select("ck", F.col("pu").cast("int").alias("pu"), F.col("s").alias("start"), F.col("e").alias("end"))
-    return M.unit_matrix(CT.pu_contacts(units(q)), pu)
+    return written(M.unit_matrix(CT.pu_contacts(units(q)), pu), "matrix")
 
 
 def partitions(mat):

@@ -18,7 +18,7 @@ from foldframe.operators import potential as P
 from foldframe.operators import quality as QU
 from foldframe.operators import report as R
 from foldframe.plans.fixtures import THREE, register_view
-from foldframe.session import scratch_path, written
+from foldframe.session import scratch_path
 from foldframe.sources import structures as S
 from foldframe.sources import writers as WR
 
@@ -78,7 +78,8 @@ def _(q: Input):
     path = scratch_path(q.spark, "potential")
     WR.write_potential_set(trained(q), path, diffmin=3, diffmax=5100, distmax=15, distmin=0, repres="CA")
     rows = S.scan_potentials(q.spark, f"{path}/energies", BY.format("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_bins"), F.round(F.min("e"), 6).alias("lowest"))
-    return rows.join(F.broadcast(S.scan_parameters(q.spark, f"{path}/parameters")))  # one row of parameters
+    named = S.scan_parameters(q.spark, f"{path}/parameters").withColumn("one", F.lit(1))
+    return rows.withColumn("one", F.lit(1)).join(named, "one").drop("one")
 
 
 @query("scan_frequencies", "fx_freq", "select pair, cast(bin as int) as bin, round(f, 6) as f from fx_freq")
@@ -207,7 +208,7 @@ ZJ = "'{{' || '\"AUL\":' || cast(case when abs({z}) >= 1 then cast(trunc((1 - 1
   select ck, '{{"Ambiguity index":"' || repeat('+', any_value(ambiguity)) || '",' || string_agg('"' || name || '":{{"Partition":"' || name || '","Quality":"' || coalesce(repeat('*', quality), 'n/a')
     || '","Nb. domains":' || cast(n as string) || ',"Domains":{{' || doms || '}}}}', ',' order by m) || '}}' as value from t group by ck""")
 def _(q: Input):
-    mat = written(matrix(q), "matrix")
+    mat = matrix(q)
     rows = assigned(q)
     info = M.with_domain_info(rows.select("ck", F.col("m").alias("alt_id"), "doms"), mat)
     per_dom = info.select("ck", "alt_id", "npu", "sums", "starts", "ends", F.posexplode("info").alias("k", "d"))

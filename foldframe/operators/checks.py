@@ -10,6 +10,7 @@ from foldframe import constants as K
 from foldframe.functions import codes
 from foldframe.functions import geometry as G
 from foldframe.functions.spatial import near_pairs, near_self_pairs
+from foldframe.session import spread
 
 RES = ["ck", "res_num", "icode"]
 
@@ -75,7 +76,8 @@ def solvent_accessibility(atoms: DataFrame) -> DataFrame:
     met = near_pairs(a, a, ["ck"], reach, touch)
     shade = F.struct(*[(F.col(f"r.{c}") - F.col(f"l.{c}")).alias(c) for c in "xyz"],
                      ((F.col("l.rad") * F.col("l.rad") - F.col("r.rad") * F.col("r.rad") + d2) / (2 * F.col("l.rad"))).alias("t"))
-    shades = met.select("ck", F.col("l.serial").alias("serial"), shade.alias("s")).groupBy("ck", "serial").agg(F.collect_list("s").alias("n"))
+    lit = met.select("ck", F.col("l.serial").alias("serial"), shade.alias("s"))
+    shades = spread(lit, "ck", "serial").groupBy("ck", "serial").agg(F.collect_list("s").alias("n"))
     dots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"), F.lit(w).alias("w")) for x, y, z, w in sphere_points()])
     free = F.filter("dots", lambda p: ~F.exists("n", lambda s: p["x"] * s["x"] + p["y"] * s["y"] + p["z"] * s["z"] > s["t"]))
     covered = a.join(shades, ["ck", "serial"], "left").withColumn("n", F.coalesce("n", F.array().cast("array<struct<x:double,y:double,z:double,t:double>>")))

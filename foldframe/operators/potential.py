@@ -71,8 +71,8 @@ def reference_frequencies(histogram: DataFrame, external: DataFrame | None = Non
     if external is not None:
         return external.select("bin", "f")
     by_bin = histogram.groupBy("bin").agg(F.sum("n").alias("n"))
-    total = by_bin.agg(F.sum("n").alias("_t"))
-    return by_bin.join(F.broadcast(total)).select("bin", (F.col("n") / F.col("_t")).alias("f"))  # one row
+    whole = W.partitionBy(F.lit(0))  # one row per bin at most
+    return by_bin.select("bin", (F.col("n") / F.sum("n").over(whole)).alias("f"))
 
 
 def pseudo_energy(frequencies: DataFrame, reference: DataFrame, cap: float = K.POT_CAP) -> DataFrame:

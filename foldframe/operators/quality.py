@@ -101,6 +101,7 @@ def pick_alternatives(measures: DataFrame, matrix: DataFrame, levels: int = 3, p
     above n_pred + levels and above 6 are not compared. The optimum is the best one at n_pred; alternatives have two or
     more domains, a count within ``levels`` of n_pred and another kappa than the optimum.
     """
+    measures = written(measures, "measures")
     pred = predict_domain_count(measures)
     w = W.partitionBy("ck", "n").orderBy(F.desc(F.round("kappa", 9)), "doms")
     near = with_quality(measures).join(pred, "ck").where((F.col("n") == 1) | (F.col("distance") < K.ALT_MAX_DISTANCE))

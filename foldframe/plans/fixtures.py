@@ -56,11 +56,7 @@ VIEWS: dict[str, str] = {
     union all select structure_id, chain, ck, idx, aa, res_num, 5, 'CB', sx, sy, sz from fx_cb where aa <> 'G'
     union all select structure_id, chain, ck, idx, aa, res_num, 6, 'SG', round(sx + 1.1712345678e0*(sx-x), 3), round(sy + 1.1712345678e0*(sy-y), 3),
       round(sz + 1.1712345678e0*(sz-z), 3) from fx_cb where aa = 'C') a""",
-    "fx_dirty": """select structure_id, m.model, chain, structure_id || '_' || cast(m.model as string) || '_' || chain as ck,
-    idx, aa, d.ord, record, cast(row_number() over (partition by structure_id, m.model order by chain, idx, icode, kind, d.ord, alt_loc) as int) as serial,
-    atom_name, alt_loc, res_name, res_num, icode, round(x + 100e0*(m.model-1), 3) as x, y, z, occ, bfac, element
-  from (
-    select structure_id, chain, idx, aa, ord, case when aa = 'M' and idx % 3 = 0 then 'HETATM' else 'ATOM' end as record, atom_name,
+    "fx_flaws": """select structure_id, chain, idx, aa, ord, case when aa = 'M' and idx % 3 = 0 then 'HETATM' else 'ATOM' end as record, atom_name,
       case when idx % 97 = 5 then 'A' else ' ' end as alt_loc, case when aa = 'M' and idx % 3 = 0 then 'MSE' else res_name end as res_name,
       res_num, ' ' as icode, x, y, z, occ, bfac, element, 0 as kind from fx_atoms
     union all select structure_id, chain, idx, aa, ord, case when aa = 'M' and idx % 3 = 0 then 'HETATM' else 'ATOM' end, atom_name, 'B',
@@ -69,10 +65,14 @@ VIEWS: dict[str, str] = {
     union all select structure_id, chain, idx, aa, ord, 'ATOM', atom_name, ' ', res_name, res_num, 'A', round(x + 0.2e0, 3), y, z, occ, bfac, element, 0
       from fx_atoms where idx % 101 = 7
     union all select structure_id, chain, idx, aa, 7, 'HETATM', 'O', ' ', 'HOH', res_num + 1000, ' ', round(x + 3.1e0, 3), y, z, occ, bfac, 'O', 1
-      from fx_atoms where idx % 20 = 10 and ord = 2) d, (select 1 as model union all select 2 as model) m""",
+      from fx_atoms where idx % 20 = 10 and ord = 2""",
+    "fx_dirty": """select structure_id, model, chain, structure_id || '_' || cast(model as string) || '_' || chain as ck,
+    idx, aa, ord, record, cast(row_number() over (partition by structure_id, model order by chain, idx, icode, kind, ord, alt_loc) as int) as serial,
+    atom_name, alt_loc, res_name, res_num, icode, round(x + 100e0*(model-1), 3) as x, y, z, occ, bfac, element
+  from (select *, 1 as model from fx_flaws union all select *, 2 as model from fx_flaws) d""",
     "fx_pu": """select ck, pu, min(idx) as s, max(idx) as e from (select ck, idx, cast(floor(idx/28e0) as int) as pu from fx_res) p group by ck, pu""",
 }
-DEPS = {"fx_ca": ("fx_raw",), "fx_res": ("fx_ca",), "fx_cb": ("fx_res",), "fx_atoms": ("fx_res", "fx_cb"), "fx_dirty": ("fx_atoms",),
+DEPS = {"fx_ca": ("fx_raw",), "fx_res": ("fx_ca",), "fx_cb": ("fx_res",), "fx_atoms": ("fx_res", "fx_cb"), "fx_flaws": ("fx_atoms",), "fx_dirty": ("fx_flaws",),
         "fx_pu": ("fx_res",), "fx_raw": ()}
 
 
