@@ -81,12 +81,18 @@ def _(q: Input):
     return SS.helix_symbols(res, SS.turn_starts(res, bonds(q)), CH.ca_virtual_angles(res))
 
 
-@query("bridges", "fx_bond fx_res", """with c as (select x.ck, x.donor - 1 as u, x.acceptor as v, 'P' as kind from fx_bond x join fx_bond y on y.ck = x.ck and y.donor = x.acceptor and y.acceptor = x.donor - 2
+register_view("fx_bridge", ("fx_bond", "fx_res"), """with c as (select x.ck, x.donor - 1 as u, x.acceptor as v, 'P' as kind from fx_bond x join fx_bond y on y.ck = x.ck and y.donor = x.acceptor and y.acceptor = x.donor - 2
   union all select x.ck, x.donor - 1, x.acceptor + 1, 'A' from fx_bond x join fx_bond y on y.ck = x.ck and y.donor = x.acceptor + 2 and y.acceptor = x.donor - 2
   union all select x.ck, x.donor, x.acceptor, 'A' from fx_bond x join fx_bond y on y.ck = x.ck and y.donor = x.acceptor and y.acceptor = x.donor),
   p as (select c.ck, least(u, v) as i, greatest(u, v) as j, max(kind) as kind from c join (select ck, max(idx) as last from fx_res group by ck) l on l.ck = c.ck
     where abs(u - v) >= 3 and least(u, v) >= 1 and greatest(u, v) < last group by c.ck, least(u, v), greatest(u, v))
   select ck, i, j, kind from (select *, row_number() over (partition by ck, i order by j) as k from p) t where k <= 2""")
+register_view("fx_ladder", ("fx_bridge",), """select ck, kind, count(*) as size from (select *, sum(b) over (partition by ck, kind, d order by i) as g from
+  (select *, case when lag(i) over (partition by ck, kind, d order by i) + 1 = i then 0 else 1 end as b from
+    (select *, case when kind = 'P' then j - i else j + i end as d from fx_bridge) x) y) z group by ck, kind, d, g""")
+
+
+@query("bridges", "fx_bridge", "select ck, i, j, kind from fx_bridge")
 def _(q: Input):
     return SS.bridges(framed(q), bonds(q))
 
@@ -111,11 +117,22 @@ def _(q: Input):
     return SS.assign_ss(framed(q), with_sheets=True)
 
 
-@query("ss_statistics", "fx_bond fx_res fx_runs", f"""select 'hbond' as kind, b.ck, cast(donor - acceptor as int) as "key", count(*) as n, {rs('100e0 * count(*) / any_value(l)', 4)} as per_100
+@query("ss_statistics", "fx_bond fx_res fx_runs fx_bridge fx_ladder", f"""select 'hbond' as kind, b.ck, cast(donor - acceptor as int) as "key", count(*) as n, {rs('100e0 * count(*) / any_value(l)', 4)} as per_100
    from fx_bond b join (select ck, count(*) as l from fx_res group by ck) s on s.ck = b.ck where abs(donor - acceptor) <= 5 group by b.ck, donor - acceptor
-  union all select 'helix', ck, cast(least(e - s + 1, 30) as int), count(*), 0e0 from fx_runs where code = 1 group by ck, least(e - s + 1, 30)""")
+  union all select 'helix', ck, cast(least(e - s + 1, 30) as int), count(*), 0e0 from fx_runs where code = 1 group by ck, least(e - s + 1, 30)
+  union all select 'bridge_' || kind, b.ck, 0, count(*), {rs('100e0 * count(*) / any_value(l)', 4)} from fx_bridge b
+    join (select ck, count(*) as l from fx_res group by ck) s on s.ck = b.ck group by kind, b.ck
+  union all select 'ladder_' || kind, ck, cast(least(size, 30) as int), count(*), 0e0 from fx_ladder group by kind, ck, least(size, 30)""")
 def _(q: Input):
     off = SS.hbond_offsets(framed(q), bonds(q)).select(F.lit("hbond").alias("kind"), "ck", F.col("offset").alias("key"), "n", r("per_100", 4).alias("per_100"))
     runs = CH.ss_runs(CH.ss_reduce(q.fx_res).select("ck", "idx", F.col("ss_code").alias("code")), "code").where("code = 1")
     hist = SS.size_histogram(runs.select("ck", (F.col("end") - F.col("start") + 1).alias("size")), "helix")
-    return off.unionByName(hist.select("kind", "ck", F.col("size").alias("key"), "n", F.lit(0.0).alias("per_100")))
+    res = framed(q)
+    found = written(SS.bridges(res, bonds(q)), "bridges")
+    per = SS.bridge_totals(res, found).select(F.concat(F.lit("bridge_"), "bridge").alias("kind"), "ck", F.lit(0).alias("key"), "n", r("per_100", 4).alias("per_100"))
+    lads = SS.ladders(res, found).select("ck", "kind", (F.col("ie") - F.col("ib") + 1).alias("size"))
+    sizes = [hist] + [SS.size_histogram(lads.where(F.col("kind") == k), f"ladder_{k}") for k in ("P", "A")]
+    out = off.unionByName(per)
+    for h in sizes:
+        out = out.unionByName(h.select("kind", "ck", F.col("size").alias("key"), "n", F.lit(0.0).alias("per_100")))
+    return out
