@@ -6,6 +6,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,11 @@ SPACE = "▁"
 #: Runs of blanks with the letters behind them. No piece holds a blank behind another character, so no merge crosses a border.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE_ENTRIES = 400_000
-NEW_AT_ONCE = 20_000
+TEXTS_AT_ONCE = 64
+#: Up to so many characters the agenda is a plain list, beyond a heap.
+LIST_AGENDA = 48
+NEVER = float("inf")
+IDS, SURFACE = itemgetter(0), itemgetter(1)
 
 
 class MergeCoder:
@@ -36,7 +41,8 @@ class MergeCoder:
         size = lib.get_piece_size()
         names = [lib.id_to_piece(i) for i in range(size)]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(size)]
-        self.piece = {names[i]: (i, -lib.get_score(i)) for i in range(size) if not special[i]}
+        self.piece = {names[i]: i for i in range(size) if not special[i]}
+        self.rank = {names[i]: -lib.get_score(i) for i in range(size) if not special[i]}
         self.byte = {int(names[i][1:-1], 16): i for i in range(size) if lib.is_byte(i)}
         self.unknown, self.end = lib.unk_id(), lib.eos_id()
         crossing = [p for p in self.piece if re.search(f"[^{SPACE}]{SPACE}", p)]
@@ -46,43 +52,53 @@ class MergeCoder:
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk."""
-        piece = self.piece
-        parts: list[str | None] = list(chunk)
-        n = len(parts)
-        if n > 1:
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            agenda = []
-            for i in range(n - 1):
-                hit = piece.get(chunk[i : i + 2])
-                if hit:
-                    agenda.append((hit[1], i, i + 1, 2))
-            heapq.heapify(agenda)
+        get = self.rank.get
+        parts = [*chunk]
+        if len(parts) <= LIST_AGENDA:
+            agenda = [get(chunk[i : i + 2], NEVER) for i in range(len(parts) - 1)]
             while agenda:
-                _, left, right, size = heapq.heappop(agenda)
-                a, b = parts[left], parts[right]
-                if a is None or b is None or len(a) + len(b) != size:
-                    continue
-                parts[left], parts[right] = a + b, None
-                nxt = after[left] = after[right]
-                if nxt < n:
-                    before[nxt] = left
-                    both = parts[left] + parts[nxt]
-                    hit = piece.get(both)
-                    if hit:
-                        heapq.heappush(agenda, (hit[1], left, nxt, len(both)))
-                prv = before[left]
-                if prv >= 0:
-                    both = parts[prv] + parts[left]
-                    hit = piece.get(both)
-                    if hit:
-                        heapq.heappush(agenda, (hit[1], prv, left, len(both)))
+                best = min(agenda)
+                if best == NEVER:
+                    break
+                i = agenda.index(best)
+                parts[i] += parts.pop(i + 1)
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+                if i < len(agenda):
+                    agenda[i] = get(parts[i] + parts[i + 1], NEVER)
+        else:
+            parts = self.merge_long(parts)
+        return self.to_ids(parts)
+
+    def merge_long(self, parts: list[str | None]) -> list[str]:
+        """The same agenda as a heap, for chunks whose agenda is too long to scan; entries that no longer hold are skipped."""
+        get, n = self.rank.get, len(parts)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        agenda = [(r, i, i + 1, 2) for i in range(n - 1) if (r := get(parts[i] + parts[i + 1], NEVER)) != NEVER]
+        heapq.heapify(agenda)
+        while agenda:
+            _, left, right, size = heapq.heappop(agenda)
+            a, b = parts[left], parts[right]
+            if a is None or b is None or after[left] != right or len(a) + len(b) != size:
+                continue
+            parts[left], parts[right] = a + b, None
+            after[left] = nxt = after[right]
+            pairs = [(before[left], left)]
+            if nxt < n:
+                before[nxt] = left
+                pairs.append((left, nxt))
+            for x, y in pairs:
+                if x >= 0 and (r := get(both := parts[x] + parts[y], NEVER)) != NEVER:
+                    heapq.heappush(agenda, (r, x, y, len(both)))
+        return [p for p in parts if p is not None]
+
+    def to_ids(self, parts: list[str]) -> list[int]:
         ids: list[int] = []
         for p in parts:
-            if p is None:
-                continue
-            hit = piece.get(p)
-            if hit:
-                ids.append(hit[0])
+            hit = self.piece.get(p)
+            if hit is not None:
+                ids.append(hit)
             elif self.byte:
                 ids.extend(self.byte[b] for b in p.encode("utf-8"))
             else:
@@ -105,21 +121,16 @@ class MergeCoder:
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each text: its ids with the end id, and the text decoded from them."""
-        cut = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         out, seen = [], self.seen
-        fresh: set[str] = set()
-        at = 0
-        for i, cs in enumerate(cut):
-            fresh.update(c for c in cs if c not in seen)
-            if len(fresh) >= NEW_AT_ONCE or i == len(cut) - 1:
-                if len(seen) + len(fresh) > CACHE_ENTRIES:  # the cache will be emptied: this stretch is learned as a whole
-                    fresh = {c for row in cut[at : i + 1] for c in row}
-                if fresh:
-                    self.learn(fresh)
-                for row in cut[at : i + 1]:
-                    got = [seen[c] for c in row]
-                    out.append(([*chain.from_iterable([g[0] for g in got]), self.end], "".join([g[1] for g in got])[1:]))
-                fresh, at = set(), i + 1
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            cut = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at : at + TEXTS_AT_ONCE]]
+            rows = [[*map(seen.get, cs)] for cs in cut]
+            fresh = {c for cs, row in zip(cut, rows, strict=True) if None in row for c, g in zip(cs, row, strict=True) if g is None}
+            if fresh:
+                self.learn(fresh)
+            for cs, row in zip(cut, rows, strict=True):
+                got = [g or seen[c] for c, g in zip(cs, row, strict=True)] if None in row else row
+                out.append(([*chain.from_iterable(map(IDS, got)), self.end], "".join(map(SURFACE, got))[1:]))
         return out
 
     def decode(self, ids: list[int]) -> str:
