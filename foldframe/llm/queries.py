@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldframe.llm.exact_dedup import exact_groups
 from foldframe.llm.merge_encoding import encode_decode
+from foldframe.llm.suffix_decontam import benchmark_matches, contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,24 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+OP3_SQL = """with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+  b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+  bw as (select item_id, least(13, len(w)) as n, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as win from b where len(w) > 0),
+  sizes as (select distinct n from bw),
+  dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n) x),
+  m as (select distinct dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.win = bw.win),
+  h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) x group by doc_id),
+  t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from m group by doc_id)
+  select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items, sha256(coalesce(t.items, '')) as items_sha256,
+    coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(d.w) as contaminated from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id"""
+
+
+@query("op3_suffix_decontam", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op8_merge_encoding")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"), model_file())
