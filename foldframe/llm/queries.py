@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldframe.llm.exact_dedup import exact_groups
 from foldframe.llm.merge_encoding import encode_decode
+from foldframe.llm.rank_language import held_out, learned_profiles, predict_language
 from foldframe.llm.suffix_decontam import benchmark_matches, contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op7_rank_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs, learned_profiles(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_merge_encoding")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"), model_file())
