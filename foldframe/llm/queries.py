@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldframe.llm.exact_dedup import exact_groups
+from foldframe.llm.jaccard_join import shingle_components
 from foldframe.llm.merge_encoding import encode_decode
 from foldframe.llm.rank_language import held_out, learned_profiles, predict_language
 from foldframe.llm.suffix_decontam import benchmark_matches, contamination
@@ -39,6 +40,23 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+OP1_SQL = f"""with recursive w as (select doc_id, regexp_extract_all({ASCII.format('text')}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+  s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g,
+    len(w) >= 4 as full from w),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.full = b.full and a.doc_id < b.doc_id group by 1, 2),
+  l as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+  e as (select x, y from l union select y, x from l),
+  r(doc_id, y) as (select x, y from e union select r.doc_id, e.y from r join e on e.x = r.y),
+  m as (select doc_id, min(y) as y from r group by doc_id)
+  select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) as component_id from documents d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id"""
+
+
+@query("op1_jaccard_join", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
   b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
   bw as (select item_id, least(13, len(w)) as n, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as win from b where len(w) > 0),
