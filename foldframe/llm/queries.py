@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldframe.llm.exact_dedup import exact_groups
 from foldframe.llm.jaccard_join import shingle_components
+from foldframe.llm.legacy_archive import archived_pages
 from foldframe.llm.merge_encoding import encode_decode
 from foldframe.llm.rank_language import held_out, learned_profiles, predict_language
 from foldframe.llm.suffix_decontam import benchmark_matches, contamination
@@ -57,6 +58,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """with p as (select page_id, coalesce(html, '') as h from pages), s as (select *, max(page_id) over (partition by h) as k, sha1(h) as x from p),
+  g as (select *, list_transform(range(0, 8), lambda i: cast('0x' || x[5 * i + 1:5 * i + 5] as bigint)) as v from s)
+  select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
+    array_to_string(list_transform(v, lambda b: array_to_string(list_transform([15, 10, 5, 0], lambda j: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((b >> j) & 31) + 1]), '')), '') as payload_digest,
+    case when page_id = k then 'response' else 'revisit' end as record_type, case when page_id = k then null else k end as refers_to from g"""
+
+
+@query("op2_legacy_archive", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 OP3_SQL = """with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
   b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
   bw as (select item_id, least(13, len(w)) as n, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as win from b where len(w) > 0),
