@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldframe.llm.exact_dedup import exact_groups
+from foldframe.llm.html_graph import extract, train
 from foldframe.llm.jaccard_join import shingle_components
 from foldframe.llm.legacy_archive import archived_pages
 from foldframe.llm.merge_encoding import encode_decode
@@ -88,6 +89,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+#: The twin knows that these pages keep their article in one element of that name, with headings and paragraphs as blocks.
+OP4_SQL = r"""with b as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:h1|p)>') as parts from pages),
+  t as (select page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as parts from b)
+  select page_id, url, array_to_string(parts, chr(10)) as text, cast(length(array_to_string(parts, chr(10))) as bigint) as n_chars from t"""
+
+
+@query("op4_html_graph", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op7_rank_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
