@@ -13,7 +13,9 @@ from foldframe.llm.jaccard_join import shingle_components
 from foldframe.llm.legacy_archive import archived_pages
 from foldframe.llm.merge_encoding import encode_decode
 from foldframe.llm.rank_language import held_out, learned_profiles, predict_language
+from foldframe.llm.site_quality import site_quality
 from foldframe.llm.suffix_decontam import benchmark_matches, contamination
+from foldframe.llm.viterbi_counts import count_tokens, model_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +104,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages, train(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op5_site_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_viterbi_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), model_pieces(model_file()))
+
+
 @query("op7_rank_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
