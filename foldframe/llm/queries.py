@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldframe.llm.chat_preference import conversations, derived_rejections, preference_pairs
 from foldframe.llm.exact_dedup import exact_groups
 from foldframe.llm.html_graph import extract, train
 from foldframe.llm.jaccard_join import shingle_components
@@ -131,3 +132,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
   select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256 from d window w as (partition by t)""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
+
+
+_TURN = "'<|im_start|>' || replace({0}.role, '<|im_', '<| im_') || chr(10) || replace({0}.text, '<|im_', '<| im_') || '<|im_end|>' || chr(10)"
+_SPANS = """array_to_string(list_filter(list_transform(range(1, len({0}) + 1), lambda i: case when {0}[i].role = 'assistant' then
+  cast(coalesce(list_sum(list_transform({0}[1:i - 1], lambda t: length({1}))), 0) + 13 + length({0}[i].role) as bigint) || ':' || (length({2}) - 14 - length({0}[i].role)) end), lambda s: s is not null), ',')"""
+
+
+def _spans(name: str) -> str:
+    return _SPANS.format(name, _TURN.format("t"), _TURN.format(f"{name}[i]"))
+
+
+OP10_SQL = f"""with c as (select conv_id, list_sort(list(struct_pack(turn := turn, role := coalesce(role, ''), text := coalesce(text, '')))) as t from conversations group by conv_id),
+  a as (select conv_id, list_transform(t, lambda x: struct_pack(role := x.role, text := x.text)) as t, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') as a from c),
+  d as (select *, case when len(a) > 0 then a[conv_id % len(a) + 1] end as d, case when len(a) > 1 then t[a[(conv_id % len(a) + 1) % len(a) + 1]].text else '' end as says from a),
+  r as (select conv_id, t as c, case when len(a) > 0 then list_transform(range(1, len(t) + 1), lambda i: struct_pack(role := t[i].role, text := case when i = d then says else t[i].text end)) else t[1:len(t) - 1] end as r from d),
+  p as (select *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1, least(len(c), len(r))) as n from r),
+  q as (select conv_id, cast(n as integer) as n, c[1:n] as p, c[n + 1:] as c, r[n + 1:] as r from p)
+  select conv_id, n as prompt_turns, array_to_string(list_transform(p, lambda t: {_TURN.format('t')}), '') as prompt, array_to_string(list_transform(c, lambda t: {_TURN.format('t')}), '') as chosen,
+    array_to_string(list_transform(r, lambda t: {_TURN.format('t')}), '') as rejected, {_spans('c')} as chosen_spans, {_spans('r')} as rejected_spans from q"""
+
+
+@query("op10_chat_preference", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = preference_pairs(derived_rejections(conversations(table(spark, sf_dir, "conversations"))))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",").alias(c)
+    return made.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
