@@ -25,7 +25,7 @@ DISTANCE = f"""(case when {Y} > {K.QH} and {X} < {K.QV} and {SIDE} < 0 then -lea
 STARS = "case when dist >= 0.15 then 5 when dist >= 0.05 then 4 when dist >= -0.05 then 3 when dist >= -0.15 then 2 else 1 end"
 
 register_view("fx_part", ("fx_pu",), """select p.ck, cast(s.m as int) as m, p.pu, cast(bit_count(s.m & ((1 << cast(p.pu as bigint)) - 1)) as int) as dom, p.s, p.e
-  from (select *, max(pu) over (partition by ck) as last from fx_pu) p join (select unnest(range(0, 32)) as m) s on s.m < (1 << cast(p.last as bigint))""")
+  from (select *, max(pu) over (partition by ck) as last from fx_pu) p join (select ck, unnest(range(0, 1 << cast(max(pu) as bigint))) as m from fx_pu group by ck) s on s.ck = p.ck""")
 register_view("fx_dom", ("fx_part", "fx_pum"), """select d.*, s.inn from (select ck, m, dom, min(pu) as pa, max(pu) as pb, min(s) as s, max(e) as e, sum(e - s + 1) as size
     from fx_part group by ck, m, dom) d
   join (select a.ck, a.m, a.dom, sum(x.s) / 2 as inn from fx_part a join fx_part b on a.ck = b.ck and a.m = b.m and a.dom = b.dom
@@ -48,7 +48,7 @@ def matrix(q: Input):
 
 def partitions(mat):
     """All contiguous groupings of the fixed units, numbered by their border bits m."""
-    m = mat.select("ck", "npu", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 5) - 1)).alias("m")).where("m < pow(2, npu - 1)")
+    m = mat.select("ck", "npu", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, npu - 1) - 1"))).alias("m"))
     below = lambda u: F.bit_count(F.col("m").bitwiseAND((F.pow(F.lit(2), u) - 1).cast("int")))
     doms = F.transform(F.sequence(F.lit(0), F.bit_count("m")), lambda d: F.filter(F.sequence(F.lit(0), F.col("npu") - 1), lambda u: below(u) == d))
     return m.select("ck", "m", doms.alias("doms"))

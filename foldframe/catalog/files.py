@@ -69,7 +69,7 @@ def _(q: Input):
     path = scratch_path(q.spark, "potential")
     WR.write_potential_set(trained(q), path, diffmin=3, diffmax=5100, distmax=15, distmin=0, repres="CA")
     x = S.scan_pair_files(q.spark, f"{path}/xvector", "x").select("bin", "x")
-    return S.scan_potentials(q.spark, f"{path}/energies", BY.format("pair"), 150).join(x, "bin").select("pair", "bin", "x", r("e").alias("e"))
+    return S.scan_potentials(q.spark, f"{path}/energies", BY.format("pair"), 150, "part-*").join(x, "bin").select("pair", "bin", "x", r("e").alias("e"))
 
 
 @query("write_potential_set", "fx_pot", """select pair, count(*) as n_bins, round(min(e), 6) as lowest, '3' as diffmin, '5100' as diffmax, '15' as distmax, '0' as distmin, 'CA' as repres
@@ -77,7 +77,7 @@ def _(q: Input):
 def _(q: Input):
     path = scratch_path(q.spark, "potential")
     WR.write_potential_set(trained(q), path, diffmin=3, diffmax=5100, distmax=15, distmin=0, repres="CA")
-    rows = S.scan_potentials(q.spark, f"{path}/energies", BY.format("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_bins"), F.round(F.min("e"), 6).alias("lowest"))
+    rows = S.scan_potentials(q.spark, f"{path}/energies", BY.format("pair"), names="part-*").groupBy("pair").agg(F.count(F.lit(1)).alias("n_bins"), F.round(F.min("e"), 6).alias("lowest"))
     named = S.scan_parameters(q.spark, f"{path}/parameters").withColumn("one", F.lit(1))
     return rows.withColumn("one", F.lit(1)).join(named, "one").drop("one")
 
@@ -87,7 +87,7 @@ def _(q: Input):
     path = scratch_path(q.spark, "frequencies")
     f = P.pair_frequencies(P.distance_histogram(pairs(q)))
     WR.write_lines(f.select("pair", "bin", F.col("f").cast("string").alias("value")), path, "pair", ["bin"])
-    return S.scan_frequencies(q.spark, path, BY.format("pair")).select("pair", "bin", F.round("f", 6).alias("f"))
+    return S.scan_frequencies(q.spark, path, BY.format("pair"), names="part-*").select("pair", "bin", F.round("f", 6).alias("f"))
 
 
 @query("scan_dssp", "fx_res", "select ck, res_num, chain, aa, ss from fx_res")

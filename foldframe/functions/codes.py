@@ -45,6 +45,14 @@ def element_of(atom_name: Column) -> Column:
     return F.regexp_extract(atom_name, "^[0-9]*([A-Z])", 1)
 
 
+def element_of_field(field: Column) -> Column:
+    """Element of the four-column name field: two letters in the first two columns with nothing behind them are an element
+    (``CA  `` is calcium, `` CA `` the alpha carbon)."""
+    two = F.regexp_extract(field, "^([A-Z]{2})[ 0-9]*$", 1)
+    return F.when(two != "", two).otherwise(element_of(F.trim(field)))
+
+
 def chain_letter(rank: Column) -> Column:
-    """1 gives A, 2 gives B; after Z the letters start again."""
-    return F.char((F.lit(65) + (rank - 1) % 26).cast("int"))
+    """1 gives A, 26 gives Z, 27 gives A1, 53 gives A2: every rank has a label of its own."""
+    turn = F.floor((rank - 1) / 26).cast("int")
+    return F.concat(F.char((F.lit(65) + (rank - 1) % 26).cast("int")), F.when(turn > 0, turn.cast("string")).otherwise(""))

@@ -15,16 +15,21 @@ from foldframe.session import spread
 RES = ["ck", "res_num", "icode"]
 
 
+def entry_keys(atoms: DataFrame) -> list[str]:
+    """What keeps coordinates of one frame together: the structure and, where there is one, the model."""
+    return [c for c in ("structure_id", "model") if c in atoms.columns]
+
+
 def disulfides(atoms: DataFrame, max_d: float = 2.35, min_gap: int = 1, declared: DataFrame | None = None) -> DataFrame:
-    """Cysteine SG pairs closer than ``max_d``, each once: ids, d, whether inside one chain, and whether declared.
+    """Cysteine SG pairs of one model closer than ``max_d``, each once: ids, d, whether inside one chain, and whether declared.
 
     ``min_gap`` 2 leaves out neighbouring residues of a chain. ``declared``: structure_id, resl, resr.
     """
-    sg = atoms.where("res_name = 'CYS' and atom_name = 'SG'").select("structure_id", "chain", "res_num", "x", "y", "z")
+    sg = atoms.where("res_name = 'CYS' and atom_name = 'SG'").select(*entry_keys(atoms), "chain", "res_num", "x", "y", "z")
     apart = (F.col("l.chain") != F.col("r.chain")) | (F.col("r.res_num") - F.col("l.res_num") >= min_gap)
     rid = lambda s: F.concat(F.col(f"{s}.res_num").cast("string"), F.col(f"{s}.chain"))
-    met = near_self_pairs(sg, ["structure_id"], ["chain", "res_num"], max_d, apart)
-    out = met.select("structure_id", rid("l").alias("resl"), rid("r").alias("resr"), "d", (F.col("l.chain") == F.col("r.chain")).alias("intra"))
+    met = near_self_pairs(sg, entry_keys(atoms), ["chain", "res_num"], max_d, apart)
+    out = met.select(*entry_keys(atoms), rid("l").alias("resl"), rid("r").alias("resr"), "d", (F.col("l.chain") == F.col("r.chain")).alias("intra"))
     if declared is None:
         return out.withColumn("declared", F.lit(False))
     told = declared.select("structure_id", "resl", "resr", F.lit(True).alias("declared")).distinct()
@@ -37,12 +42,12 @@ def neighbours_around(atoms: DataFrame, centres: DataFrame, dist: float, ca_limi
     ``centres``: ck, res_num. Result: structure_id, centre_ck, centre, ck, res_num.
     """
     ca = atoms.where("atom_name = 'CA'").select("ck", "res_num", F.struct("x", "y", "z").alias("ca"))
-    with_ca = atoms.select("structure_id", "ck", "res_num", "x", "y", "z").join(ca, ["ck", "res_num"])
+    with_ca = atoms.select(*entry_keys(atoms), "ck", "res_num", "x", "y", "z").join(ca, ["ck", "res_num"])
     mid = with_ca.join(centres.select("ck", "res_num").distinct(), ["ck", "res_num"], "left_semi")
     other = (F.col("l.ck") != F.col("r.ck")) | (F.col("l.res_num") != F.col("r.res_num"))
     point = lambda s: G.point(f"{s}.x", f"{s}.y", f"{s}.z")
     close = (G.distance(point("l"), point("r")) <= dist) & (G.distance(F.col("l.ca"), F.col("r.ca")) <= ca_limit)
-    return (near_pairs(mid, with_ca, ["structure_id"], dist, other & close)
+    return (near_pairs(mid, with_ca, entry_keys(atoms), dist, other & close)
             .select("structure_id", F.col("l.ck").alias("centre_ck"), F.col("l.res_num").alias("centre"), F.col("r.ck").alias("ck"),
                     F.col("r.res_num").alias("res_num")).distinct())
 
@@ -66,21 +71,23 @@ def sphere_points(order: int = 2) -> list[tuple[float, float, float, float]]:
 def solvent_accessibility(atoms: DataFrame) -> DataFrame:
     """Accessible area per residue, rounded: points on each atom's enlarged sphere that no neighbour covers.
 
-    Neighbours come from a grid join; the fixed point set is a literal, so no point ever becomes a row.
+    Neighbours are all atoms of the same structure and model, whatever their chain; they come from a grid join. The fixed
+    point set is a literal, so no point ever becomes a row.
     """
+    keys = entry_keys(atoms) or ["ck"]
     radius = codes.lookup({k: v + K.RADIUS_WATER for k, v in K.RADII.items()}, F.col("atom_name"), K.RADIUS_SIDE + K.RADIUS_WATER)
-    a = atoms.where(F.col("element") != "H").select("ck", "res_num", "serial", "x", "y", "z", radius.alias("rad"))
+    a = atoms.where(F.col("element") != "H").select(*dict.fromkeys([*keys, "ck"]), "res_num", "serial", "x", "y", "z", radius.alias("rad"))
     reach = 2 * (max(*K.RADII.values(), K.RADIUS_SIDE) + K.RADIUS_WATER)
     d2 = sum(((F.col(f"r.{c}") - F.col(f"l.{c}")) * (F.col(f"r.{c}") - F.col(f"l.{c}")) for c in "xyz"), F.lit(0.0))
     touch = (d2 > 1e-6) & (d2 < (F.col("l.rad") + F.col("r.rad")) * (F.col("l.rad") + F.col("r.rad")))
-    met = near_pairs(a, a, ["ck"], reach, touch)
+    met = near_pairs(a, a, keys, reach, touch)
     shade = F.struct(*[(F.col(f"r.{c}") - F.col(f"l.{c}")).alias(c) for c in "xyz"],
                      ((F.col("l.rad") * F.col("l.rad") - F.col("r.rad") * F.col("r.rad") + d2) / (2 * F.col("l.rad"))).alias("t"))
-    lit = met.select("ck", F.col("l.serial").alias("serial"), shade.alias("s"))
-    shades = spread(lit, "ck", "serial").groupBy("ck", "serial").agg(F.collect_list("s").alias("n"))
+    lit = met.select(*keys, F.col("l.serial").alias("serial"), shade.alias("s"))
+    shades = spread(lit, *keys, "serial").groupBy(*keys, "serial").agg(F.collect_list("s").alias("n"))
     dots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"), F.lit(w).alias("w")) for x, y, z, w in sphere_points()])
     free = F.filter("dots", lambda p: ~F.exists("n", lambda s: p["x"] * s["x"] + p["y"] * s["y"] + p["z"] * s["z"] > s["t"]))
-    covered = a.join(shades, ["ck", "serial"], "left").withColumn("n", F.coalesce("n", F.array().cast("array<struct<x:double,y:double,z:double,t:double>>")))
+    covered = a.join(shades, [*keys, "serial"], "left").withColumn("n", F.coalesce("n", F.array().cast("array<struct<x:double,y:double,z:double,t:double>>")))
     area = F.aggregate(free, F.lit(0.0), lambda acc, p: acc + p["w"]) * F.col("rad") * F.col("rad")
     return (covered.withColumn("dots", dots).select("ck", "res_num", area.alias("area")).groupBy("ck", "res_num")
             .agg(F.floor(F.sum("area") + 0.5).cast("int").alias("area")))

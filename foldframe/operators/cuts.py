@@ -44,14 +44,17 @@ def score(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((den != 0) & (s > 0), np.round(s, 9), -np.inf)
 
 
-def segment_cuts(xyz: np.ndarray, ok: np.ndarray) -> tuple[Cut | None, Cut | None]:
-    """Best single and best double cut of one segment; ``ok`` says where it may be cut (before the position)."""
+def segment_cuts(xyz: np.ndarray, ok: np.ndarray, with_double: bool = True) -> tuple[Cut | None, Cut | None]:
+    """Best single and best double cut of one segment; ``ok`` says where it may be cut (before the position).
+
+    The first sweep over the span sums serves the single cut; the double one needs the sums up to both ends first and sweeps
+    again, so memory stays one block of rows whatever the length.
+    """
     n = len(xyz)
     if n - 1 < K.PU_MIN:
         return None, None
-    blocks = list(span_blocks(xyz)) if n <= 4 * ROWS else None
     left, right = np.zeros(n), np.zeros(n + 1)
-    for lo, sums in blocks or span_blocks(xyz):
+    for lo, sums in span_blocks(xyz):
         left = sums[0]
         right[lo:lo + len(sums)] = sums[:, n - 1]
     total = left[n - 1]
@@ -62,9 +65,11 @@ def segment_cuts(xyz: np.ndarray, ok: np.ndarray) -> tuple[Cut | None, Cut | Non
         s = score(left[i], right[i + 1], (total - left[i] - right[i + 1]) / 2)
         k = int(np.argmax(s))
         single = (float(s[k]), int(i[k]), -1) if s[k] > -np.inf else None
+    if not with_double:
+        return single, None
     j = np.arange(n)
     j_ok = np.append(ok[1:], False) & (j <= n - 1 - 15)
-    for lo, sums in blocks or span_blocks(xyz):
+    for lo, sums in span_blocks(xyz):
         a = np.arange(lo, lo + len(sums))
         a = a[(a - 1 >= K.PU_MIN - 1) & (a - 1 < n - 1 - K.PU_MIN) & (a - 1 + 60 < n - 1 - 15) & ok[a]]
         if not len(a):
@@ -117,31 +122,36 @@ def _xyz(row) -> np.ndarray:
     return np.column_stack([row.x, row.y, row.z])
 
 
-def segment_best_cuts(chains: DataFrame, segments: DataFrame) -> DataFrame:
-    """Best single and double cut of each segment (ck, seg, start, end): kind, score, i, j (chain positions)."""
+def segment_best_cuts(chains: DataFrame, segments: DataFrame, kinds: tuple[str, ...] = ("single", "double")) -> DataFrame:
+    """Best cuts of each segment (ck, seg, start, end): kind, score, i, j (chain positions); only the asked kinds are searched.
+
+    The segments of a chain travel with it in one row.
+    """
+    packed = segments.groupBy("ck").agg(F.array_sort(F.collect_list(F.struct("seg", "start", "end"))).alias("_s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                s, e = row.start, row.end
-                for kind, cut in zip(("single", "double"), segment_cuts(_xyz(row)[s:e + 1], np.asarray(row.cuttable)[s:e + 1]), strict=True):
-                    if cut:
-                        out.append((row.ck, row.seg, kind, cut[0], s + cut[1], s + cut[2] if cut[2] >= 0 else -1))
+                xyz, ok = _xyz(row), np.asarray(row.cuttable)
+                for seg, s, e in zip(row.seg, row.start, row.end, strict=True):
+                    cuts = segment_cuts(xyz[s:e + 1], ok[s:e + 1], "double" in kinds)
+                    out += [(row.ck, seg, kind, cut[0], s + cut[1], s + cut[2] if cut[2] >= 0 else -1)
+                            for kind, cut in zip(("single", "double"), cuts, strict=True) if cut and kind in kinds]
             yield pd.DataFrame(out, columns=["ck", "seg", "kind", "score", "i", "j"])
 
-    return (chains.join(segments, "ck").select("ck", "seg", "start", "end", "x", "y", "z", "cuttable")
-            .mapInPandas(run, "ck string, seg int, kind string, score double, i int, j int"))
+    rows = chains.join(packed, "ck").select("ck", F.col("_s.seg").alias("seg"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), "x", "y", "z", "cuttable")
+    return rows.mapInPandas(run, "ck string, seg int, kind string, score double, i int, j int")
 
 
 def best_single_cut(chains: DataFrame, segments: DataFrame) -> DataFrame:
     """Best cut in two parts of each segment."""
-    return segment_best_cuts(chains, segments).where("kind = 'single'").select("ck", "seg", "score", "i")
+    return segment_best_cuts(chains, segments, ("single",)).select("ck", "seg", "score", "i")
 
 
 def best_double_cut(chains: DataFrame, segments: DataFrame) -> DataFrame:
     """Best cut in three parts of each segment."""
-    return segment_best_cuts(chains, segments).where("kind = 'double'").select("ck", "seg", "score", "i", "j")
+    return segment_best_cuts(chains, segments, ("double",)).select("ck", "seg", "score", "i", "j")
 
 
 def split_levels(chains: DataFrame, limit: int = K.PU_LIMIT, levels: int = K.LEVEL_CAP, max_size: int = 0) -> DataFrame:

@@ -44,45 +44,53 @@ def with_domain_info(partitions: DataFrame, matrix: DataFrame) -> DataFrame:
     return partitions.join(matrix, "ck").withColumn("info", info)
 
 
-def domain_pairs(partitions: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Every pair i < j of domains of each partition: a, b (domain info) and ext (contacts between them)."""
-    last = F.size("doms") - 1
-    ij = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    rows = (with_domain_info(partitions.where(F.size("doms") > 1), matrix).withColumn("_ij", F.explode(ij))
-            .select("ck", "doms", "sums", "npu", F.col("_ij.i").alias("i"), F.col("_ij.j").alias("j"), F.get("info", F.col("_ij.i")).alias("a"),
-                    F.get("info", F.col("_ij.j")).alias("b")))
-    return rows.withColumn("ext", block_sum(F.col("a.pus"), F.col("b.pus"))).drop("sums", "npu")
-
-
 def normalised(ext: Column, size_a: Column, size_b: Column) -> Column:
     return ext / (F.pow(size_a, F.lit(K.SIZE_EXPONENT)) * F.pow(size_b, F.lit(K.SIZE_EXPONENT)))
 
 
+def over_pairs(value) -> Column:
+    """Array of value(i, j, a, b, contacts between them) over all domain pairs i < j of the row's ``info``."""
+    last = F.size("info") - 1
+
+    def row(i: Column) -> Column:
+        return F.transform(F.sequence(i + 1, last), lambda j: value(i, j, F.get("info", i), F.get("info", j), block_sum(F.get("info", i)["pus"], F.get("info", j)["pus"])))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), last - 1), row))
+
+
 def merge_candidates(partitions: DataFrame, matrix: DataFrame, keep_nnc: float = K.KEEP_NNC) -> DataFrame:
-    """Mergers worth trying: of each partition the pair with the best ratio and every pair with nnc above the limit."""
-    ext = F.when(F.col("ext") <= K.EXTERNAL_FLOOR, F.lit(K.EXTERNAL_FLOOR)).otherwise(F.col("ext"))
-    sa, sb = F.col("a.size"), F.col("b.size")
-    scored = (domain_pairs(partitions, matrix).withColumn("nnc", normalised(ext, sa, sb))
-              .withColumn("ratio", F.col("nnc") / ((F.col("a.inn") + F.col("b.inn")) / (sa * sb))))
-    w = W.partitionBy("ck", "doms").orderBy(F.desc(F.round("ratio", 9)), "i", "j")
-    child = F.array_sort(F.concat(F.array_except("doms", F.array("a.pus", "b.pus")), F.array(F.array_sort(F.concat("a.pus", "b.pus")))))
-    return (scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") == 1) | (F.col("nnc") > keep_nnc))
-            .withColumn("child", child))
+    """Mergers worth trying: of each partition the pair with the best ratio and every pair with nnc above the limit.
+
+    Pairs are scored and ranked inside the partition's row; only the mergers worth trying become rows.
+    """
+
+    def scored(i: Column, j: Column, a: Column, b: Column, sums: Column) -> Column:
+        ext = F.greatest(sums, F.lit(K.EXTERNAL_FLOOR))
+        nnc = normalised(ext, a["size"], b["size"])
+        ratio = nnc / ((a["inn"] + b["inn"]) / (a["size"] * b["size"]))
+        return F.struct((-F.round(ratio, 9)).alias("key"), i.alias("i"), j.alias("j"), nnc.alias("nnc"), ratio.alias("ratio"))
+
+    rows = with_domain_info(partitions.where(F.size("doms") > 1), matrix).withColumn("_p", F.array_sort(over_pairs(scored)))
+    rows = rows.withColumn("_p", F.filter(F.transform("_p", lambda p, k: F.struct((k + 1).alias("rank"), p["i"].alias("i"), p["j"].alias("j"), p["nnc"].alias("nnc"), p["ratio"].alias("ratio"))),
+                                          lambda p: (p["rank"] == 1) | (p["nnc"] > keep_nnc)))
+    out = rows.select("ck", "doms", F.explode("_p").alias("_p")).select("ck", "doms", "_p.*")
+    a, b = F.get("doms", F.col("i")), F.get("doms", F.col("j"))
+    return out.withColumn("child", F.array_sort(F.concat(F.array_except("doms", F.array(a, b)), F.array(F.array_sort(F.concat(a, b))))))
 
 
 def partition_measures(partitions: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Number of domains, smallest size, largest contact ratio, smallest density and mean density (kappa)."""
-    sa, sb, ia, ib = F.col("a.size"), F.col("b.size"), F.col("a.inn"), F.col("b.inn")
-    ratio = normalised(F.col("ext"), sa, sb) / ((F.col("ext") + ia + ib) / (sa + sb))
-    crs = domain_pairs(partitions, matrix).groupBy("ck", "doms").agg(F.max(ratio).alias("max_cr"))
+    """Number of domains, smallest size, largest contact ratio, smallest density and mean density (kappa), all within the row."""
+
+    def ratio(_i: Column, _j: Column, a: Column, b: Column, ext: Column) -> Column:
+        return normalised(ext, a["size"], b["size"]) / ((ext + a["inn"] + b["inn"]) / (a["size"] + b["size"]))
+
     density = F.transform("info", lambda d: d["inn"] / d["size"])
-    own = with_domain_info(partitions, matrix).select(
-        *partitions.columns, F.size("doms").alias("n"), F.array_min(F.transform("info", lambda d: d["size"])).alias("min_size"),
-        F.array_min(density).alias("_min"), (total(density, lambda x: x) / F.size("doms")).alias("_mean"))
-    one = F.col("n") == 1
-    return (own.join(crs, ["ck", "doms"], "left")
-            .withColumn("max_cr", F.when(one, 0.0).otherwise(F.col("max_cr"))).withColumn("min_density", F.when(one, 0.0).otherwise(F.col("_min")))
-            .withColumn("kappa", F.when(one, 0.0).otherwise(F.col("_mean"))).drop("_min", "_mean"))
+    n = F.size("doms")
+    measured = lambda c: F.when(n == 1, 0.0).otherwise(c)
+    return with_domain_info(partitions, matrix).select(
+        *partitions.columns, n.alias("n"), F.array_min(F.transform("info", lambda d: d["size"])).alias("min_size"),
+        F.when(n > 1, F.array_max(over_pairs(ratio))).otherwise(0.0).alias("max_cr"), measured(F.array_min(density)).alias("min_density"),
+        measured(total(density, lambda x: x) / n).alias("kappa"))
 
 
 def merge_beam(matrix: DataFrame, beam: int = K.BEAM) -> DataFrame:

@@ -16,6 +16,8 @@ from foldframe.functions.spatial import near_self_pairs
 from foldframe.session import spread, written
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Residue pairs whose energies for all residue types are tabled at a time.
+PAIRS_AT_ONCE = 4096
 LETTERS = sorted(K.ONE_TO_THREE)
 
 
@@ -30,7 +32,8 @@ def pair_distances(atoms: DataFrame, dmax: float = K.POT_MAX, dmin: float = 0.0,
     Input: structure_id, chain, ck, res_num, atom_type, x, y, z. The pair key joins the two atom types in alphabetical
     order and the residue ids follow it (equal types are listed later residue first).
     """
-    keys = ["structure_id"] if inter else ["structure_id", "chain"]
+    model = ["model"] if "model" in atoms.columns else []
+    keys = ["structure_id", *model] if inter else ["structure_id", *model, "chain"]
     gap = F.col("r.res_num") - F.col("l.res_num")
     same = F.col("l.chain") == F.col("r.chain")
     ok = F.lit(False)
@@ -38,7 +41,7 @@ def pair_distances(atoms: DataFrame, dmax: float = K.POT_MAX, dmin: float = 0.0,
         ok = ok | (same & (gap > smin) & (gap < smax))
     if inter:
         ok = ok | ~same
-    cols = ["structure_id", "chain", "ck", "res_num", "atom_type", "x", "y", "z"]
+    cols = ["structure_id", *model, "chain", "ck", "res_num", "atom_type", "x", "y", "z"]
     met = near_self_pairs(atoms.select(*cols), keys, ["chain", "res_num", "atom_type"], dmax, ok & (F.col("d") > dmin))
     keep = F.col("l.atom_type") < F.col("r.atom_type")
     a, b = F.when(keep, F.col("l")).otherwise(F.col("r")), F.when(keep, F.col("r")).otherwise(F.col("l"))
@@ -256,11 +259,27 @@ def subset_energy(pair_energies: DataFrame, members: DataFrame) -> DataFrame:
     return members.select("ck", "subset").distinct().join(sums, ["ck", "subset"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
 
 
-def energy_cube(potentials: DataFrame, suffix: str = "CA", bins: int = 150) -> np.ndarray:
-    """Potential as a 21 x 21 x bins array on the driver: 210 pairs at most, one zero row and column for unknown residues."""
-    cube = np.zeros((21, 21, bins))
-    for row in potentials.where((F.length("pair") == 2 + 2 * len(suffix)) & (F.col("bin") < bins)).toLocalIterator():
-        i, j = LETTERS.index(row.pair[0]), LETTERS.index(row.pair[1 + len(suffix)])
+def bin_count(potentials: DataFrame) -> int:
+    """Number of bins of a potential, from its own rows."""
+    return int(potentials.agg(F.max("bin")).first()[0] + 1)
+
+
+def energy_cube(potentials: DataFrame) -> np.ndarray:
+    """Potential of a representation with one atom per residue as a 21 x 21 x bins array on the driver, with one zero row and column for
+    unknown residues.
+
+    210 pairs at most: a key is residue letter and atom name twice, with the same atom. Any other key is an error, as decoys shuffle
+    residues and could not score it.
+    """
+    last = F.col("pair").rlike("^([A-Z])([A-Z0-9]*)([A-Z])\\2$") & F.substring("pair", 1, 1).isin(*LETTERS)
+    atom = F.regexp_extract("pair", "^[A-Z]([A-Z0-9]*)[A-Z]\\1$", 1)
+    kinds = potentials.select(F.when(last, atom).alias("atom")).distinct().limit(3).collect()
+    if len(kinds) != 1 or kinds[0].atom is None:
+        raise ValueError(f"decoys need pairs of one atom per residue, the potential has {[k.atom for k in kinds]}")
+    at = 1 + len(kinds[0].atom)
+    cube = np.zeros((21, 21, bin_count(potentials)))
+    for row in potentials.toLocalIterator():
+        i, j = LETTERS.index(row.pair[0]), LETTERS.index(row.pair[at])
         cube[i, j, row.bin] = cube[j, i, row.bin] = row.e
     return cube
 
@@ -294,24 +313,28 @@ def decoy_stats(codes: np.ndarray, l: np.ndarray, r: np.ndarray, k: np.ndarray,
     if seqs is None:
         return None
     upper = np.minimum(k + 1, cube.shape[2] - 1)
-    at_pair = np.ascontiguousarray((cube[:, :, k] * (1 - frac) + cube[:, :, upper] * frac).reshape(441, -1).T)
     by_position = np.ascontiguousarray(seqs.T)
     rows = by_position * 21
     e = np.zeros(n)
-    for p in range(len(l)):  # one lookup of all decoys per residue pair stays in cache
-        e += at_pair[p].take(rows[l[p]] + by_position[r[p]])
+    for lo in range(0, len(l), PAIRS_AT_ONCE):
+        at = slice(lo, lo + PAIRS_AT_ONCE)
+        table = np.ascontiguousarray((cube[:, :, k[at]] * (1 - frac[at]) + cube[:, :, upper[at]] * frac[at]).reshape(441, -1).T)
+        for own, a, b in zip(table, l[at], r[at], strict=True):  # one lookup of all decoys per residue pair stays in cache
+            e += own.take(rows[a] + by_position[b])
     return float(e.mean()), float(e.std())
 
 
 def decoy_zscore(pair_energies: DataFrame, residues: DataFrame, members: DataFrame, potentials: DataFrame, n: int = 2000,
-                 max_identity: float = 0.5, width: float = K.POT_BIN, bins: int = 150, seed: int = 7) -> DataFrame:
+                 max_identity: float = 0.5, width: float = K.POT_BIN, seed: int = 7) -> DataFrame:
     """Energy and Z-score of residue subsets against n sequence-shuffled decoys: ck, subset, e, mean, sd, z.
 
     ``residues``: ck, res_num, aa; ``members``: ck, subset, res_num; ``pair_energies`` of CA pairs within chains. Each
     subset becomes one row with its residue codes and pair list (both bounded by the chain), and the decoys are drawn
     and scored where that row lies, from a seed made of the keys. z is 0 when the energy is 0.
     """
-    cube = residues.sparkSession.sparkContext.broadcast(energy_cube(potentials, bins=bins))
+    table = energy_cube(potentials)
+    bins = table.shape[2]
+    cube = residues.sparkSession.sparkContext.broadcast(table)
     pos = W.partitionBy("ck", "subset").orderBy("res_num")
     at = spread(members.join(residues.select("ck", "res_num", "aa"), ["ck", "res_num"]), "ck", "subset")
     listed = at.withColumn("p", (F.row_number().over(pos) - 1).cast("int"))

@@ -1,6 +1,6 @@
 """Protein-like views derived from the ``embeddings`` table.
 
-Every view is one SELECT that reads the same in Spark SQL and in ANSI SQL engines; only the first step (unnesting the
+Three of a vector's 64 numbers make a step of the chain; the last one makes the temperature factor of its atoms. Every view is one SELECT that reads the same in Spark SQL and in ANSI SQL engines; only the first step (unnesting the
 vectors) differs. ``spark_view`` runs it in Spark and caches it for the session; ``with_views`` renders the SQL form.
 """
 
@@ -14,23 +14,23 @@ THREE = ("case aa when 'A' then 'ALA' when 'C' then 'CYS' when 'D' then 'ASP' wh
          "when 'V' then 'VAL' when 'W' then 'TRP' when 'Y' then 'TYR' end")
 
 UNNEST_SQL = """select vec_id, label, k, cast(embedding[3*k+1] as double) as a, cast(embedding[3*k+2] as double) as b,
-  cast(embedding[3*k+3] as double) as c from embeddings, (select unnest(range(0, 21)) as k)"""
+  cast(embedding[3*k+3] as double) as c, cast(embedding[64] as double) as u from embeddings, (select unnest(range(0, 21)) as k)"""
 UNNEST_SPARK = """select vec_id, label, k, cast(embedding[cast(3*k as int)] as double) as a,
-  cast(embedding[cast(3*k+1 as int)] as double) as b, cast(embedding[cast(3*k+2 as int)] as double) as c
-  from {embeddings} lateral view explode(sequence(0L, 20L)) t as k"""
+  cast(embedding[cast(3*k+1 as int)] as double) as b, cast(embedding[cast(3*k+2 as int)] as double) as c,
+  cast(embedding[63] as double) as u from {embeddings} lateral view explode(sequence(0L, 20L)) t as k"""
 
 ATOM_COLS = "structure_id, model, chain, ck, idx, aa, ord, record, serial, atom_name, alt_loc, res_name, res_num, icode, x, y, z, occ, bfac, element"
 
 VIEWS: dict[str, str] = {
-    "fx_ca": """select chain_id, idx, aa, round(sum(dx) over w, 3) as x, round(sum(dy) over w, 3) as y, round(sum(dz) over w, 3) as z
-  from (select chain_id, idx, aa, 3.8e0*a/sqrt(a*a+b*b+c*c) as dx, 3.8e0*b/sqrt(a*a+b*b+c*c) as dy, 3.8e0*c/sqrt(a*a+b*b+c*c) as dz
+    "fx_ca": """select chain_id, idx, aa, u, round(sum(dx) over w, 3) as x, round(sum(dy) over w, 3) as y, round(sum(dz) over w, 3) as z
+  from (select chain_id, idx, aa, u, 3.8e0*a/sqrt(a*a+b*b+c*c) as dx, 3.8e0*b/sqrt(a*a+b*b+c*c) as dy, 3.8e0*c/sqrt(a*a+b*b+c*c) as dz
     from (select cast(floor(vec_id/8e0) as bigint) as chain_id, (vec_id % 8) * 21 + k as idx,
-            substr('ACDEFGHIKLMNPQRSTVWY', cast((vec_id*31 + k*17 + label*7) % 20 as int) + 1, 1) as aa, a, b, c from fx_raw) s) u
+            substr('ACDEFGHIKLMNPQRSTVWY', cast((vec_id*31 + k*17 + label*7) % 20 as int) + 1, 1) as aa, a, b, c, u from fx_raw) s) v
   window w as (partition by chain_id order by idx)""",
     "fx_res": """select 's' || cast(cast(floor(chain_id/2e0) as bigint) as string) as structure_id,
     case when chain_id % 2 = 0 then 'A' else 'B' end as chain,
     's' || cast(cast(floor(chain_id/2e0) as bigint) as string) || '_1_' || case when chain_id % 2 = 0 then 'A' else 'B' end as ck,
-    chain_id, cast(idx as int) as idx, cast(11 + idx + floor(idx/60e0) as int) as res_num, aa, x, y, z,
+    chain_id, u, cast(idx as int) as idx, cast(11 + idx + floor(idx/60e0) as int) as res_num, aa, x, y, z,
     round(x-0.3851234567e0*px,3) as nx, round(y-0.3851234567e0*py,3) as ny, round(z-0.3851234567e0*pz,3) as nz,
     round(x+0.4001234567e0*ux,3) as cx, round(y+0.4001234567e0*uy,3) as cy, round(z+0.4001234567e0*uz,3) as cz,
     round(x+0.4001234567e0*ux + 1.2301234567e0*uy/greatest(sqrt(ux*ux+uy*uy),1e-6),3) as ox,
@@ -48,13 +48,13 @@ VIEWS: dict[str, str] = {
     from (select *, x-nx as bx, y-ny as by_, z-nz as bz, cx-x as gx, cy-y as gy, cz-z as gz from fx_res) p) q""",
     "fx_atoms": f"""select structure_id, 1 as model, chain, ck, idx, aa, ord, 'ATOM' as record,
     cast(row_number() over (partition by structure_id order by chain, idx, ord) as int) as serial, atom_name, ' ' as alt_loc,
-    {THREE} as res_name, res_num, ' ' as icode, x, y, z, 1e0 as occ, round(10e0 + ord, 2) as bfac, substr(atom_name, 1, 1) as element
-  from (select structure_id, chain, ck, idx, aa, res_num, 1 as ord, 'N' as atom_name, nx as x, ny as y, nz as z from fx_res
-    union all select structure_id, chain, ck, idx, aa, res_num, 2, 'CA', x, y, z from fx_res
-    union all select structure_id, chain, ck, idx, aa, res_num, 3, 'C', cx, cy, cz from fx_res
-    union all select structure_id, chain, ck, idx, aa, res_num, 4, 'O', ox, oy, oz from fx_res
-    union all select structure_id, chain, ck, idx, aa, res_num, 5, 'CB', sx, sy, sz from fx_cb where aa <> 'G'
-    union all select structure_id, chain, ck, idx, aa, res_num, 6, 'SG', round(sx + 1.1712345678e0*(sx-x), 3), round(sy + 1.1712345678e0*(sy-y), 3),
+    {THREE} as res_name, res_num, ' ' as icode, x, y, z, 1e0 as occ, round(10e0 + ord + 7.1234567e0*abs(u), 2) as bfac, substr(atom_name, 1, 1) as element
+  from (select structure_id, chain, ck, idx, aa, u, res_num, 1 as ord, 'N' as atom_name, nx as x, ny as y, nz as z from fx_res
+    union all select structure_id, chain, ck, idx, aa, u, res_num, 2, 'CA', x, y, z from fx_res
+    union all select structure_id, chain, ck, idx, aa, u, res_num, 3, 'C', cx, cy, cz from fx_res
+    union all select structure_id, chain, ck, idx, aa, u, res_num, 4, 'O', ox, oy, oz from fx_res
+    union all select structure_id, chain, ck, idx, aa, u, res_num, 5, 'CB', sx, sy, sz from fx_cb where aa <> 'G'
+    union all select structure_id, chain, ck, idx, aa, u, res_num, 6, 'SG', round(sx + 1.1712345678e0*(sx-x), 3), round(sy + 1.1712345678e0*(sy-y), 3),
       round(sz + 1.1712345678e0*(sz-z), 3) from fx_cb where aa = 'C') a""",
     "fx_flaws": """select structure_id, chain, idx, aa, ord, case when aa = 'M' and idx % 3 = 0 then 'HETATM' else 'ATOM' end as record, atom_name,
       case when idx % 97 = 5 then 'A' else ' ' end as alt_loc, case when aa = 'M' and idx % 3 = 0 then 'MSE' else res_name end as res_name,

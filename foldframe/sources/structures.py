@@ -30,12 +30,13 @@ def _blocks(spark: SparkSession, path: str, sep: str, pattern: str) -> DataFrame
 def structure_lines(spark: SparkSession, path: str, pattern: str = STEM) -> DataFrame:
     """Lines of coordinate files with their model number: structure_id, model, line_no, line.
 
-    Records end at ENDMDL, so a row is one model and carries its own MODEL number (1 when there is none); line_no
-    orders the lines of a model.
+    Records end at a line ENDMDL, so a row is one model and carries its own MODEL number (1 when the file has none); line_no
+    orders the lines of a model. What follows the last ENDMDL belongs to no model.
     """
     number = F.regexp_extract("value", r"(?m)^MODEL\s+(\d+)", 1)
-    model = F.when(number == "", 1).otherwise(number.cast("int"))
-    return (_blocks(spark, path, "ENDMDL", pattern).select("structure_id", model.alias("model"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    after = F.col("value").rlike(r"\A *\r?\n")  # the rest of an ENDMDL line
+    model = F.when(number != "", number.cast("int")).when(~after, 1)
+    return (_blocks(spark, path, "\nENDMDL", pattern).select("structure_id", model.alias("model"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
             .where(F.length("line") > 0))
 
 
@@ -49,9 +50,9 @@ def scan_structures(spark: SparkSession, path: str, pattern: str = STEM) -> Data
         if name in KEEP_BLANK:
             col = F.when(raw == "", " ").otherwise(raw)
         fields.append((col.cast(ATOM_TYPES[name]) if name in ATOM_TYPES else col).alias(name))
-    atoms = lines.select("structure_id", "model", "line_no", *fields)
-    element = F.when(F.col("element") == "", codes.element_of(F.col("atom_name"))).otherwise(F.col("element"))
-    return atoms.withColumn("element", element).withColumn("ck", F.concat_ws("_", "structure_id", F.col("model").cast("string"), F.trim("chain")))
+    atoms = lines.select("structure_id", "model", "line_no", *fields, F.substring("line", 13, 4).alias("_field"))
+    element = F.when(F.col("element") == "", codes.element_of_field(F.col("_field"))).otherwise(F.col("element"))
+    return atoms.withColumn("element", element).drop("_field").withColumn("ck", F.concat_ws("_", "structure_id", F.col("model").cast("string"), F.trim("chain")))
 
 
 # Items of the atom loop and the columns they fill.
@@ -103,9 +104,12 @@ def resolve_manifest(manifest: DataFrame, files: DataFrame, chains: DataFrame) -
         "code", "chain", "name", F.col("has").alias("use_chain"))
 
 
-def scan_pair_files(spark: SparkSession, path: str, value: str, pattern: str = STEM, bins: int | None = None) -> DataFrame:
-    """One short file of numbers per pair, a line per bin: pair, bin, value. A wrong number of bins is an error."""
-    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+def scan_pair_files(spark: SparkSession, path: str, value: str, pattern: str = STEM, bins: int | None = None, names: str = "*") -> DataFrame:
+    """One short file of numbers per pair, a line per bin: pair, bin, value. A wrong number of bins is an error.
+
+    ``names`` is the glob of the files to read: a folder also holds bin centres, parameters and rankings.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path, wholetext=True)
     nums = F.filter(F.split("value", r"\s+"), lambda s: s != "")
     rows = text.select(file_id(pattern).alias("pair"), nums.alias("v"))
     if bins is not None:
@@ -114,14 +118,14 @@ def scan_pair_files(spark: SparkSession, path: str, value: str, pattern: str = S
     return rows.select("pair", F.posexplode("v").alias("bin", "_s")).select("pair", "bin", F.col("_s").cast("double").alias(value))
 
 
-def scan_potentials(spark: SparkSession, path: str, pattern: str = STEM, bins: int | None = None) -> DataFrame:
+def scan_potentials(spark: SparkSession, path: str, pattern: str = STEM, bins: int | None = None, names: str = "*.nrg*") -> DataFrame:
     """Energies of a potential directory: pair, bin, e."""
-    return scan_pair_files(spark, path, "e", pattern, bins)
+    return scan_pair_files(spark, path, "e", pattern, bins, names)
 
 
-def scan_frequencies(spark: SparkSession, path: str, pattern: str = STEM, bins: int = 150) -> DataFrame:
+def scan_frequencies(spark: SparkSession, path: str, pattern: str = STEM, bins: int = 150, names: str = "*.frq*") -> DataFrame:
     """Frequencies per pair or of the reference: pair, bin, f."""
-    return scan_pair_files(spark, path, "f", pattern, bins)
+    return scan_pair_files(spark, path, "f", pattern, bins, names)
 
 
 def scan_parameters(spark: SparkSession, path: str) -> DataFrame:
