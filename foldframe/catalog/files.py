@@ -197,27 +197,54 @@ def _(q: Input):
     return WR.contact_matrix_rows(CT.mirrored(CT.contact_probability(residues(q))))
 
 
-ZJ = "'{{' || '\"AUL\":' || cast(case when abs({z}) >= 1 then cast(trunc((1 - 1 / ({z} * {z})) * 100) as int) else 0 end as string) || ',\"Z-score\":' || cast(round({z}, 2) as string)"
+register_view("fx_unit", ("fx_dom", "fx_txt"), """select d.ck, d.m, d.dom + 1 as dom, cast(d.s as string) || '-' || cast(d.e as string) as pu, case when d.size >= 30 then -(d.inn / d.size) end as z,
+  t.n, t.quality, t.ambiguity, case when d.m = 0 then 'Optimal partition' else 'Alternative partition ' || cast(d.m as string) end as name
+  from fx_dom d join fx_txt t on t.ck = d.ck and t.m = d.m""")
+AUL = "case when abs(z) >= 1 then cast(trunc((1 - 1 / (z * z)) * 100) as int) else 0 end"
+Z1 = "coalesce(cast(nullif(round(z, 1), 0) as string), {0})"
 
 
-@query("summary_json", "fx_part fx_pum fx_txt", f"""with p as (select a.ck, a.m, a.dom, a.pu, a.s, a.e, -(x.s / 2) / (a.e - a.s + 1) as z from fx_part a join fx_pum x on x.ck = a.ck and x.a = a.pu and x.b = a.pu),
-  g as (select ck, m, dom, string_agg('"' || cast(s as string) || '-' || cast(e as string) || '":' || {ZJ.format(z='z')} || '}}', ',' order by pu) as pus from p group by ck, m, dom),
-  d as (select g.ck, g.m, string_agg('"Domain ' || cast(g.dom + 1 as string) || '":' || {ZJ.format(z='(-(f.inn / f.size))')} || ',"PUs":{{' || pus || '}}}}', ',' order by g.dom) as doms
-    from g join fx_dom f on f.ck = g.ck and f.m = g.m and f.dom = g.dom group by g.ck, g.m),
-  t as (select d.*, x.n, x.quality, x.ambiguity, case when d.m = 0 then 'Optimal partition' else printf('Alternative partition %02d', d.m) end as name from d join fx_txt x on x.ck = d.ck and x.m = d.m)
-  select ck, '{{"Ambiguity index":"' || repeat('+', any_value(ambiguity)) || '",' || string_agg('"' || name || '":{{"Partition":"' || name || '","Quality":"' || coalesce(repeat('*', quality), 'n/a')
-    || '","Nb. domains":' || cast(n as string) || ',"Domains":{{' || doms || '}}}}', ',' order by m) || '}}' as value from t group by ck""")
-def _(q: Input):
+def summary_input(q: Input):
+    """Assignments and their fragments; minus the density stands in for the Z-score, and fragments below thirty residues have none."""
     mat = matrix(q)
     rows = assigned(q)
-    info = M.with_domain_info(rows.select("ck", F.col("m").alias("alt_id"), "doms"), mat)
-    per_dom = info.select("ck", "alt_id", "npu", "sums", "starts", "ends", F.posexplode("info").alias("k", "d"))
-    units = per_dom.select("ck", "alt_id", (F.col("k") + 1).alias("dom"), (-(F.col("d.inn") / F.col("d.size"))).alias("z_dom"), F.explode("d.pus").alias("pos"), "npu", "sums", "starts", "ends")
-    start, end = F.get("starts", F.col("pos")), F.get("ends", F.col("pos"))
-    z = -(F.get("sums", F.col("pos") * F.col("npu") + F.col("pos")) / 2) / (end - start + 1)
-    units = units.select("ck", "alt_id", "dom", "z_dom", "pos", F.concat_ws("-", start.cast("string"), end.cast("string")).alias("pu"), z.alias("z_pu"))
+    frags = M.domain_fragments(rows, mat).select("ck", F.col("m").alias("alt_id"), F.posexplode("domains").alias("k", "d"))
+    info = M.with_domain_info(rows, mat).select("ck", F.col("m").alias("alt_id"), F.posexplode("info").alias("k", "i"))
+    z = F.when(F.col("i.size") >= 30, -(F.col("i.inn") / F.col("i.size")))
+    units = frags.join(info, ["ck", "alt_id", "k"]).select("ck", "alt_id", (F.col("k") + 1).alias("dom"), z.alias("z_dom"), F.posexplode("d").alias("pos", "f"))
+    units = units.select("ck", "alt_id", "dom", "z_dom", "pos", F.concat_ws("-", F.col("f.start").cast("string"), F.col("f.end").cast("string")).alias("pu"), F.col("z_dom").alias("z_pu"))
     with_amb = rows.join(QU.ambiguity_index(rows), "ck").select("ck", F.col("m").alias("alt_id"), "n", "quality", "ambiguity")
-    return R.summary_json(with_amb, units)
+    return with_amb, units
+
+
+@query("summary_json", "fx_unit", f"""with d as (select ck, m, any_value(name) as name, any_value(n) as n, any_value(quality) as quality, any_value(ambiguity) as ambiguity,
+    string_agg('"Domain ' || cast(dom as string) || '":{{"AUL":' || cast({AUL} as string) || ',"Z-score":' || {Z1.format("'" + '"n/a"' + "'")} || ',"PUs":{{"' || pu || '":{{"AUL":' || cast({AUL} as string)
+      || ',"Z-score":' || {Z1.format("'" + '"n/a"' + "'")} || '}}}}}}', ',' order by dom) as doms from fx_unit group by ck, m)
+  select ck, '{{"Ambiguity index":"' || repeat('*', any_value(ambiguity)) || '",' || string_agg('"' || name || '":{{"Partition":"' || name || '","Quality":"' || repeat('*', coalesce(quality, 0))
+    || '","Nb. domains":' || cast(n as string) || ',"Domains":{{' || doms || '}}}}', ',' order by m) || '}}' as value from d group by ck""")
+def _(q: Input):
+    path = scratch_path(q.spark, "summary")
+    R.write_summary_json(R.summary_json(*summary_input(q)), path)
+    return R.read_summary_json(q.spark, path)
+
+
+@query("summary_report", "fx_unit", f"""with d as (select ck, m, any_value(name) as name, any_value(n) as n, any_value(quality) as quality, any_value(ambiguity) as ambiguity,
+    string_agg('Domain:' || cast(dom as string) || '       AUL=' || printf('%3d', {AUL}) || '% Z-score=' || {Z1.format("'n/a'")} || chr(10)
+      || '    PU:' || printf('%7s', pu) || ' AUL=' || printf('%3d', {AUL}) || '% Z-score=' || {Z1.format("'n/a'")}, chr(10) order by dom) as doms from fx_unit group by ck, m)
+  select ck, 'Ambiguity index: ' || repeat('*', any_value(ambiguity)) || chr(10) || string_agg('-----------------------' || chr(10) || name || chr(10) || 'Quality: ' || repeat('*', coalesce(quality, 0))
+    || chr(10) || 'Nb. domains: ' || cast(n as string) || chr(10) || doms, chr(10) order by m) as value from d group by ck""")
+def _(q: Input):
+    return R.run_text(*summary_input(q))
+
+
+@query("level_summary", "fx_unit fx_assign fx_dom", f"""with u as (select u.*, a.kappa, cast(split_part(u.pu, '-', 1) as int) as s from fx_unit u join fx_assign a on a.ck = u.ck and a.m = u.m)
+  select ck, cast(m as int) as level, 'Peeling level ' || cast(m as string) || chr(10) || '    Number of Protein Units: ' || cast(count(*) as string) || chr(10) || '    Compaction Index: ' || cast(round(any_value(kappa), 2) as string)
+    || chr(10) || string_agg('    ' || printf('%7s', pu) || ': AUL=' || printf('%3d', {AUL}) || '% Z-score=' || coalesce(cast(round(z, 1) as string), 'n/a'), chr(10) order by s) as value from u group by ck, m""")
+def _(q: Input):
+    _, units = summary_input(q)
+    kappa = assigned(q).select("ck", F.col("m").alias("alt_id"), F.col("kappa").alias("ci"))
+    rows = units.join(kappa, ["ck", "alt_id"]).select("ck", F.col("alt_id").alias("level"), "ci", F.split("pu", "-")[0].cast("int").alias("start"), "pu", F.col("z_pu").alias("z"))
+    return R.level_summary(rows)
 
 
 @query("write_fasta", "fx_res", """select ck, '>' || ck || chr(10) || regexp_replace(regexp_replace(seq, '(.{80})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as value

@@ -48,7 +48,7 @@ def element_of(atom_name: Column) -> Column:
 def element_of_field(field: Column) -> Column:
     """Element of the four-column name field: two letters in the first two columns with nothing behind them are an element
     (``CA  `` is calcium, `` CA `` the alpha carbon)."""
-    two = F.regexp_extract(field, "^([A-Z]{2})[ 0-9]*$", 1)
+    two = F.regexp_extract(field, "^([A-Z]{2}) *$", 1)
     return F.when(two != "", two).otherwise(element_of(F.trim(field)))
 
 

@@ -27,4 +27,4 @@ def test_matches_sql(spark, con, name):
 
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert len(QUERIES) == 111
+    assert len(QUERIES) == 113
