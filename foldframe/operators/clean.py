@@ -85,12 +85,15 @@ def drop_superposed_residues(atoms: DataFrame, limit: float = 1.0, every: bool =
         drop = written(superposed(backbone_table(atoms), limit, every, names), "superposed")
         if drop.isEmpty():
             return atoms
-        atoms = atoms.join(drop, RESIDUE, "left_anti")
+        atoms = written(atoms.join(drop, RESIDUE, "left_anti"), "apart")  # else each pass repeats the ones before
 
 
-def standardise_residues(atoms: DataFrame, modified: dict[str, str] | None = None) -> DataFrame:
+def standardise_residues(atoms: DataFrame, modified: dict[str, str] | None = None, told: DataFrame | None = None) -> DataFrame:
     """Rename modified residues to the standard twenty (else UNK) and promote embedded HETATM runs to ATOM.
 
+    ``told``: structure_id, res_name, standard, as a file's own MODRES records say (see ``modified_residues``); it goes before the
+    table ``modified``.
+
     A HETATM run is promoted when its numbering continues the ATOM block before it and the ATOM block after it
     continues its own.
     """
@@ -106,7 +109,12 @@ def standardise_residues(atoms: DataFrame, modified: dict[str, str] | None = Non
                 .select("ck", "_run", F.coalesce("_p", F.lit(False)).alias("_p")))
     out = runs.join(promoted, ["ck", "_run"])
     becomes_atom = (F.col("record") == "ATOM") | F.col("_p")
-    return (out.withColumn("res_name", F.when(becomes_atom, codes.lookup(table, F.col("res_name"), "UNK")).otherwise(F.col("res_name")))
+    own = F.lit(None).cast("string")
+    if told is not None:
+        named = told.groupBy("structure_id", "res_name").agg(F.min("standard").alias("_own"))
+        out, own = out.join(named, ["structure_id", "res_name"], "left"), F.col("_own")
+    standard = F.coalesce(own, codes.lookup(table, F.col("res_name"), "UNK"))
+    return (out.withColumn("res_name", F.when(becomes_atom, standard).otherwise(F.col("res_name")))
             .withColumn("record", F.when(becomes_atom, "ATOM").otherwise(F.col("record"))).select(*atoms.columns))
 
 

@@ -55,6 +55,13 @@ def scan_structures(spark: SparkSession, path: str, pattern: str = STEM) -> Data
     return atoms.withColumn("element", element).drop("_field").withColumn("ck", F.concat_ws("_", "structure_id", F.col("model").cast("string"), F.trim("chain")))
 
 
+def modified_residues(lines: DataFrame) -> DataFrame:
+    """What a file's MODRES records say about its modified residues: structure_id, res_name, standard. Input: ``structure_lines``."""
+    rows = lines.where(F.substring("line", 1, 6) == "MODRES")
+    named = rows.select("structure_id", F.trim(F.substring("line", 13, 3)).alias("res_name"), F.trim(F.substring("line", 25, 3)).alias("standard"))
+    return named.where("res_name <> '' and standard <> ''").distinct()
+
+
 # Items of the atom loop and the columns they fill.
 CIF_ITEMS = {"record": "group_PDB", "serial": "id", "atom_name": "label_atom_id", "alt_loc": "label_alt_id", "res_name": "label_comp_id",
              "chain": "auth_asym_id", "res_num": "auth_seq_id", "icode": "pdbx_PDB_ins_code", "x": "Cartn_x", "y": "Cartn_y", "z": "Cartn_z",

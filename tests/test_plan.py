@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foldframe.functions import codes
 from foldframe.operators import checks as C
+from foldframe.operators import clean as CL
 from foldframe.operators import potential as P
 from foldframe.plans import decompose as D
 from foldframe.sources import structures as S
@@ -119,3 +120,12 @@ def test_decoys_take_bins_and_atom_from_the_potential(spark):
 def test_labels_never_repeat(spark):
     got = [r.c for r in spark.range(1, 200).select(codes.chain_letter(F.col("id")).alias("c")).collect()]
     assert got[:3] == ["A", "B", "C"] and got[25:28] == ["Z", "A1", "B1"] and len(set(got)) == 199
+
+
+def test_files_name_their_modified_residues(spark, tmp_path):
+    text = "\n".join(["MODRES 1ABC XYZ A    2  MET  SOME NAME", atom(1, " CA", "ALA", 1, 0, 0, 0), atom(2, " CA", "XYZ", 2, 1, 0, 0), atom(3, " CA", "MSE", 3, 2, 0, 0), atom(4, " CA", "QQQ", 4, 3, 0, 0)])
+    folder = put(tmp_path, "a.pdb", text)
+    told = S.modified_residues(S.structure_lines(spark, folder))
+    assert [tuple(r) for r in told.collect()] == [("a", "XYZ", "MET")]
+    got = CL.standardise_residues(S.scan_structures(spark, folder), told=told).orderBy("serial").collect()
+    assert [r.res_name for r in got] == ["ALA", "MET", "MET", "UNK"]
