@@ -37,8 +37,8 @@ def _(q: Input):
     return atom_cols(C.keep_standard_protein(q.fx_dirty))
 
 
-@query("drop_insertion_residues", "fx_dirty", f"""select {ATOM} from fx_dirty d where not exists
-  (select 1 from fx_dirty i where i.ck = d.ck and i.res_num = d.res_num and i.icode <> ' ')""")
+@query("drop_insertion_residues", "fx_dirty", f"""select {ATOM} from fx_dirty anti join
+  (select distinct ck, res_num from fx_dirty where icode <> ' ') i using (ck, res_num)""")
 def _(q: Input):
     return atom_cols(C.drop_insertion_residues(q.fx_dirty))
 

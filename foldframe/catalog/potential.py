@@ -118,7 +118,23 @@ def _(q: Input):
     return scored(q).select(F.col("ckl").alias("ck"), "pair", "numl", "numr", r("d").alias("d"), r("e").alias("e"))
 
 
-@query("cubic_energy")
+CUBIC_SQL = f"""with recursive r as materialized (select pair, bin as k, 6 * (lead(e) over w - 2 * e + lag(e) over w) / (0.1e0 * 0.1e0) as r from fx_pot window w as (partition by pair order by bin)),
+  fwd(pair, k, c, d) as (select pair, 1, 0.25e0, r / 4 from r where k = 1
+    union all select f.pair, f.k + 1, 1 / (4 - f.c), (r.r - f.d) / (4 - f.c) from fwd f join r on r.pair = f.pair and r.k = f.k + 1 where f.k < 148),
+  done as materialized (select * from fwd),
+  bwd(pair, k, m) as (select pair, 148, d from done where k = 148
+    union all select b.pair, b.k - 1, f.d - f.c * b.m from bwd b join done f on f.pair = b.pair and f.k = b.k - 1 where b.k > 1),
+  m as (select * from bwd union all select distinct pair, 0, 0e0 from fx_pot union all select distinct pair, 149, 0e0 from fx_pot),
+  seg as (select pair, k, e, (m1 - m0) / 0.6e0 as a, m0 / 2 as b, (e1 - e) / 0.1e0 - 0.1e0 * (2 * m0 + m1) / 6 as c from
+    (select p.pair, p.bin as k, p.e, m.m as m0, lead(p.e) over w as e1, lead(m.m) over w as m1 from fx_pot p join m on m.pair = p.pair and m.k = p.bin window w as (partition by p.pair order by p.bin)) x where e1 is not null),
+  co as (select pair, k, a, b, c, e from seg union all select pair, -1, 0e0, b, c, e from seg where k = 0
+    union all select s.pair, 149, 0e0, 0e0, s.c + 2 * s.b * 0.1e0 + 3 * s.a * 0.01e0, p.e from seg s join fx_pot p on p.pair = s.pair and p.bin = 149 where s.k = 148),
+  pd as (select *, greatest(-1, least(149, cast(floor(round((d - 0.05e0) / 0.1e0, 9)) as int))) as k from fx_pd where ckl = ckr)
+  select ckl as ck, pair, numl, numr, {rs('d')} as d, {rs('e')} as e from (select t.ckl, t.pair, t.numl, t.numr, t.d,
+    coalesce(((c.a * h + c.b) * h + c.c) * h + c.e, 0e0) as e from (select *, d - (greatest(k, 0) + 0.5e0) * 0.1e0 as h from pd) t left join co c on c.pair = t.pair and c.k = t.k) u"""
+
+
+@query("cubic_energy", "fx_pd fx_pot", CUBIC_SQL)
 def _(q: Input):
     e = P.cubic_energy(pairs(q, inter=False), trained(q))
     return e.select(F.col("ckl").alias("ck"), "pair", "numl", "numr", r("d").alias("d"), r("e").alias("e"))

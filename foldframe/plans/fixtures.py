@@ -100,6 +100,8 @@ def with_views(select: str, *names: str) -> str:
     parts = [f"{n} as materialized ({UNNEST_SQL if n == 'fx_raw' else VIEWS[n]})" for n in closure(names)]
     head = "with " + ",\n".join(parts)
     body = select.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head[5:]},\n{body[15:]}"
     return f"{head},\n{body[5:]}" if body.lower().startswith("with ") else f"{head}\n{body}"
 
 

@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
+
+def machine_local(path: str) -> bool:
+    """Whether a path lies in a machine's own temporary folder, which other machines can't read."""
+    scheme, _, rest = path.rpartition(":")
+    place = "/" + rest.lstrip("/")
+    return scheme in ("", "file") and (place == "/tmp" or place.startswith("/tmp/"))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; a local one is made only when the session names none."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
+    alone = spark.sparkContext.master.startswith("local")
     if configured:
+        if not alone and machine_local(configured):
+            raise ValueError(f"{CHECKPOINT_CONF} is {configured}, a folder of one machine; name one that all machines share")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not alone:
         raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder before running on a cluster")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
@@ -26,7 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete every intermediate table this session has made; frames that read them are of no use afterwards. Returns their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

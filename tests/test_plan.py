@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldframe import session
 from foldframe.functions import codes
 from foldframe.operators import checks as C
 from foldframe.operators import clean as CL
@@ -129,3 +130,18 @@ def test_files_name_their_modified_residues(spark, tmp_path):
     assert [tuple(r) for r in told.collect()] == [("a", "XYZ", "MET")]
     got = CL.standardise_residues(S.scan_structures(spark, folder), told=told).orderBy("serial").collect()
     assert [r.res_name for r in got] == ["ALA", "MET", "MET", "UNK"]
+
+
+def test_machine_local_folders():
+    assert all(session.machine_local(p) for p in ("/tmp", "/tmp/x", "file:/tmp/x", "file:///tmp/x"))
+    assert not any(session.machine_local(p) for p in ("hdfs://host/tmp/x", "s3a://b/tmp", "/shared/tmp", "file:///mnt/shared"))
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    before = session.scratch_path(spark, "kept")
+    session.written(spark.range(3), "thrown-away")
+    made = [p for p in session._made[spark.sparkContext.applicationId] if "thrown-away" in p]
+    assert Path(made[-1].removeprefix("file:")).exists()
+    assert session.discard(spark) >= 2 and not Path(made[-1].removeprefix("file:")).exists() and not Path(before).exists()
