@@ -34,8 +34,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The input's rows and columns with one row per different text (see ``exact_groups``); repeated rows leave one."""
-    stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
-    tagged = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.sha2(ascii_lower(F.col(text_col)), 256).alias("__sha"))
-    left = tagged.join(stay, F.col(id_col).eqNullSafe(F.col("stay_id")) & (F.col("__sha") == F.col("stay_sha")), "left_semi")
-    return left.dropDuplicates([id_col, "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The input's rows and columns with one row per different text (see ``exact_groups``); repeated rows leave one.
+
+    The rows that stay are joined by one key of id and SHA-256, by which repeated rows are found without dealing the texts out again.
+    """
+    named = F.when(F.col(id_col).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(id_col).cast("string")))
+    stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.concat_ws("|", named, "text_sha256").alias("__key")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.select(*columns, F.concat_ws("|", named, F.sha2(ascii_lower(F.col(text_col)), 256)).alias("__key"))
+    return tagged.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*columns)
