@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldframe.llm.components import components
 from foldframe.llm.work import Work, blank_words, slices
 
 #: Shingles counted together while common ones are looked for, and the count from which one is reported.
-COUNTED_TOGETHER, REPORTED_FROM = 1 << 21, 16
-#: Places in the order of common shingles, which is sent to every task (8 bytes a place).
-COMMON = 1 << 17
+COUNTED_TOGETHER, REPORTED_FROM = 1 << 22, 2
+#: Places in the order of common shingles, which is sent to every task (12 bytes a place).
+COMMON = 1 << 20
 #: Rows of a tile's block; a tile of more rows is compared block against block in separate tasks.
 BLOCK = 1024
 #: Bitmap words compared at a time.
@@ -112,14 +113,15 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     Of n shingles the n - ceil(n * num / den) + 1 that come first in the common order are kept in ``first``: two sets that link share
     one of them. A set too small to link with a larger one links only with equal sets, and its ``first`` is empty.
     """
-    common = np.array(sorted((r.shingle, r.n) for r in common_shingles(docs, words).collect()), np.int64).reshape(-1, 2)
-    sent = docs.sparkSession.sparkContext.broadcast((common[:, 0].copy().view(np.uint64), common[:, 1].copy()))
+    common = common_shingles(docs, words).toArrow()
+    shingles, counts = (common.column(c).to_numpy() for c in ("shingle", "n"))
+    by_value = np.argsort(shingles.view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast((shingles.view(np.uint64)[by_value], np.minimum(counts[by_value], 2**31 - 1).astype(np.int32)))
+    del common, shingles, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(words)
         shingles, counts = sent.value
-        by_value = np.argsort(shingles)
-        shingles, counts = shingles[by_value], counts[by_value]
         for part in slices(batches):
             out: list[list] = [[], [], [], []]
             for text in part.column("text").to_pylist():
@@ -190,20 +192,25 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int,
     return links
 
 
-def tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows(shingle, id, component, n, bits, blocks) to distinct pairs (a, b) of different components with room for a link.
+def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """tagged(shingle, id, component, n) to distinct pairs (a, b) of different components with room for a link.
 
     A tile holds the sets with one shingle and a size of one band; sets of the band below come as guests, so sets whose sizes allow
-    a link meet in one tile. A tile beyond BLOCK rows is dealt out as pairs of blocks, each compared in a task of its own.
+    a link meet in one tile. Only tiles with several components get their bitmaps. A tile beyond BLOCK rows is dealt out as pairs
+    of blocks, each compared in a task of its own.
     """
     step = math.log(den / num) * 1.0001  # sizes that allow a link are less than one band apart
     band = F.floor(F.log("n") / F.lit(step))
+    placed = tagged.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("guest"))
+    tiles = placed.groupBy("shingle", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("g"), F.count(F.lit(1)).alias("rows"))
+    tiles = tiles.where("lo < hi and g = 0").select("shingle", "band", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    rows = placed.join(tiles, ["shingle", "band"]).join(bits.select("id", "bits"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    cell = lambda up, kind, x, y, side: F.struct((F.col("band") + up).alias("band"), F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
-    cells = F.flatten(F.transform(others, lambda j: F.array(
-        cell(0, 0, F.least("block", j), F.greatest("block", j), F.col("block") > j), cell(0, 1, F.col("block"), j, F.lit(0)), cell(1, 1, j, F.col("block"), F.lit(1)))))
-    dealt = rows.withColumn("band", band).withColumn("block", block).withColumn("cell", F.explode(cells)).select("shingle", "cell.*", "id", "component", "n", "bits")
+    cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    own = F.flatten(F.transform(others, lambda j: F.array(cell(0, F.least("block", j), F.greatest("block", j), F.col("block") > j), cell(1, F.col("block"), j, F.lit(0)))))
+    cells = F.when(F.col("guest") == 0, own).otherwise(F.transform(others, lambda j: cell(1, j, F.col("block"), F.lit(1))))
+    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("shingle", "band", "cell.*", "id", "component", "n", "bits")
     key = ["shingle", "band", "kind", "x", "y"]
     ordered = dealt.repartition(*key).sortWithinPartitions(*key)
 
@@ -270,8 +277,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     link with nothing.
 
     Equal sets become one node. Nodes that share one of their rarest shingles form a tile. First every node is held against the
-    smallest node of each of its tiles, which finds groups of near copies with as many pairs as rows. After that only tiles
-    with several components are compared, in size bands, bitmap against bitmap, pairs of different components only; what the bound
+    smallest, then the largest node of each of its tiles, which finds groups of near copies with as many pairs as rows. After that
+    only tiles with several components are compared, in size bands, bitmap against bitmap, pairs of different components only; what the bound
     lets pass is verified. So no link between different components is lost, and no group is expanded into all its pairs.
 
     Ids are integers; rows that share an id are one document with several texts. A row with a null id has the component of the
@@ -283,19 +290,22 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = signed.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "first", "bits"), "id").alias("v"))
     nodes = work.keep(whole.select("same", "id", "v.*"), "nodes")
     wide = nodes.where(F.size("first") > 0).select("id", "n", "bits").dropDuplicates(["id"])
-    postings = nodes.where(F.size("first") > 0).select("id", F.explode("first").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").drop("last")
-    tiles = work.keep(postings.join(shared, "shingle"), "tiles")
-
-    star = tiles.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    near = verified(rows, bounded_pairs(star, wide, num, den), words, num, den, work, "star")
-    group = work.keep(components(near, work, "groups"), "group")
-
-    tagged = tiles.join(group.withColumnRenamed("node", "id"), "id", "left").select("shingle", "id", F.coalesce("component", "id").alias("component"))
-    tagged = work.keep(tagged, "tagged")
-    mixed = tagged.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
-    open_tiles = tagged.join(mixed.select("shingle", F.ceil(F.col("rows") / BLOCK).alias("blocks")), "shingle").join(wide, "id")
-    across = verified(rows, tile_pairs(open_tiles, num, den), words, num, den, work, "tile")
+    postings = nodes.where(F.size("first") > 0).select("id", "n", F.explode("first").alias("shingle"))
+    shared = postings.groupBy("shingle").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("shingle")
+    tagged = work.keep(postings.join(shared, "shingle").withColumn("component", F.col("id")), "tiles-0")
+
+    # Every set is held against one of each of its tiles, first the smallest, then the largest: as many pairs as rows.
+    links = []
+    for k, pick in enumerate((F.min_by, F.max_by), 1):
+        lead = tagged.groupBy("shingle").agg(pick(F.struct("id", "component"), "id").alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        star = tagged.join(lead.select("shingle", "lead"), "shingle").where("component <> lead.component").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        links.append(verified(rows, bounded_pairs(star, wide, num, den), words, num, den, work, f"star-{k}"))
+        group = work.keep(components(reduce(DataFrame.unionByName, links), work, f"groups-{k}"), f"group-{k}")
+        named = tagged.drop("component").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        tagged = work.keep(named, f"tiles-{k}")
+        work.drop(f"tiles-{k - 1}")
+
+    across = verified(rows, tile_pairs(tagged, wide, num, den), words, num, den, work, "tile")
     of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     steps = across.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     merged = work.keep(components(steps, work, "merged"), "final")
