@@ -31,11 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Hashes(dict):
+    """Hashes of words, computed where one is asked for the first time."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted 64-bit shingle hashes of texts; words hash once each while they are remembered."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.known = words, Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         ws = blank_words(text)
@@ -43,13 +51,7 @@ class Shingler:
             return np.empty(0, np.uint64)
         if len(self.known) > 500_000:
             self.known.clear()
-        known = self.known
-        codes = [known.get(w) for w in ws]
-        if None in codes:
-            for i, (w, c) in enumerate(zip(ws, codes, strict=True)):
-                if c is None:
-                    codes[i] = known[w] = xxhash.xxh3_64_intdigest(w)
-        x = np.array(codes, np.uint64)
+        x = np.fromiter(map(self.known.__getitem__, ws), np.uint64, len(ws))
         width = min(self.words, len(x))
         n = len(x) - width + 1
         h = np.full(n, np.uint64(width))
@@ -192,26 +194,30 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int,
     return links
 
 
-def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int, work: Work) -> DataFrame:
     """tagged(shingle, id, component, n) to distinct pairs (a, b) of different components with room for a link.
 
     A tile holds the sets with one shingle and a size of one band; sets of the band below come as guests, so sets whose sizes allow
-    a link meet in one tile. Only tiles with several components get their bitmaps. A tile beyond BLOCK rows is dealt out as pairs
-    of blocks, each compared in a task of its own.
+    a link meet in one tile. Tiles of a band with the same smallest component are laid together: sets that share many shingles then
+    meet once, not once a shingle. Only tiles with several components get their bitmaps. A tile beyond BLOCK rows is dealt out as
+    pairs of blocks, each compared in a task of its own.
     """
     step = math.log(den / num) * 1.0001  # sizes that allow a link are less than one band apart
     band = F.floor(F.log("n") / F.lit(step))
     placed = tagged.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("guest"))
-    tiles = placed.groupBy("shingle", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("g"), F.count(F.lit(1)).alias("rows"))
-    tiles = tiles.where("lo < hi and g = 0").select("shingle", "band", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
-    rows = placed.join(tiles, ["shingle", "band"]).join(bits.select("id", "bits"), "id")
+    tiles = placed.groupBy("shingle", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("g"))
+    tiles = tiles.where("lo < hi and g = 0").select("shingle", "band", "lo")
+    met = placed.join(tiles, ["shingle", "band"]).select("lo", "band", "guest", "id", "component", "n").distinct()
+    met = work.keep(met, "met")
+    sizes = met.groupBy("lo", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = met.join(sizes, ["lo", "band"]).join(bits.select("id", "bits"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
     own = F.flatten(F.transform(others, lambda j: F.array(cell(0, F.least("block", j), F.greatest("block", j), F.col("block") > j), cell(1, F.col("block"), j, F.lit(0)))))
     cells = F.when(F.col("guest") == 0, own).otherwise(F.transform(others, lambda j: cell(1, j, F.col("block"), F.lit(1))))
-    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("shingle", "band", "cell.*", "id", "component", "n", "bits")
-    key = ["shingle", "band", "kind", "x", "y"]
+    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("lo", "band", "cell.*", "id", "component", "n", "bits")
+    key = ["lo", "band", "kind", "x", "y"]
     ordered = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +311,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tagged = work.keep(named, f"tiles-{k}")
         work.drop(f"tiles-{k - 1}")
 
-    across = verified(rows, tile_pairs(tagged, wide, num, den), words, num, den, work, "tile")
+    across = verified(rows, tile_pairs(tagged, wide, num, den, work), words, num, den, work, "tile")
     of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     steps = across.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     merged = work.keep(components(steps, work, "merged"), "final")
