@@ -194,7 +194,10 @@ def _(q: Input):
 
 @query("write_contact_matrix", "fx_con", "select ck, i, string_agg(printf('%7.5f', p), ' ' order by j) as value from fx_con group by ck, i")
 def _(q: Input):
-    return WR.contact_matrix_rows(CT.mirrored(CT.contact_probability(residues(q))))
+    path = scratch_path(q.spark, "contact-matrix")
+    WR.write_contact_matrix(CT.mirrored(CT.contact_probability(residues(q))), path)
+    lines = S.structure_lines(q.spark, path, BY.format("ck"))
+    return lines.select(F.col("structure_id").alias("ck"), F.col("line_no").alias("i"), F.col("line").alias("value"))
 
 
 register_view("fx_unit", ("fx_dom", "fx_txt"), """select d.ck, d.m, d.dom + 1 as dom, cast(d.s as string) || '-' || cast(d.e as string) as pu, case when d.size >= 30 then -(d.inn / d.size) end as z,
@@ -250,14 +253,19 @@ def _(q: Input):
 @query("write_fasta", "fx_res", """select ck, '>' || ck || chr(10) || regexp_replace(regexp_replace(seq, '(.{80})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as value
   from (select ck, string_agg(aa, '' order by idx) as seq from fx_res group by ck) t""")
 def _(q: Input):
-    return WR.fasta(CH.chain_sequence(q.fx_res))
+    path = scratch_path(q.spark, "fasta")
+    WR.write_fasta(CH.chain_sequence(q.fx_res), path)
+    return S.scan_fasta(q.spark, path)
 
 
-@query("fragment_slices", "fx_pu fx_res", """select p.ck, 1 as level, cast(p.pu as int) as ord, p.s as "start", p.e as "end", string_agg(aa, '' order by idx) as seq, string_agg(ss, '' order by idx) as ss
-  from fx_pu p join fx_res r on r.ck = p.ck and r.idx between p.s and p.e group by p.ck, p.pu, p.s, p.e""")
+@query("fragment_slices", "fx_pu fx_res fx_atoms", """select p.ck, 1 as level, cast(p.pu as int) as ord, p.s as "start", p.e as "end", string_agg(aa, '' order by idx) as seq, string_agg(ss, '' order by idx) as ss, any_value(a.n) as n_atoms
+  from fx_pu p join fx_res r on r.ck = p.ck and r.idx between p.s and p.e
+  join (select p.ck, p.pu, count(*) as n from fx_pu p join fx_atoms a on a.ck = p.ck and a.idx between p.s and p.e group by p.ck, p.pu) a on a.ck = p.ck and a.pu = p.pu
+  group by p.ck, p.pu, p.s, p.e""")
 def _(q: Input):
     levels = q.fx_pu.select("ck", F.lit(1).alias("level"), F.col("pu").cast("int").alias("ord"), F.col("s").alias("start"), F.col("e").alias("end"))
-    return WR.fragment_slices(q.fx_res, levels)
+    atoms = WR.slice_atoms(q.fx_atoms, levels).groupBy("ck", "level", F.col("unit").alias("ord")).agg(F.count(F.lit(1)).alias("n_atoms"))
+    return WR.fragment_slices(q.fx_res, levels).join(atoms, ["ck", "level", "ord"])
 
 
 register_view("fx_runs8", ("fx_res",), """select ck, ss, min(idx) as s, max(idx) as e from (select *, sum(n) over (partition by ck order by idx) as g from

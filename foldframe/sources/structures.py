@@ -142,6 +142,12 @@ def scan_parameters(spark: SparkSession, path: str) -> DataFrame:
                     for k in ("DIFFMIN", "DIFFMAX", "DISTMAX", "DISTMIN", "REPRES")])
 
 
+def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """FASTA records as written: ck (the header line) and value; records end where the next begins, so files split anywhere."""
+    rows = spark.read.option("lineSep", ">").option("recursiveFileLookup", "true").text(path).where("value <> ''")
+    return rows.select(F.split("value", "\n")[0].alias("ck"), F.concat(F.lit(">"), F.regexp_replace("value", "\n+\\z", "")).alias("value"))
+
+
 def scan_dssp(spark: SparkSession, path: str, pattern: str = STEM) -> DataFrame:
     """Fixed-width secondary-structure tables: structure_id, line_no, res_num, chain, aa, ss; break rows are left out."""
     text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)

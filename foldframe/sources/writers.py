@@ -109,6 +109,6 @@ def fragment_slices(residues: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def slice_atoms(atoms: DataFrame, levels: DataFrame) -> DataFrame:
-    """Atom rows of every unit of every level."""
-    at = levels.select("ck", "level", "ord", F.explode(F.sequence("start", "end")).alias("idx"))
+    """Atom rows of every unit of every level; ``level`` and ``unit`` (its place in the level) are added."""
+    at = levels.select("ck", "level", F.col("ord").alias("unit"), F.explode(F.sequence("start", "end")).alias("idx"))
     return atoms.join(at, ["ck", "idx"])
