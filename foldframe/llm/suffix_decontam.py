@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from foldframe.llm.work import slices
 WINDOW = 13
 #: Words of a shard: a suffix array of this length is built at a time; a longer text makes a longer shard of its own.
 SHARD_WORDS = 1 << 19
-#: Characters of benchmark text that are searched in one pass over the documents; a larger benchmark takes more passes.
+#: Characters of benchmark text that a shard is held against at a time; a larger benchmark takes more passes over each shard.
 BLOCK_CHARS = 8 << 20
 #: Bytes that stand between words: all of ASCII but digits and letters. Bytes of other characters belong to words.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -207,14 +206,38 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
     return [benchmark.sparkSession.sparkContext.broadcast(sorted((r.item, r.text) for r in p.toLocalIterator())) for p in parts]
 
 
-def searched(rows: DataFrame, block, window: int) -> DataFrame:
-    """Matches of one block in rows(id, text, ...); further columns are carried along."""
+def joined(parts: list[tuple]) -> tuple:
+    """What several blocks found in one text as one result: spans merged, items joined, the longest match (ties: first place, then first item)."""
+    spans: list[dict] = []
+    for s in sorted((s for p in parts for s in p[1]), key=lambda s: s["start"]):
+        if spans and spans[-1]["end"] >= s["start"]:
+            spans[-1]["end"] = max(spans[-1]["end"], s["end"])
+        else:
+            spans.append(dict(s))
+    best = min((p for p in parts if p[3]), key=lambda p: (-p[3], p[4], p[5]), default=parts[0])
+    return parts[0][0], spans, sorted({i for p in parts for i in p[2]}), *best[3:]
+
+
+def searched(rows: DataFrame, blocks: list, window: int) -> DataFrame:
+    """Matches of all blocks in rows(id, text, ...), each row by itself; further columns are carried along.
+
+    Each shard goes through the blocks one after another. Of several blocks a task holds one at a time, made anew for each shard.
+    """
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != "text"], *FOUND])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(block) -> Benchmark:
         bench = Benchmark(block.value, window)
+        vars(block).pop("_value", None)  # the rows, which Spark would keep in the worker
+        return bench
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = made(blocks[0]) if len(blocks) == 1 else None
         for shard in shards(batches):
-            got = shard_hits(shard.column("text").to_pylist(), bench)
+            texts = shard.column("text").to_pylist()
+            if one:
+                got = shard_hits(texts, one)
+            else:
+                got = [joined(parts) for parts in zip(*(shard_hits(texts, made(b)) for b in blocks), strict=True)]
             found = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(ARROW)]
             rest = shard.drop_columns("text")
             yield from pa.Table.from_arrays([*rest.columns, *found], [*rest.column_names, *FOUND.names]).to_batches()
@@ -228,27 +251,14 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Each task builds
     suffix arrays over shards of its documents and searches every suffix of every item by binary search; a match of at least a
     whole window is reported as a span, and the longest verbatim match with its place and item (ties: first place, then first
-    item). Documents are never shuffled while the benchmark fits BLOCK_CHARS; that block, and no more, is sent to the tasks, and a
-    larger benchmark is searched in blocks whose results are merged by document id.
+    item). Documents are never shuffled. A benchmark beyond BLOCK_CHARS is searched in blocks, whose results are merged row by row
+    in the task that reads the row, so the benchmark's size changes no result.
 
     Null and empty texts have no words and no matches; null item ids count as items named ``null``; an empty benchmark matches
     nothing. Repeated documents are judged each for itself; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = item_blocks(benchmark, item_col, item_text_col)
-    found = [searched(rows, b, window) for b in blocks]
-    all_found = found[0] if len(found) == 1 else merge_blocks(reduce(DataFrame.unionByName, found))
-    return all_found.withColumnRenamed("id", id_col)
-
-
-def merge_blocks(found: DataFrame) -> DataFrame:
-    """Results of several benchmark blocks: spans merged, items joined, the longest match kept; ids must be unique here."""
-    best = F.max_by(F.struct("longest", "longest_at", "longest_item"), F.struct("longest", -F.col("longest_at"))).alias("best")
-    g = found.groupBy("id").agg(F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best)
-    merged = F.aggregate("s", F.array().cast("array<struct<start:int,end:int>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(x))))
-    return g.select("id", "n_words", merged.alias("spans"), "items", "best.*")
+    return searched(rows, item_blocks(benchmark, item_col, item_text_col), window).withColumnRenamed("id", id_col)
 
 
 def contamination(matches: DataFrame, one_in: int = 20) -> DataFrame:
@@ -258,19 +268,7 @@ def contamination(matches: DataFrame, one_in: int = 20) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 20) -> DataFrame:
-    """The input's rows and columns without contaminated documents.
-
-    While the benchmark is one block each row is judged where it is read, and nothing is shuffled. Otherwise the blocks' results
-    are merged by id, and of rows with one id all go if one is contaminated; a row with a null id is then told by its text.
-    """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    blocks = item_blocks(benchmark, "item_id", "text")
-    text = F.col(text_col).alias("text")
-    if len(blocks) == 1:
-        rows = docs.select(F.struct(*columns).alias("id"), text)
-        return contamination(searched(rows, blocks[0], WINDOW), one_in).where("not contaminated").select("id.*")
-    key = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.col(text_col), 256), F.lit("null"))
-    rows = docs.select(key.alias("id"), text)
-    found = merge_blocks(reduce(DataFrame.unionByName, [searched(rows, b, WINDOW) for b in blocks]))
-    bad = contamination(found, one_in).where("contaminated").select("id")
-    return docs.select(*columns, key.alias("__key")).join(bad, F.col("__key") == F.col("id"), "left_anti").drop("__key")
+    """The input's rows and columns without contaminated documents; each row is judged where it is read, and nothing is shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col(text_col).alias("text"))
+    found = searched(rows, item_blocks(benchmark, "item_id", "text"), WINDOW)
+    return contamination(found, one_in).where("not contaminated").select("id.*")

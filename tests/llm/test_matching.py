@@ -143,6 +143,26 @@ def test_matches_hold_against_brute_force(spark, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - bad
 
 
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_rows_are_judged_each_for_itself(spark, monkeypatch, block):
+    """Rows of one id or of none hold different texts; the longest match ties between items of different blocks."""
+    monkeypatch.setattr(D, "BLOCK_CHARS", block)
+    monkeypatch.setattr(D, "SHARD_WORDS", 100)
+    one, two = ([f"{c}{i}" for i in range(20)] for c in "ab")
+    items = frame(spark, [(k, " ".join(ws)) for k, ws in ((1, one), (2, two), (3, one), (4, ["x", *one[:15]]), (5, one[4:]))], "item_id long, text string")
+    assert (len(D.item_blocks(items, "item_id", "text")) > 1) == (block == 60)
+    texts = [one, two, [*one, *two], ["clean"] * 400, [*one, "cut", *one[2:]], []]
+    docs = [(i, " ".join(t)) for i in (None, None, 7, 8) for t in texts] + [(None, None)]
+    whole = D.benchmark_matches(frame(spark, docs), items).collect()
+    plain = lambda r: (str(r.doc_id), r.n_words, [(s.start, s.end) for s in r.spans], r.items, r.longest, r.longest_at, r.longest_item)
+    i1, i2 = ["1", "3", "4", "5"], ["2"]
+    found = [(20, [(0, 20)], i1, 20, 0, "1"), (20, [(0, 20)], i2, 20, 0, "2"), (40, [(0, 40)], sorted(i1 + i2), 20, 0, "1"), (400, [], [], 0, None, None), (39, [(0, 20), (21, 39)], i1, 20, 0, "1"), (0, [], [], 0, None, None)]
+    key = lambda r: repr(r)
+    assert sorted(map(plain, whole), key=key) == sorted([(str(i), *f) for i in (None, None, 7, 8) for f in found] + [("None", *found[5])], key=key)
+    kept = D.drop_contaminated(frame(spark, docs), items).collect()
+    assert sorted(map(repr, kept)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in docs if not t or t.startswith("clean"))
+
+
 def test_longest_match_and_place(spark):
     words = [f"w{i}" for i in range(30)]
     found = D.benchmark_matches(frame(spark, [(1, " ".join(["x", *words[3:25], "y", *words[:15]])), (2, "x y")]), frame(spark, [(5, " ".join(words))], "item_id long, text string"))
