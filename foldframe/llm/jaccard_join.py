@@ -110,7 +110,7 @@ def common_shingles(docs: DataFrame, words: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """docs(id, text) to (id, n, same, first, bits): set size, 128-bit hash of the set, the rarest shingles, the bitmap.
+    """docs(id, text, code) to (id, code, n, same, first, bits): set size, 128-bit hash of the set, the rarest shingles, the bitmap.
 
     Of n shingles the n - ceil(n * num / den) + 1 that come first in the common order are kept in ``first``: two sets that link share
     one of them. A set too small to link with a larger one links only with equal sets, and its ``first`` is empty.
@@ -140,14 +140,14 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     first = np.empty(0, np.int64)
                 for col, value in zip(out, (n, xxhash.xxh3_128_digest(s.tobytes()), first, bitmap(s).tobytes() if len(first) else b""), strict=True):
                     col.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["id", "n", "same", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("code"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["id", "code", "n", "same", "first", "bits"])
 
-    return docs.mapInArrow(run, "id long, n long, same binary, first array<long>, bits binary")
+    return docs.mapInArrow(run, "id long, code long, n long, same binary, first array<long>, bits binary")
 
 
 def bounded_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes whose bitmaps leave room for a link."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("n_a") * den >= F.col("n_b") * num).where(F.col("n_b") * den >= F.col("n_a") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +164,16 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int, work: Work, tag: str) -> DataFrame:
-    """Pairs (a, b) whose shingle sets link, by exact intersection of the sorted arrays.
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, work: Work, tag: str) -> DataFrame:
+    """Pairs (a, b) of nodes whose shingle sets link, by exact intersection of the sorted arrays.
 
-    Only texts that occur in a pair are shuffled. A node in very many pairs (the first of a group of copies) is a hot join key
+    A node's text is that of the row with its id and its text's hash. Only texts that occur in a pair are shuffled. A node in very many pairs (the first of a group of copies) is a hot join key
     that Spark may split; its set is computed once in each run of equal keys.
     """
     pairs = work.keep(pairs, f"{tag}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = work.keep(docs.join(ids, "id", "left_semi").select("id", "text"), f"{tag}-texts")
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "code"), "node")
+    texts = work.keep(docs.join(met, ["id", "code"]).select("node", "text"), f"{tag}-texts")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int,
 
 
 def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int, work: Work) -> DataFrame:
-    """tagged(shingle, id, component, n) to distinct pairs (a, b) of different components with room for a link.
+    """tagged(shingle, node, component, n) to distinct pairs (a, b) of different components with room for a link.
 
     A tile holds the sets with one shingle and a size of one band; sets of the band below come as guests, so sets whose sizes allow
     a link meet in one tile. Tiles of a band with the same smallest component are laid together: sets that share many shingles then
@@ -207,21 +207,21 @@ def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int, work: Wor
     placed = tagged.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("guest"))
     tiles = placed.groupBy("shingle", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("g"))
     tiles = tiles.where("lo < hi and g = 0").select("shingle", "band", "lo")
-    met = placed.join(tiles, ["shingle", "band"]).select("lo", "band", "guest", "id", "component", "n").distinct()
+    met = placed.join(tiles, ["shingle", "band"]).select("lo", "band", "guest", "node", "component", "n").distinct()
     met = work.keep(met, "met")
     sizes = met.groupBy("lo", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = met.join(sizes, ["lo", "band"]).join(bits.select("id", "bits"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = met.join(sizes, ["lo", "band"]).join(bits.select("node", "bits"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
     own = F.flatten(F.transform(others, lambda j: F.array(cell(0, F.least("block", j), F.greatest("block", j), F.col("block") > j), cell(1, F.col("block"), j, F.lit(0)))))
     cells = F.when(F.col("guest") == 0, own).otherwise(F.transform(others, lambda j: cell(1, j, F.col("block"), F.lit(1))))
-    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("lo", "band", "cell.*", "id", "component", "n", "bits")
+    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("lo", "band", "cell.*", "node", "component", "n", "bits")
     key = ["lo", "band", "kind", "x", "y"]
     ordered = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side, ids, comp, n = (t.column(c).to_numpy() for c in ("side", "id", "component", "n"))
+        side, ids, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "component", "n"))
         if not len(ids) or comp.min() == comp.max():
             return ids[:0], ids[:0]
         maps = [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
@@ -282,41 +282,47 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sequence where there are fewer. Two sets link when den * intersection >= num * union. Empty and null texts have no shingles and
     link with nothing.
 
-    Equal sets become one node. Nodes that share one of their rarest shingles form a tile. First every node is held against the
+    Equal sets become one node, known by a number of its own, as one id may have several sets. Nodes that share one of their rarest shingles form a tile. First every node is held against the
     smallest, then the largest node of each of its tiles, which finds groups of near copies with as many pairs as rows. After that
     only tiles with several components are compared, in size bands, bitmap against bitmap, pairs of different components only; what the bound
     lets pass is verified. So no link between different components is lost, and no group is expanded into all its pairs.
 
-    Ids are integers; rows that share an id are one document with several texts. A row with a null id has the component of the
+    Ids are integers; rows that share an id are one document with several texts, each with its own set and links, in one component. A row with a null id has the component of the
     rows with an equal set, or null.
     """
     work = Work(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("code"))
     signed = work.keep(signatures(rows, words, num, den), "signed")
-    whole = signed.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "first", "bits"), "id").alias("v"))
-    nodes = work.keep(whole.select("same", "id", "v.*"), "nodes")
-    wide = nodes.where(F.size("first") > 0).select("id", "n", "bits").dropDuplicates(["id"])
-    postings = nodes.where(F.size("first") > 0).select("id", "n", F.explode("first").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("shingle")
-    tagged = work.keep(postings.join(shared, "shingle").withColumn("component", F.col("id")), "tiles-0")
+    named = signed.where("n > 0 and id is not null")
+    whole = named.groupBy("same").agg(F.min_by(F.struct("id", "code", "n", "first", "bits"), F.struct("id", "code")).alias("v"))
+    nodes = work.keep(whole.select("same", "v.*", F.monotonically_increasing_id().alias("node")), "nodes")
+    postings = nodes.where(F.size("first") > 0).select("node", "n", F.explode("first").alias("shingle"))
+    shared = postings.groupBy("shingle").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("shingle")
+    tagged = work.keep(postings.join(shared, "shingle").withColumn("component", F.col("node")), "tiles-0")
+
+    # Sets of one id belong together.
+    several = named.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("id")
+    held = named.select("id", "same").join(several, "id").distinct().join(nodes.select("same", "node"), "same").select("id", "node")
+    links = [work.keep(held.join(held.groupBy("id").agg(F.min("node").alias("a")), "id").where("node <> a").select("a", F.col("node").alias("b")), "one-id")]
 
     # Every set is held against one of each of its tiles, first the smallest, then the largest: as many pairs as rows.
-    links = []
     for k, pick in enumerate((F.min_by, F.max_by), 1):
-        lead = tagged.groupBy("shingle").agg(pick(F.struct("id", "component"), "id").alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        star = tagged.join(lead.select("shingle", "lead"), "shingle").where("component <> lead.component").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        links.append(verified(rows, bounded_pairs(star, wide, num, den), words, num, den, work, f"star-{k}"))
+        lead = tagged.groupBy("shingle").agg(pick(F.struct("node", "component"), "node").alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        star = tagged.join(lead.select("shingle", "lead"), "shingle").where("component <> lead.component").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        links.append(verified(rows, nodes, bounded_pairs(star, nodes, num, den), words, num, den, work, f"star-{k}"))
         group = work.keep(components(reduce(DataFrame.unionByName, links), work, f"groups-{k}"), f"group-{k}")
-        named = tagged.drop("component").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        tagged = work.keep(named, f"tiles-{k}")
+        told = tagged.drop("component").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        tagged = work.keep(told, f"tiles-{k}")
         work.drop(f"tiles-{k - 1}")
 
-    across = verified(rows, tile_pairs(tagged, wide, num, den, work), words, num, den, work, "tile")
+    across = verified(rows, nodes, tile_pairs(tagged, nodes, num, den, work), words, num, den, work, "tile")
     of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     steps = across.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     merged = work.keep(components(steps, work, "merged"), "final")
-    first = nodes.select("same", "id").join(group.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("node"))
-    labels = first.join(merged, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    first = nodes.select("same", "id", "node").join(group, "node", "left").select("same", "id", F.coalesce("component", "node").alias("node"))
+    ends = work.keep(first.join(merged, "node", "left").select("same", "id", F.coalesce("component", "node").alias("node")), "ends")
+    least = ends.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "least")
+    labels = ends.join(least, "node", "left").select("same", F.coalesce("least", "id").alias("component_id"))
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same"))
     out = out.join(labels, "same", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -105,6 +105,15 @@ def test_join_of_nothing_nulls_and_repeats(spark):
     assert sorted(str(r.doc_id) for r in J.drop_near_copies(rows).collect()) == ["3", "None", "None", "None"]
 
 
+def test_each_text_of_an_id_keeps_its_links(spark):
+    """Ids 7 and 9 have two texts each: either text links to another document, and 9's first is also the text of 4."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(n)) for x, n in zip("abcd", (30, 90, 40, 120), strict=True))
+    rows = [(7, a), (7, b), (3, a + " end"), (5, b + " end"), (9, c), (9, d), (4, c), (6, d + " end"), (8, "w " * 9), (None, b), (7, None)]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in J.shingle_components(frame(spark, rows)).collect())
+    want = [("7", 27, 3), ("7", 87, 3), ("3", 28, 3), ("5", 88, 3), ("9", 37, 4), ("9", 117, 4), ("4", 37, 4), ("6", 118, 4), ("8", 1, 8), ("None", 87, 3), ("7", 0, 7)]
+    assert got == sorted(want)
+
+
 # ---------------------------------------------------------------- decontamination
 
 
