@@ -80,11 +80,12 @@ def enough(n_a: np.ndarray, n_b: np.ndarray, common: np.ndarray, num: int, den:
     return (num + den) * common >= num * (n_a + n_b)
 
 
-def common_shingles(docs: DataFrame, words: int) -> DataFrame:
+def common_shingles(docs: DataFrame, words: int, work: Work) -> DataFrame:
     """The most common shingles (at most COMMON rows: shingle, n), over whole texts of all documents.
 
     Each task counts stretches of shingles and reports those that occur often in a stretch; the reports are added up. The list
-    only orders shingles (common ones last); any order gives the same links, a good one gives small tiles.
+    only orders shingles (common ones last); any order gives the same links, a good one gives small tiles. The counts are written
+    ("counted"), and a histogram of them tells from which count on shingles fit; of those at the last count, a range of hashes does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +106,25 @@ def common_shingles(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield report()
 
-    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "shingle").limit(COMMON)
+    found = work.keep(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "counted")
+    level = F.least("n", F.lit(1 << 16))
+    room = COMMON
+    for count, ties in sorted(map(tuple, found.groupBy(level.alias("count")).agg(F.count(F.lit(1))).collect()), reverse=True):
+        if ties > room:
+            part = max(0, room - 4 * math.isqrt(room))  # hashes spread evenly, so four deviations below the room stay within it
+            return found.where((level > count) | ((level == count) & (F.col("shingle") < F.lit(part * 2**64 // ties - 2**63))))
+        room -= ties
+    return found
 
 
-def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, num: int, den: int, work: Work) -> DataFrame:
     """docs(id, text, code) to (id, code, n, same, first, bits): set size, 128-bit hash of the set, the rarest shingles, the bitmap.
 
     Of n shingles the n - ceil(n * num / den) + 1 that come first in the common order are kept in ``first``: two sets that link share
     one of them. A set too small to link with a larger one links only with equal sets, and its ``first`` is empty.
     """
-    common = common_shingles(docs, words).toArrow()
+    common = common_shingles(docs, words, work).toArrow()
+    work.drop("counted")
     shingles, counts = (common.column(c).to_numpy() for c in ("shingle", "n"))
     by_value = np.argsort(shingles.view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast((shingles.view(np.uint64)[by_value], np.minimum(counts[by_value], 2**31 - 1).astype(np.int32)))
@@ -292,7 +301,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     work = Work(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("code"))
-    signed = work.keep(signatures(rows, words, num, den), "signed")
+    signed = work.keep(signatures(rows, words, num, den, work), "signed")
     named = signed.where("n > 0 and id is not null")
     whole = named.groupBy("same").agg(F.min_by(F.struct("id", "code", "n", "first", "bits"), F.struct("id", "code")).alias("v"))
     nodes = work.keep(whole.select("same", "v.*", F.monotonically_increasing_id().alias("node")), "nodes")

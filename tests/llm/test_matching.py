@@ -114,6 +114,19 @@ def test_each_text_of_an_id_keeps_its_links(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("room", [0, 100, 700, 1 << 20])
+def test_common_shingles_are_picked_in_parallel(spark, monkeypatch, room):
+    monkeypatch.setattr(J, "COMMON", room)
+    texts = [" ".join(f"{k}w{i}" for i in range(500)) for k in range(2)]
+    docs = frame(spark, [(i, texts[i % 5 == 0]) for i in range(15)]).coalesce(1)
+    found = J.common_shingles(docs, 1, J.Work(spark, "common"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan and "SinglePartition" not in plan
+    n = sorted((r.n for r in found.collect()), reverse=True)
+    assert n == ([12] * 500 + [3] * 500)[: len(n)]
+    assert len(n) == 1000 if room == 1 << 20 else room * 0.4 <= len(n) <= room
+
+
 # ---------------------------------------------------------------- decontamination
 
 
