@@ -14,9 +14,11 @@ from foldframe.llm.jaccard_join import shingle_components
 from foldframe.llm.legacy_archive import archived_pages
 from foldframe.llm.merge_encoding import encode_decode
 from foldframe.llm.rank_language import held_out, learned_profiles, predict_language
+from foldframe.llm.repair_shards import sharded_ids
 from foldframe.llm.site_quality import site_quality
 from foldframe.llm.suffix_decontam import benchmark_matches, contamination
 from foldframe.llm.viterbi_counts import count_tokens, model_pieces
+from foldframe.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +160,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = preference_pairs(derived_rejections(conversations(table(spark, sf_dir, "conversations"))))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",").alias(c)
     return made.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
+
+
+@query("op11_repair_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_ids(table(spark, sf_dir, "documents"), model_file("byte_bpe_50k.json"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
