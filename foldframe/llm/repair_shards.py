@@ -6,6 +6,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,7 +27,11 @@ LEAST = 64
 STRIDE = 1024
 #: A single blank between two characters that are no white space; the pattern of byte-level vocabularies always cuts there.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
+#: Marks cut off the end of a chunk, so that a word is merged once, not once with each mark.
+MARKS = ".,;:!?"
+#: Letters below this character are letters to every Unicode version.
+SETTLED = "\u0250"
 
 
 # ---------------------------------------------------------------- encoding
@@ -45,12 +50,32 @@ class ChunkEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.width = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.width is np.uint16 else "I"
+        self.merged = self.lib.model.tokenize
+        # Byte-level vocabularies write a byte as a visible character: itself, or one from 256 on in order of the rest.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b) if b in plain else chr(256 + hidden.index(b)) for b in range(256)}
+        self.marks = {m: array(self.code, self.lib.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
 
     def learn(self, known: dict[str, bytes], chunks: list[str], before: str) -> None:
-        for c, e in zip(chunks, self.lib.encode_batch([before + c for c in chunks], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, self.width).tobytes()
+        """Remember the ids of ``before + chunk``: words of letters go to the library's model as they are, one piece each; anything else goes through all of the library."""
+        words, rest = {}, []
+        for c in chunks:
+            word = c[:-1] if c[-1:] in self.marks else c
+            if word.isalpha() and max(word) < SETTLED:
+                words.setdefault(word, []).append(c[len(word) :])
+            else:
+                rest.append(c)
+        shown = "\n".join(before + w for w in words).encode("utf-8").decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
+        for (word, ends), name in zip(words.items(), shown, strict=True):
+            ids = array(self.code, [t.id for t in self.merged(name)]).tobytes()
+            for end in ends:
+                known[word + end] = ids + self.marks[end] if end else ids
+        for c, e in zip(rest, self.lib.encode_batch_fast([before + c for c in rest], add_special_tokens=False), strict=True):
+            known[c] = array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) + len(self.first) > CACHE_ENTRIES:
