@@ -253,40 +253,25 @@ class Shard:
 # ---------------------------------------------------------------- tables
 
 
-def encoded_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> tuple[DataFrame, np.dtype]:
-    """Rows (id, code, ids): ids of the whole text with ``end_id`` behind, packed; ``code`` orders rows of one id."""
-    width = np.dtype(encoder(tokenizer).width)
-    end = np.array([end_id], width).tobytes()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("code"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        for part in slices(batches):
-            ids = [b + end for b in encode(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("code"), pa.array(ids, pa.binary())], ["id", "code", "ids"])
-
-    return rows.mapInArrow(run, "id long, code long, ids binary"), width
-
-
-def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = SHARD_IDS, least: int = LEAST, work: Work | None = None) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = SHARD_IDS, least: int = LEAST) -> None:
     """Write the ids of all documents in ascending id order as shards: a Parquet table of (part, block, ids, n_ids, payload).
 
     A row is one shard, ``payload`` its file as described at Shard, ``ids`` its document ids. Parts follow each other in document
     order, blocks within a part too. Null texts count as empty; null ids come first; rows of one id follow by a hash of their text. An
-    id that many rows share is spread over parts. Whole documents go into a shard until it holds ``shard_ids`` ids.
+    id that many rows share is spread over parts. Texts are shuffled, and encoded where their shard is made. Whole documents go into a shard until it holds ``shard_ids`` ids.
     """
     spark = docs.sparkSession
-    work = work or Work(spark, "shards")
-    rows, width = encoded_ids(docs, tokenizer, id_col, text_col, end_id)
-    rows = work.keep(rows, "ids")  # the range partitioner reads keys twice; the texts are encoded once
-    vocabulary = encoder(tokenizer).lib.get_vocab_size()
+    width = np.dtype(encoder(tokenizer).width)
+    vocabulary, end = encoder(tokenizer).lib.get_vocab_size(), np.array([end_id], width).tobytes()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["id", "code", "ids"]
-    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096))).repartitionByRange(parts, "id", "code", "salt").drop("salt").sortWithinPartitions(*order)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("code"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).alias("salt"), text.alias("text"))
+    dealt = rows.repartitionByRange(parts, "id", "code", "salt").sortWithinPartitions("id", "code", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        encode = encoder(tokenizer)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         names, held, size = [], [], 0
 
@@ -297,7 +282,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             return pa.RecordBatch.from_arrays(cols, ["part", "block", "ids", "n_ids", "payload"])
 
         for piece in slices(batches):
-            for name, ids in zip(piece.column("id").to_pylist(), piece.column("ids").to_pylist(), strict=True):
+            for name, ids in zip(piece.column("id").to_pylist(), encode(piece.column("text").to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // width.itemsize
                 if held and size + n > shard_ids:
                     yield shard()
@@ -308,8 +294,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if held:
             yield shard()
 
-    dealt.mapInArrow(run, "part int, block int, ids array<long>, n_ids long, payload binary").write.parquet(path)
-    work.drop("ids")
+    dealt.select("id", "text").mapInArrow(run, "part int, block int, ids array<long>, n_ids long, payload binary").write.parquet(path)
 
 
 def read_shards(spark, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -339,5 +324,5 @@ def read_shards(spark, path: str, id_col: str = "doc_id") -> DataFrame:
 def sharded_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = SHARD_IDS, least: int = LEAST) -> DataFrame:
     """Write the shards of ``docs`` below the shared folder and read every document back from them (see write_shards, read_shards)."""
     work = Work(docs.sparkSession, "shards")
-    write_shards(docs, work.path("table"), tokenizer, id_col, text_col, end_id, shard_ids, least, work)
+    write_shards(docs, work.path("table"), tokenizer, id_col, text_col, end_id, shard_ids, least)
     return read_shards(docs.sparkSession, work.path("table"), id_col)
