@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldframe.llm.chat_preference import conversations, derived_rejections, preference_pairs
+from foldframe.llm.collocations import collocations
 from foldframe.llm.exact_dedup import exact_groups
 from foldframe.llm.html_graph import extract, train
 from foldframe.llm.jaccard_join import shingle_components
@@ -170,3 +171,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+OP13_SQL = f"""with recursive p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({ASCII.format('text')}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+  w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+  n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+  g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (values (1), (2), (3), (4)) as s(k) where len(w) >= k),
+  f as (select lang, k, phrase, count(*) as f from g group by lang, k, phrase having count(*) >= 30),
+  c as (select lang, k, phrase, f as a, unnest(range(1, k)) as cut, string_split(phrase, ' ') as w from f where k > 1),
+  s as (select c.lang, c.phrase, c.k, c.a, c.cut, l.f as l, r.f as r, cast((2000000 * c.a::hugeint) // (l.f + r.f) as bigint) as score from c
+    join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:cut], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(w[cut + 1:], ' ')),
+  b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+  o as (select f.lang, array_to_string(string_split(f.phrase, ' ')[i:i + j - 1], ' ') as phrase, max(f.f) as f from f, range(1, 5) as x(i), range(2, 4) as y(j) where j < f.k and i + j - 1 <= f.k group by 1, 2),
+  k as (select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, score from b left join o on o.lang = b.lang and o.phrase = b.phrase where o.f is null or 100 * o.f < 80 * a)
+  select k.lang, rank, phrase, a, l, r, n.n, score from k join n on n.lang = k.lang where rank <= 2000"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

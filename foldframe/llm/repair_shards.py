@@ -22,16 +22,14 @@ MAGIC = b"RPR1"
 #: Ids of a shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: A pair becomes a rule while it occurs this often in its shard.
-LEAST = 64
+LEAST = 128
 #: Symbols between two entries of a shard's index.
 STRIDE = 1024
-#: A single blank between two characters that are no white space; the pattern of byte-level vocabularies always cuts there.
-BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: A single blank between two visible characters; and a blank or line end that does not stand so.
+BORDER, DOUBT = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[ \n](?:(?!\S)|(?<!\S[ \n]))")
+#: A word of letters that are letters to every version of Unicode, with one mark behind it or none.
+WORD = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)\\Z")
 CACHE_ENTRIES = 1_000_000
-#: Marks cut off the end of a chunk, so that a word is merged once, not once with each mark.
-MARKS = ".,;:!?"
-#: Letters below this character are letters to every Unicode version.
-SETTLED = "\u0250"
 
 
 # ---------------------------------------------------------------- encoding
@@ -41,7 +39,8 @@ class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, which sees every distinct chunk once while it is remembered.
 
     Byte-level vocabularies cut a text before a single blank that stands between two visible characters, whatever is around it, and
-    merge within the cut pieces only. So the ids of a text are those of its chunks between such blanks, one after the other.
+    merge within the cut pieces only; a single line end between visible characters is a piece of its own. So the ids of a text are those of its chunks
+    between such places, one after the other. Texts with other blanks or line ends are cut at the undoubted blanks alone.
     """
 
     def __init__(self, path: str):
@@ -56,43 +55,45 @@ class ChunkEncoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in plain]
         self.alphabet = {b: chr(b) if b in plain else chr(256 + hidden.index(b)) for b in range(256)}
-        self.marks = {m: array(self.code, self.lib.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.marks = {m: array(self.code, self.lib.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,;:!?"}
+        self.line_end = array(self.code, self.lib.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # first chunks of texts, and those behind a blank or line end
 
-    def learn(self, known: dict[str, bytes], chunks: list[str], before: str) -> None:
-        """Remember the ids of ``before + chunk``: words of letters go to the library's model as they are, one piece each; anything else goes through all of the library."""
-        words, rest = {}, []
+    def learn(self, kind: int, chunks: list[str]) -> None:
+        """Remember the ids of chunks: words of letters go to the library's model as they are, one piece each; anything else goes through all of the library."""
+        known, need, rest = self.known[kind], {}, []
         for c in chunks:
-            word = c[:-1] if c[-1:] in self.marks else c
-            if word.isalpha() and max(word) < SETTLED:
-                words.setdefault(word, []).append(c[len(word) :])
-            else:
+            shape = WORD.match(c)
+            if shape is None:
                 rest.append(c)
-        shown = "\n".join(before + w for w in words).encode("utf-8").decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
-        for (word, ends), name in zip(words.items(), shown, strict=True):
+            else:
+                line, word, mark = shape.groups()
+                need.setdefault("\u0120" + word if kind and not line else word, []).append((c, line, mark))
+        shown = "\n".join(need).replace("\u0120", " ").encode("utf-8").decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
+        for uses, name in zip(need.values(), shown, strict=True):
             ids = array(self.code, [t.id for t in self.merged(name)]).tobytes()
-            for end in ends:
-                known[word + end] = ids + self.marks[end] if end else ids
-        for c, e in zip(rest, self.lib.encode_batch_fast([before + c for c in rest], add_special_tokens=False), strict=True):
+            for c, line, mark in uses:
+                known[c] = (self.line_end if line else b"") + ids + (self.marks[mark] if mark else b"")
+        before = ["" if not kind or c[:1] == "\n" else " " for c in rest]
+        for c, e in zip(rest, self.lib.encode_batch_fast([b + c for b, c in zip(before, rest, strict=True)], add_special_tokens=False), strict=True):
             known[c] = array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.first) > CACHE_ENTRIES:
-            self.inner.clear()
-            self.first.clear()
-        cut = [t.split(" ") for t in texts]
-        rows = [[self.first.get(c[0]), *map(self.inner.get, c[1:])] for c in cut]
-        late = [k for k, row in enumerate(rows) if None in row]
-        for k in late:  # chunks at doubtful blanks are never remembered on their own, so such texts are cut anew
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in cut[k]):
-                cut[k] = BORDER.split(texts[k])
-        fresh = ({cut[k][0] for k in late} - self.first.keys(), {c for k in late for c in cut[k][1:]} - self.inner.keys())
-        for known, chunks, before in zip((self.first, self.inner), fresh, ("", " "), strict=True):
-            if chunks:
-                self.learn(known, sorted(chunks), before)
-        for k in late:
-            rows[k] = [self.first[cut[k][0]], *map(self.inner.__getitem__, cut[k][1:])]
+        first, inner = self.known
+        if len(first) + len(inner) > CACHE_ENTRIES:
+            first.clear()
+            inner.clear()
+        cut = [BORDER.split(t) if DOUBT.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        rows = [[first.get(c[0]), *map(inner.get, c[1:])] for c in cut]
+        late = [(k, [i for i, r in enumerate(row) if r is None]) for k, row in enumerate(rows) if None in row]
+        for kind in (0, 1):
+            fresh = {cut[k][i] for k, missing in late for i in missing if (i > 0) == kind}
+            if fresh:
+                self.learn(kind, sorted(fresh))
+        for k, missing in late:
+            row, c = rows[k], cut[k]
+            for i in missing:
+                row[i] = self.known[i > 0][c[i]]
         return [b"".join(row) for row in rows]
 
 
@@ -109,22 +110,18 @@ def encoder(path: str) -> ChunkEncoder:
 # ---------------------------------------------------------------- grammar
 
 
-def best_pairs(seq: np.ndarray, least: int, room: int) -> np.ndarray:
-    """Keys (left << 32 | right) of frequent pairs that can be replaced together, most frequent first.
+def chosen_pairs(keys: np.ndarray, counts: np.ndarray, width: int, room: int) -> np.ndarray:
+    """Keys (left * width + right) of pairs that can be replaced together, most frequent first.
 
     Of two pairs that could overlap, that is one ends with the symbol the other starts with, the more frequent stays; ties go to the
-    smaller key. A pair of one symbol with itself stands alone. Only pairs at least an eighth as frequent as the first are taken at once, rarer ones wait
+    smaller key. A pair of one symbol with itself stands alone. Only pairs at least 1/32 as frequent as the first are taken at once, rarer ones wait
     for the counts after it.
     """
-    keys = seq[:-1].astype(np.int64) << 32 | seq[1:]
-    keys.sort()
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-    counts, values = np.diff(edge), keys[edge[:-1]]
-    often = counts >= max(least, int(counts.max(initial=0)) // 8)
-    counts, values = counts[often], values[often]
+    often = counts * 32 >= counts.max(initial=0)
+    keys, counts = keys[often], counts[often]
     out, starts, ends = [], set(), set()
-    for key in values[np.lexsort((values, -counts))].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+    for key in keys[np.lexsort((keys, -counts))].tolist():
+        a, b = divmod(key, width)
         if a in ends or b in starts or (a == b and (a in starts or b in ends)):
             continue
         out.append(key)
@@ -135,46 +132,58 @@ def best_pairs(seq: np.ndarray, least: int, room: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def replace(seq: np.ndarray, keys: np.ndarray, first: int) -> np.ndarray:
-    """``seq`` with every pair of ``keys`` replaced by first, first + 1, ...; a run of one symbol is paired from its left end."""
-    order = np.argsort(keys)
-    by_key = keys[order]
-    top = int(max(seq.max(), (keys >> 32).max(), (keys & 0xFFFFFFFF).max())) + 1
-    starts, ends = np.zeros(top, bool), np.zeros(top, bool)
-    starts[keys >> 32] = True
-    ends[keys & 0xFFFFFFFF] = True
-    at = np.flatnonzero(starts[seq[:-1]] & ends[seq[1:]])
-    pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
-    place = np.minimum(np.searchsorted(by_key, pair), len(by_key) - 1)
-    hit = by_key[place] == pair
-    at, place = at[hit], place[hit]
-    twin = np.flatnonzero(seq[at] == seq[at + 1])
-    if len(twin):  # a a a: every second place of a run
-        t = at[twin]
-        head = np.concatenate(([True], np.diff(t) != 1))
-        start = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
-        keep = np.ones(len(at), bool)
-        keep[twin] = (np.arange(len(t)) - start) % 2 == 0
-        at, place = at[keep], place[keep]
-    out = seq.copy()
-    out[at] = first + order[place]
-    stay = np.ones(len(seq), bool)
-    stay[at + 1] = False
-    return out[stay]
-
-
 def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule k stands for symbol vocabulary + k and holds its two parts. Pairs are replaced until none is frequent
-    or symbols no longer fit 16 bits (32 where the vocabulary does not fit 16)."""
-    seq, rules = ids.astype(np.uint32), []
+    """(rules, symbols): rule k stands for symbol vocabulary + k and holds its two parts.
+
+    Pairs that occur ``least`` times are replaced, round by round, until there is none or symbols no longer fit 16 bits (32 where the vocabulary does
+    not fit 16). Only symbols as frequent as that can be in such a pair; they are numbered, so pairs are counted in a table of all their pairs,
+    or by sorting where that table would be larger than the shard. A run of one symbol is paired from its left end.
+    """
+    seq, rules = ids.astype(np.int32), []
     limit = 1 << 16 if vocabulary <= 1 << 16 else 1 << 31
     while len(seq) > 1 and (room := limit - vocabulary - len(rules)) > 0:
-        keys = best_pairs(seq, least, room)
+        frequent = np.flatnonzero(np.bincount(seq) >= least)
+        width = len(frequent) + 1
+        number = np.zeros(int(seq.max()) + 1, np.int64)
+        number[frequent] = np.arange(1, width)
+        own = number[seq]
+        pair = own[:-1] * width + own[1:]
+        pair[(own[:-1] == 0) | (own[1:] == 0)] = 0
+        if width * width <= 4 * len(seq):
+            counts = np.bincount(pair, minlength=width * width)
+            counts[0] = 0
+            keys = np.flatnonzero(counts >= least)
+            counts = counts[keys]
+        else:
+            keys, counts = np.unique(pair[pair > 0], return_counts=True)
+            keys, counts = keys[counts >= least], counts[counts >= least]
+        keys = chosen_pairs(keys, counts, width, room)
         if not len(keys):
             break
-        seq = replace(seq, keys, vocabulary + len(rules))
-        rules.extend(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True))
-    return np.array(rules, np.uint32).reshape(-1, 2), seq
+        order = np.argsort(keys)
+        if width * width <= 4 * len(seq):
+            rule = np.full(width * width, -1, np.int32)
+            rule[keys] = np.arange(len(keys))
+            at = np.flatnonzero(rule[pair] >= 0)
+            which = rule[pair[at]]
+        else:
+            place = np.minimum(np.searchsorted(keys[order], pair), len(keys) - 1)
+            at = np.flatnonzero(keys[order][place] == pair)
+            which = order[place[at]]
+        twin = np.flatnonzero(seq[at] == seq[at + 1])
+        if len(twin):  # a a a: every second place of a run
+            t = at[twin]
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(t) != 1)), np.arange(len(t)), 0))
+            keep = np.ones(len(at), bool)
+            keep[twin] = (np.arange(len(t)) - start) % 2 == 0
+            at, which = at[keep], which[keep]
+        seq[at] = vocabulary + len(rules) + which
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq = seq[stay]
+        left, right = frequent[keys // width - 1], frequent[keys % width - 1]
+        rules.extend(zip(left.tolist(), right.tolist(), strict=True))
+    return np.array(rules, np.uint32).reshape(-1, 2), seq.astype(np.uint32)
 
 
 class Shard:
