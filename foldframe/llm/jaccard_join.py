@@ -21,8 +21,10 @@ COUNTED_TOGETHER, REPORTED_FROM = 1 << 22, 2
 COMMON = 1 << 20
 #: Rows of a tile's block; a tile of more rows is compared block against block in separate tasks.
 BLOCK = 1024
-#: Bitmap words compared at a time.
-AT_ONCE = 1 << 20
+#: Bits for each shingle of a cell's largest set, and bits of all bitmaps of a cell at most; fewer bits let more pairs through to exact work.
+BITS, MAP_BITS = 16, 1 << 29
+#: Keys over which the rows of a tile are dealt while they learn its size.
+SALTS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -203,70 +205,83 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, nu
     return links
 
 
-def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int, work: Work) -> DataFrame:
-    """tagged(shingle, node, component, n) to distinct pairs (a, b) of different components with room for a link.
+def cell_links(sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components, of rows ``left`` against ``right`` (None: among themselves): at most one less than there are rows.
+
+    Rows of one component are not compared; bitmaps bound the overlap of the others, and what they let pass is intersected exactly. ``root``
+    holds the component of each row and follows the links found.
+    """
+    n = np.array([len(s) for s in sets])
+    bits = max(64, 1 << (BITS * int(n.max()) - 1).bit_length())
+    while bits > 64 and bits * len(sets) > MAP_BITS:
+        bits //= 2
+    maps = np.zeros((len(sets), bits // 8), np.uint8)
+    for k, s in enumerate(sets):
+        flags = np.zeros(bits, np.uint8)
+        flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+        maps[k] = np.packbits(flags, bitorder="little")
+    maps, out = maps.view(np.uint64), []
+    for at, i in enumerate(left.tolist()):
+        j = left[at + 1 :] if right is None else right
+        j = j[(root[j] != root[i]) & (n[j] * den >= n[i] * num) & (n[i] * den >= n[j] * num)]
+        if not len(j):
+            continue
+        u, v = maps[i], maps[j]
+        most = np.minimum(n[i] - np.bitwise_count(u & ~v).sum(1, dtype=np.int64), n[j] - np.bitwise_count(v & ~u).sum(1, dtype=np.int64))
+        for k in j[enough(n[i], n[j], most, num, den)].tolist():
+            if root[k] == root[i]:
+                continue
+            small, large = (sets[i], sets[k]) if n[i] <= n[k] else (sets[k], sets[i])
+            place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            if enough(n[i], n[k], int((large[place] == small).sum()), num, den):
+                root[root == root[k]] = root[i]
+                out.append((i, k))
+    return out
+
+
+def tile_links(docs: DataFrame, tagged: DataFrame, nodes: DataFrame, words: int, num: int, den: int, work: Work) -> DataFrame:
+    """tagged(shingle, node, component, n) to links (a, b) between different components, enough to join all that belong together.
 
     A tile holds the sets with one shingle and a size of one band; sets of the band below come as guests, so sets whose sizes allow
     a link meet in one tile. Tiles of a band with the same smallest component are laid together: sets that share many shingles then
-    meet once, not once a shingle. Only tiles with several components get their bitmaps. A tile beyond BLOCK rows is dealt out as
-    pairs of blocks, each compared in a task of its own.
+    meet once, not once a shingle. Only tiles with several components get their texts. A tile beyond BLOCK rows is dealt out as
+    pairs of blocks, each compared in a task of its own. A cell intersects exactly and returns fewer links than it has rows.
     """
     step = math.log(den / num) * 1.0001  # sizes that allow a link are less than one band apart
     band = F.floor(F.log("n") / F.lit(step))
     placed = tagged.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("guest"))
     tiles = placed.groupBy("shingle", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("g"))
     tiles = tiles.where("lo < hi and g = 0").select("shingle", "band", "lo")
-    met = placed.join(tiles, ["shingle", "band"]).select("lo", "band", "guest", "node", "component", "n").distinct()
-    met = work.keep(met, "met")
-    sizes = met.groupBy("lo", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = met.join(sizes, ["lo", "band"]).join(bits.select("node", "bits"), "node")
+    met = placed.join(tiles, ["shingle", "band"]).select("lo", "band", "guest", "node", "component").distinct()
+    met = work.keep(met.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "met")
+    # Tiles beyond one block are at most one in BLOCK rows; their sizes are laid out once for each salt, so no tile's rows come together here.
+    large = met.groupBy("lo", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    held = nodes.select("node", "id", "code").join(met.select("node").distinct(), "node")
+    texts = work.keep(docs.join(held, ["id", "code"]).groupBy("node").agg(F.first("text").alias("text")), "tile-texts")
+    rows = met.join(large, ["lo", "band", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(texts, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
     own = F.flatten(F.transform(others, lambda j: F.array(cell(0, F.least("block", j), F.greatest("block", j), F.col("block") > j), cell(1, F.col("block"), j, F.lit(0)))))
     cells = F.when(F.col("guest") == 0, own).otherwise(F.transform(others, lambda j: cell(1, j, F.col("block"), F.lit(1))))
-    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("lo", "band", "cell.*", "node", "component", "n", "bits")
+    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("lo", "band", "cell.*", "node", "component", "text")
     key = ["lo", "band", "kind", "x", "y"]
-    ordered = dealt.repartition(*key).sortWithinPartitions(*key)
-
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side, ids, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "component", "n"))
-        if not len(ids) or comp.min() == comp.max():
-            return ids[:0], ids[:0]
-        maps = [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
-        w = min(map(len, maps))
-        bits = np.stack([fold(b, w) for b in maps])
-        within = t.column("kind")[0].as_py() == 0 and t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        left = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
-        right = left if within else np.flatnonzero(side == 1)
-        out = []
-        rows_at_once = max(1, AT_ONCE // max(1, len(right) * w))
-        for at in range(0, len(left), rows_at_once):
-            i = left[at : at + rows_at_once, None]
-            j = right[None, :]
-            may = (comp[i] != comp[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
-            if within:
-                may &= i < j
-            p, q = np.nonzero(may)
-            if not len(p):
-                continue
-            i, j = left[at + p], right[q]
-            u, v = bits[i], bits[j]
-            most = np.minimum(n[i] - np.bitwise_count(u & ~v).sum(1), n[j] - np.bitwise_count(v & ~u).sum(1))
-            good = enough(n[i], n[j], most, num, den)
-            out.append(np.stack([np.minimum(ids[i], ids[j])[good], np.maximum(ids[i], ids[j])[good]]))
-        pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pairs[0], pairs[1]
+    ordered = dealt.repartition(*key).sortWithinPartitions(*key, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def closed(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    x, y = compare(t.slice(a, b - a))
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+        cut, rest = Shingler(words), []
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            side, ids, comp = (t.column(c).to_numpy() for c in ("side", "node", "component"))
+            within = t.column("kind")[0].as_py() == 0 and t.column("x")[0].as_py() == t.column("y")[0].as_py()
+            left, right = (np.arange(len(ids)), None) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            if comp.min() == comp.max() or not len(left) or (right is not None and not len(right)):
+                return
+            found = cell_links([cut(x) for x in t.column("text").to_pylist()], comp.copy(), left, right, num, den)
+            if found:
+                a, b = ids[np.array(found).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([*rest, batch])
@@ -275,13 +290,18 @@ def tile_pairs(tagged: DataFrame, bits: DataFrame, num: int, den: int, work: Wor
                 col = t.column(c).to_numpy()
                 change[1:] |= col[1:] != col[:-1]
             starts = np.concatenate(([0], np.flatnonzero(change)))
-            yield from closed(t, starts)
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if b - a > 1:
+                    yield from compare(t.slice(a, b - a))
             rest = t.slice(starts[-1]).to_batches()
         if rest:
             t = pa.Table.from_batches(rest)
-            yield from closed(t, np.array([0, t.num_rows]))
+            if t.num_rows > 1:
+                yield from compare(t)
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    links = work.keep(ordered.mapInArrow(run, "a long, b long"), "tile-links")
+    work.drop("tile-texts")
+    return links
 
 
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -294,7 +314,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal sets become one node, known by a number of its own, as one id may have several sets. Nodes that share one of their rarest shingles form a tile. First every node is held against the
     smallest, then the largest node of each of its tiles, which finds groups of near copies with as many pairs as rows. After that
     only tiles with several components are compared, in size bands, bitmap against bitmap, pairs of different components only; what the bound
-    lets pass is verified. So no link between different components is lost, and no group is expanded into all its pairs.
+    lets pass is intersected exactly in the same cell, which returns fewer links than it has rows. So no link between different components is lost, and no group is expanded into all its pairs.
 
     Ids are integers; rows that share an id are one document with several texts, each with its own set and links, in one component. A row with a null id has the component of the
     rows with an equal set, or null.
@@ -324,7 +344,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tagged = work.keep(told, f"tiles-{k}")
         work.drop(f"tiles-{k - 1}")
 
-    across = verified(rows, nodes, tile_pairs(tagged, nodes, num, den, work), words, num, den, work, "tile")
+    across = tile_links(rows, tagged, nodes, words, num, den, work)
     of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     steps = across.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     merged = work.keep(components(steps, work, "merged"), "final")

@@ -69,7 +69,7 @@ class ChunkEncoder:
             else:
                 line, word, mark = shape.groups()
                 need.setdefault("\u0120" + word if kind and not line else word, []).append((c, line, mark))
-        shown = "\n".join(need).replace("\u0120", " ").encode("utf-8").decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
+        shown = "\n".join(need).replace("\u0120", " ").encode("utf-8").decode("latin-1").translate(self.alphabet).split(self.alphabet[10]) if need else []
         for uses, name in zip(need.values(), shown, strict=True):
             ids = array(self.code, [t.id for t in self.merged(name)]).tobytes()
             for c, line, mark in uses:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,31 @@ def test_suffix_array_orders_suffixes():
     for _ in range(50):
         codes = [dice.randrange(3) for _ in range(dice.randint(1, 60))]
         assert D.suffix_array(np.array(codes), 64).tolist() == sorted(range(len(codes)), key=lambda i: codes[i:])
+
+
+def test_a_cell_of_near_copies_returns_fewer_links_than_rows():
+    """Copies of one base at and around the limit, where half of all pairs link: exact, joined in the cell, never expanded."""
+    dice = random.Random(11)
+    cut = J.Shingler(5)
+    for changed, joined in ((3, True), (5, None), (9, None), (40, False)):
+        base = [f"w{i}" for i in range(160)]
+        texts = []
+        for k in range(120):
+            words = list(base)
+            for at in dice.sample(range(160), changed):
+                words[at] = f"x{k}-{at}"
+            texts.append(" ".join(words))
+        sets = [cut(t) for t in texts]
+        root = np.arange(len(sets))
+        links = J.cell_links(sets, root, np.arange(len(sets)), None, 80, 100)
+        assert all(100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in links)
+        comp = dict(enumerate(range(len(sets))))
+        for a in range(len(sets)):
+            for b in range(a):
+                same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same) and comp[a] != comp[b]:
+                    comp = {k: comp[b] if c == comp[a] else c for k, c in comp.items()}
+        assert len(links) == len(sets) - len(set(comp.values())) < len(sets)
+        assert [len(set(root[[k for k in comp if comp[k] == c]])) for c in set(comp.values())] == [1] * len(set(comp.values()))
+        if joined is not None:
+            assert bool(links) == joined
