@@ -38,75 +38,124 @@ def domain_size(pus: Column) -> Column:
     return total(pus, lambda u: F.get("ends", u) - F.get("starts", u) + 1).cast("int")
 
 
-def with_domain_info(partitions: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Add ``info``: per domain its units, inner sum (half the block) and size."""
-    info = F.transform("doms", lambda d: F.struct(d.alias("pus"), (block_sum(d, d) / 2).alias("inn"), domain_size(d).alias("size")))
-    return partitions.join(matrix, "ck").withColumn("info", info)
+#: What a partition carries beside its domains: inner sums and sizes of the domains, and the contacts between them as the upper triangle of
+#: their matrix, row by row.
+CARRIED = ("inn", "size", "ext")
+
+
+def domain_pairs(n: Column) -> Column:
+    """Pairs (i, j), i < j, of n domains in the order of ``ext``."""
+    row = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), row))).otherwise(none)
+
+
+def contacts_of(a: Column, b: Column) -> Column:
+    """Entry of ``ext`` between domains a < b of the row."""
+    return F.get("ext", F.shiftright(a * (2 * F.size("doms") - a - 1), 1) + b - a - 1)
+
+
+def condensed(partitions: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Partitions with their carried columns; those that have them stay as they are, others get them from the unit contacts."""
+    if set(CARRIED) <= set(partitions.columns):
+        return partitions
+    between = F.transform(domain_pairs(F.size("doms")), lambda p: block_sum(F.get("doms", p["i"]), F.get("doms", p["j"])))
+    return partitions.join(matrix, "ck").select(*partitions.columns, F.transform("doms", lambda d: block_sum(d, d) / 2).alias("inn"),
+                                                F.transform("doms", domain_size).alias("size"), between.alias("ext"))
 
 
 def normalised(ext: Column, size_a: Column, size_b: Column) -> Column:
     return ext / (F.pow(size_a, F.lit(K.SIZE_EXPONENT)) * F.pow(size_b, F.lit(K.SIZE_EXPONENT)))
 
 
-def over_pairs(value) -> Column:
-    """Array of value(i, j, a, b, contacts between them) over all domain pairs i < j of the row's ``info``."""
-    last = F.size("info") - 1
+def scored_pairs(partitions: DataFrame) -> DataFrame:
+    """Add ``_p``: of every pair of domains key (falling ratio, rounded), i, j, nnc and ratio."""
+
+    def scored(p: Column, sums: Column) -> Column:
+        i, j = p["i"], p["j"]
+        nnc = normalised(F.greatest(sums, F.lit(K.EXTERNAL_FLOOR)), F.get("size", i), F.get("size", j))
+        ratio = nnc / ((F.get("inn", i) + F.get("inn", j)) / (F.get("size", i) * F.get("size", j)))
+        return F.struct((-F.round(ratio, 9)).alias("key"), i.alias("i"), j.alias("j"), nnc.alias("nnc"), ratio.alias("ratio"))
 
-    def row(i: Column) -> Column:
-        return F.transform(F.sequence(i + 1, last), lambda j: value(i, j, F.get("info", i), F.get("info", j), block_sum(F.get("info", i)["pus"], F.get("info", j)["pus"])))
+    return partitions.withColumn("_p", F.zip_with(domain_pairs(F.size("doms")), "ext", scored))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), last - 1), row))
+
+def worth_trying(keep_nnc: float) -> Column:
+    """Of ``_p`` the pair with the best ratio and every pair with nnc above the limit."""
+    best = F.array_min("_p")
+    return F.filter("_p", lambda p: (p["nnc"] > keep_nnc) | ((p["i"] == best["i"]) & (p["j"] == best["j"])))
 
 
 def merge_candidates(partitions: DataFrame, matrix: DataFrame, keep_nnc: float = K.KEEP_NNC) -> DataFrame:
     """Mergers worth trying: of each partition the pair with the best ratio and every pair with nnc above the limit.
 
-    Pairs are scored and ranked inside the partition's row; only the mergers worth trying become rows.
+    Pairs are scored from the partition's carried sums inside its row; only the mergers worth trying become rows. ``rank`` is the place among all
+    pairs of the partition by ratio.
     """
-
-    def scored(i: Column, j: Column, a: Column, b: Column, sums: Column) -> Column:
-        ext = F.greatest(sums, F.lit(K.EXTERNAL_FLOOR))
-        nnc = normalised(ext, a["size"], b["size"])
-        ratio = nnc / ((a["inn"] + b["inn"]) / (a["size"] * b["size"]))
-        return F.struct((-F.round(ratio, 9)).alias("key"), i.alias("i"), j.alias("j"), nnc.alias("nnc"), ratio.alias("ratio"))
-
-    rows = with_domain_info(partitions.where(F.size("doms") > 1), matrix).withColumn("_p", F.array_sort(over_pairs(scored)))
-    rows = rows.withColumn("_p", F.filter(F.transform("_p", lambda p, k: F.struct((k + 1).alias("rank"), p["i"].alias("i"), p["j"].alias("j"), p["nnc"].alias("nnc"), p["ratio"].alias("ratio"))),
-                                          lambda p: (p["rank"] == 1) | (p["nnc"] > keep_nnc)))
-    out = rows.select("ck", "doms", F.explode("_p").alias("_p")).select("ck", "doms", "_p.*")
+    rows = scored_pairs(condensed(partitions, matrix).where(F.size("doms") > 1)).select("ck", "doms", F.array_sort("_p").alias("_p"))
+    rows = rows.select("ck", "doms", F.posexplode("_p").alias("_k", "_m")).where((F.col("_k") == 0) | (F.col("_m.nnc") > keep_nnc))
+    out = rows.select("ck", "doms", (F.col("_k") + 1).alias("rank"), "_m.i", "_m.j", "_m.nnc", "_m.ratio")
     a, b = F.get("doms", F.col("i")), F.get("doms", F.col("j"))
     return out.withColumn("child", F.array_sort(F.concat(F.array_except("doms", F.array(a, b)), F.array(F.array_sort(F.concat(a, b))))))
 
 
+def merged(partitions: DataFrame) -> DataFrame:
+    """Partitions with their domains i < j made one: the new domain's contacts are the sum of both rows, all others stay.
+
+    Domains are ordered by their first unit, so the new one takes the place of i.
+    """
+    i, j, last = F.col("i"), F.col("j"), F.size("doms") - 2
+    old = lambda p: F.when(p < j, p).otherwise(p + 1)
+    met = lambda a, b: contacts_of(F.least(a, b), F.greatest(a, b))
+
+    def between(p: Column) -> Column:
+        a, b = old(p["i"]), old(p["j"])
+        return F.when(a == i, met(a, b) + met(j, b)).when(b == i, met(a, b) + met(a, j)).otherwise(contacts_of(a, b))
+
+    def each(name: str, joined) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda p: F.when(p == i, joined).otherwise(F.get(name, old(p)))).alias(f"_{name}")
+
+    two = lambda name: F.get(name, i) + F.get(name, j)
+    # the new columns get their names afterwards: inside a lambda Spark would take an alias of the same select for the column it replaces
+    new = partitions.select("ck", each("doms", F.array_sort(F.concat(F.get("doms", i), F.get("doms", j)))), each("inn", two("inn") + contacts_of(i, j)), each("size", two("size")),
+                            F.transform(domain_pairs(last + 1), between).alias("_ext"), "_k")
+    return new.select("ck", *[F.col(f"_{c}").alias(c) for c in ("doms", *CARRIED)], "_k")
+
+
 def partition_measures(partitions: DataFrame, matrix: DataFrame) -> DataFrame:
     """Number of domains, smallest size, largest contact ratio, smallest density and mean density (kappa), all within the row."""
 
-    def ratio(_i: Column, _j: Column, a: Column, b: Column, ext: Column) -> Column:
-        return normalised(ext, a["size"], b["size"]) / ((ext + a["inn"] + b["inn"]) / (a["size"] + b["size"]))
+    def ratio(p: Column, ext: Column) -> Column:
+        a, b = p["i"], p["j"]
+        return normalised(ext, F.get("size", a), F.get("size", b)) / ((ext + F.get("inn", a) + F.get("inn", b)) / (F.get("size", a) + F.get("size", b)))
 
-    density = F.transform("info", lambda d: d["inn"] / d["size"])
+    density = F.zip_with("inn", "size", lambda inn, size: inn / size)
     n = F.size("doms")
     measured = lambda c: F.when(n == 1, 0.0).otherwise(c)
-    return with_domain_info(partitions, matrix).select(
-        *partitions.columns, n.alias("n"), F.array_min(F.transform("info", lambda d: d["size"])).alias("min_size"),
-        F.when(n > 1, F.array_max(over_pairs(ratio))).otherwise(0.0).alias("max_cr"), measured(F.array_min(density)).alias("min_density"),
+    return condensed(partitions, matrix).select(
+        *[c for c in partitions.columns if c not in CARRIED], n.alias("n"), F.array_min("size").alias("min_size"),
+        F.coalesce(F.array_max(F.zip_with(domain_pairs(n), "ext", ratio)), F.lit(0.0)).alias("max_cr"), measured(F.array_min(density)).alias("min_density"),
         measured(total(density, lambda x: x) / n).alias("kappa"))
 
 
 def merge_beam(matrix: DataFrame, beam: int = K.BEAM) -> DataFrame:
-    """All partitions met while merging units down to one domain, for all chains at once: ck, doms.
+    """All partitions met while merging units down to one domain, for all chains at once: ck, doms and the carried sums.
 
     Every step merges two domains of each kept partition; a chain keeps its ``beam`` mergers with the highest nnc, equal
-    partitions once. Chains with fewer units finish earlier and drop out.
+    partitions once. A partition carries the contacts between its domains and a merger adds two of their rows, so unit contacts are read only at the
+    start; a step is one shuffle by chain. Chains with fewer units finish earlier and drop out.
     """
-    start = F.transform(F.sequence(F.lit(0), F.col("npu") - 1), lambda u: F.array(u))
-    matrix = written(matrix, "unit-matrix")
-    live = matrix.select("ck", start.cast(DOMS).alias("doms"))
+    n, single = F.col("npu"), F.transform(F.sequence(F.lit(0), F.col("npu") - 1), lambda u: F.array(u)).cast(DOMS)
+    inner = F.transform(F.sequence(F.lit(0), n - 1), lambda u: F.get("sums", u * n + u) / 2)
+    size = F.zip_with("starts", "ends", lambda s, e: (e - s + 1).cast("int"))
+    live = written(matrix.select("ck", single.alias("doms"), inner.alias("inn"), size.alias("size"), F.transform(domain_pairs(n), lambda p: F.get("sums", p["i"] * n + p["j"])).alias("ext")), "units")
     steps = [live]
-    for _ in range(int(matrix.agg(F.max("npu")).first()[0] or 1) - 1):
+    for _ in range(int(live.agg(F.max(F.size("doms"))).first()[0] or 1) - 1):
+        tried = scored_pairs(live.where(F.size("doms") > 1)).withColumn("_m", F.explode(worth_trying(K.KEEP_NNC))).select(*live.columns, "_m.i", "_m.j", "_m.nnc")
         w = W.partitionBy("ck").orderBy(F.desc(F.round("nnc", 9)), "doms", "i", "j")
-        best = merge_candidates(live, matrix).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= beam)
-        live = written(best.select("ck", F.col("child").alias("doms")).distinct(), "beam")
+        best = merged(tried.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= beam))
+        once = best.withColumn("_one", F.row_number().over(W.partitionBy("ck", "doms").orderBy("_k"))).where("_one = 1")
+        live = written(once.select(*live.columns), "beam")
         steps.append(live)
     out = steps[0]
     for s in steps[1:]:

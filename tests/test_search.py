@@ -159,3 +159,47 @@ def test_ambiguity(spark):
     assert {r.ck: r.ambiguity for r in QU.ambiguity_index(df).collect()} == {"a": 3}
     z = spark.createDataFrame([(2.0,), (0.9,), (-3.0,)], "z double").select(P.aul_percent(F.col("z")).alias("a"))
     assert [r.a for r in z.collect()] == [75, 0, 88]
+
+
+def test_carried_contacts_are_the_block_sums(spark):
+    """Every partition met while merging carries the sums of its unit blocks, and the beam meets the partitions of a plain search."""
+    rng = np.random.default_rng(3)
+    rows, sums = [], {}
+    for k, n in enumerate((1, 2, 3, 5, 6)):
+        s = rng.random((n, n)) * rng.choice([0.02, 3.0], (n, n))
+        s = s + s.T + np.diag(rng.random(n) * 40)
+        at = np.cumsum(rng.integers(30, 60, n + 1))
+        sums[f"c{k}"] = (s, (at[1:] - at[:-1]).tolist())
+        rows.append((f"c{k}", n, s.ravel().tolist(), at[:-1].tolist(), (at[1:] - 1).tolist()))
+    matrix = spark.createDataFrame(rows, "ck string, npu int, sums array<double>, starts array<int>, ends array<int>")
+
+    def plain(ck, beam):
+        s, size = sums[ck]
+        live = {tuple((u,) for u in range(len(s)))}
+        met = set(live)
+        while live:
+            tried = []
+            for doms in live:
+                pairs = []
+                for i in range(len(doms)):
+                    for j in range(i + 1, len(doms)):
+                        a, b = doms[i], doms[j]
+                        na, nb = sum(size[u] for u in a), sum(size[u] for u in b)
+                        nnc = max(s[np.ix_(a, b)].sum(), 0.001) / (na ** 0.43 * nb ** 0.43)
+                        pairs.append((-round(nnc / ((s[np.ix_(a, a)].sum() + s[np.ix_(b, b)].sum()) / 2 / (na * nb)), 9), i, j, nnc))
+                pairs.sort()
+                tried += [(doms, p) for k, p in enumerate(pairs) if k == 0 or p[3] > 0.01]
+            tried.sort(key=lambda t: (-round(t[1][3], 9), t[0], t[1][1], t[1][2]))
+            live = {tuple(sorted([d for k, d in enumerate(doms) if k not in (p[1], p[2])] + [tuple(sorted(doms[p[1]] + doms[p[2]]))])) for doms, p in tried[:beam]}
+            met |= live
+        return met
+
+    for beam in (501, 4):
+        found = M.merge_beam(matrix, beam).collect()
+        for ck in sums:
+            assert {tuple(map(tuple, r.doms)) for r in found if r.ck == ck} == plain(ck, beam)
+        for r in found:
+            s, size = sums[r.ck]
+            assert r.size == [sum(size[u] for u in d) for d in r.doms]
+            assert r.inn == pytest.approx([s[np.ix_(d, d)].sum() / 2 for d in r.doms])
+            assert r.ext == pytest.approx([s[np.ix_(a, b)].sum() for k, a in enumerate(r.doms) for b in r.doms[k + 1:]])
