@@ -68,21 +68,46 @@ CIF_ITEMS = {"record": "group_PDB", "serial": "id", "atom_name": "label_atom_id"
              "occ": "occupancy", "bfac": "B_iso_or_equiv", "element": "type_symbol", "model": "pdbx_PDB_model_num"}
 
 
+#: One token of mmCIF text: a text block between semicolons at line starts, a quoted value (its quote ends before white space only), a comment, a word.
+CIF_TOKEN = r"""(?sm)^;.*?\n;(?=\s|\z)|'[^'\n]*+(?:'(?!\s|\z)[^'\n]*+)*+'|"[^"\n]*+(?:"(?!\s|\z)[^"\n]*+)*+"|#[^\n]*+|\S+"""
+#: Words that end the values of a loop; they count only outside quotes and text blocks.
+CIF_STOP = r"(?i)^(_.*|loop_|stop_|global_|data_.*|save_.*)$"
+
+
 def scan_mmcif(spark: SparkSession, path: str, pattern: str = STEM) -> DataFrame:
-    """Rows of the atom loop of mmCIF files as the atom table, whatever the order of its columns; one row in per data block."""
-    block = _blocks(spark, path, "\ndata_", pattern).withColumn("lines", F.split("value", "\r?\n"))
-    names = F.transform(F.filter("lines", lambda s: s.startswith("_atom_site.")), lambda s: F.trim(F.substring(s, 12, 200)))
-    rows = F.filter("lines", lambda s: s.startswith("ATOM ") | s.startswith("HETATM "))
-    t = block.select("structure_id", names.alias("names"), F.posexplode(rows).alias("line_no", "line"))
-    t = t.select("structure_id", "names", "line_no", F.split(F.trim("line"), r"\s+").alias("v"))
+    """Rows of the atom loop of mmCIF files as the atom table, whatever the order of its columns; one row in per data block.
+
+    The block is cut into tokens, so values may be quoted, hold blanks or span lines, several rows may share a line and a row several lines,
+    and atom lines in text blocks or other loops are not atoms. The loop's values end at the next tag or keyword; a last row that is not
+    whole is left out. Blocks without an atom loop give no rows. Blocks begin at ``data_`` at a line start, so no text block may hold such a line.
+    """
+    tokens = F.filter(F.regexp_extract_all("value", F.lit(CIF_TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
+    site = lambda t: F.lower(F.substring(t, 1, 11)) == "_atom_site."
+    from_first = lambda col, test: F.array_position(F.transform(col, test), True).cast("int")
+
+    def held(df: DataFrame, **cols: Column) -> DataFrame:
+        """The columns computed once: a generator keeps Spark from copying their expressions into later lambdas."""
+        row = F.struct("structure_id", *[c.alias(n) for n, c in cols.items()])
+        return df.select(F.explode(F.array(row)).alias("_h")).select("_h.*")
+
+    block = held(_blocks(spark, path, "\ndata_", pattern).where(F.lower("value").contains("_atom_site.")), t=tokens)
+    block = held(block, t=F.col("t"), first=from_first("t", site)).where("first > 0")
+    block = held(block, t=F.slice("t", F.greatest(F.lit(1), "first"), F.size("t")))
+    block = held(block, t=F.col("t"), wide=F.greatest(F.lit(0), from_first("t", lambda t: ~site(t)) - 1))
+    block = held(block, names=F.transform(F.slice("t", 1, F.col("wide")), lambda n: F.substring(n, 12, 200)), t=F.slice("t", F.col("wide") + 1, F.size("t")))
+    block = held(block, names=F.col("names"), t=F.col("t"), stop=from_first("t", lambda t: t.rlike(CIF_STOP)))
+    n, values = F.size("names"), F.when(F.col("stop") > 0, F.col("stop") - 1).otherwise(F.size("t"))
+    block = held(block, names=F.col("names"), t=F.col("t"), n=n, whole=F.floor(values / F.greatest(F.lit(1), n)).cast("int")).where("whole > 0")
+    t = block.select("structure_id", "names", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("whole") - 1), lambda k: F.slice("t", k * F.col("n") + 1, F.col("n")))).alias("line_no", "v"))
 
     def item(col: str, name: str) -> Column:
-        raw = F.regexp_replace(F.get("v", (F.array_position("names", name) - 1).cast("int")), "^[\"'](.*)[\"']$", "$1")
+        token = F.get("v", (F.array_position("names", name) - 1).cast("int"))
+        raw = F.when(token.startswith(";") & token.contains("\n"), F.regexp_replace(token, r"(?s)^;(.*)\r?\n;$", "$1")).otherwise(F.regexp_replace(token, r"(?s)^([\"'])(.*)\1$", "$2"))
         val = F.when(raw.isin(".", "?"), " ").otherwise(raw) if col in ("alt_loc", "icode") else raw
         kind = ATOM_TYPES.get(col, "int" if col == "model" else None)
-        return (val.cast(kind) if kind else val).alias(col)
+        return (val.try_cast(kind) if kind else val).alias(col)
 
-    atoms = t.select("structure_id", "line_no", *[item(c, n) for c, n in CIF_ITEMS.items()])
+    atoms = t.select("structure_id", "line_no", *[item(c, n) for c, n in CIF_ITEMS.items()]).where(F.col("record").isin("ATOM", "HETATM"))
     return atoms.withColumn("ck", F.concat_ws("_", "structure_id", F.col("model").cast("string"), "chain"))
 
 

@@ -63,6 +63,13 @@ def test_text_to_reports(spark, tmp_path):
     assert not run.assignments.where("limited").count()
     tight = D.decompose(res, unit_limit=1)
     assert tight.energies is None and tight.assignments.where("limited").count() > 0
+    bare = {r.ck: r for r in D.summaries(tight).collect()}
+    assert set(bare) == set(got)
+    for r in bare.values():
+        doc = json.loads(r.json)["Optimal partition"]
+        assert doc["Domains"] and all(set(d) == {"PUs"} and d["PUs"] and all(u == {} for u in d["PUs"].values()) for d in doc["Domains"].values())
+        assert "\nDomain:1\n    PU:" in r.text and "AUL" not in r.text
+    assert D.domain_scores(tight).where("z is null and aul is null").count() == D.domain_scores(tight).count() > 0
 
 
 def test_starting_partition_is_always_listed(spark):
@@ -145,3 +152,61 @@ def test_intermediate_tables_can_be_discarded(spark):
     made = [p for p in session._made[spark.sparkContext.applicationId] if "thrown-away" in p]
     assert Path(made[-1].removeprefix("file:")).exists()
     assert session.discard(spark) >= 2 and not Path(made[-1].removeprefix("file:")).exists() and not Path(before).exists()
+
+
+CIF = """data_x
+_struct.title
+;A title with
+ATOM   9 fake line in a text block
+_atom_site.not_a_tag
+;
+loop_
+_note.id
+_note.text
+1 'ATOM is a word' 2 "it's quoted"
+# a comment _atom_site.x
+loop_
+_atom_site.group_PDB
+_atom_site.id
+_atom_site.type_symbol
+_atom_site.label_atom_id
+_atom_site.label_alt_id
+_atom_site.label_comp_id
+_atom_site.auth_asym_id
+_atom_site.auth_seq_id
+_atom_site.pdbx_PDB_ins_code
+_atom_site.Cartn_x
+_atom_site.Cartn_y
+_atom_site.Cartn_z
+_atom_site.occupancy
+_atom_site.B_iso_or_equiv
+_atom_site.details
+_atom_site.pdbx_PDB_model_num
+ATOM 1 N N . ALA A 5 ? 1.0 2.0 3.0 1.0 10.0 'two words' 1
+ATOM 2 C "CA" A ALA A 5 ? 1.5 2.5 3.5 0.5 11.0
+;several
+ lines # no comment
+; 1
+HETATM 3 O "O5'" . NAG A 6 B 4.0 5.0 6.0
+ 1.0 12.0 . 1 ATOM 4 N N . GLY 'A' 7 . 7.0 8.0 9.0 1.0 13.0 'it's one' 1
+loop_
+_other.id
+ATOM
+"""
+
+
+def test_mmcif_tokens(spark, tmp_path):
+    """Quoted blanks, text blocks, inner quotes, rows over and within lines: the same atoms as the fixed-width form."""
+    path = put(tmp_path, "x.cif", CIF)
+    got = S.scan_mmcif(spark, path).orderBy("line_no").collect()
+    assert [(r.record, r.serial, r.atom_name, r.alt_loc, r.res_name, r.chain, r.res_num, r.icode, r.x, r.occ, r.bfac, r.element, r.model, r.ck) for r in got] == [
+        ("ATOM", 1, "N", " ", "ALA", "A", 5, " ", 1.0, 1.0, 10.0, "N", 1, "x_1_A"), ("ATOM", 2, "CA", "A", "ALA", "A", 5, " ", 1.5, 0.5, 11.0, "C", 1, "x_1_A"),
+        ("HETATM", 3, "O5'", " ", "NAG", "A", 6, "B", 4.0, 1.0, 12.0, "O", 1, "x_1_A"), ("ATOM", 4, "N", " ", "GLY", "A", 7, " ", 7.0, 1.0, 13.0, "N", 1, "x_1_A")]
+    (tmp_path / "more").mkdir()
+    more = put(tmp_path / "more", "y.cif", CIF.split("loop_\n_atom_site")[0])
+    put(tmp_path / "more", "z.cif", "data_z\nloop_\n_atom_site.group_PDB\n_atom_site.id\n" + "ATOM 1\n" * 3 + "ATOM")
+    put(tmp_path / "more", "e.cif", "")
+    assert sorted((r.structure_id, r.serial) for r in S.scan_mmcif(spark, more).collect()) == [("z", 1)] * 3
+    long = "data_l\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.details\n" + "".join(f"ATOM {k} '{'long text ' * 40}'\n" for k in range(20_000))
+    (tmp_path / "long").mkdir()
+    assert S.scan_mmcif(spark, put(tmp_path / "long", "l.cif", long)).agg(F.sum("serial")).first()[0] == sum(range(20_000))
