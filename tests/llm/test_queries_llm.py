@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     1: "doc_id n_shingles component_id", 2: "page_id payload_bytes payload_digest record_type refers_to", 3: "doc_id n_words n_hit n_items items_sha256 contaminated", 4: "page_id url text n_chars",
     5: "doc_id quality keep", 6: "doc_id n_tokens", 7: "doc_id held_out lang_pred score", 8: "doc_id n_tokens ids_sha256 decoded_sha256", 9: "doc_id keep_id group_size kept text_sha256", 10: "conv_id prompt chosen rejected",
+    11: "doc_id start n_tokens ids_crc32", 12: "vec_id component n deviation whitened explained identity_error", 13: "lang rank phrase a l r n score",
 }
 
 
@@ -28,6 +29,9 @@ def test_every_operator_has_one_query_with_its_columns(spark):
         df = QUERIES[name](spark, SF)
         assert set(COLUMNS[int(name[2:].split("_")[0])].split()) <= set(df.columns)
         assert df.count() == 200 == df.select("doc_id").distinct().count()
+    shards, white = QUERIES["op11_repair_shards"](spark, SF), QUERIES["op12_whitening"](spark, SF)
+    assert dict(shards.dtypes) == {c: "bigint" for c in COLUMNS[11].split()} and shards.count() == 200
+    assert white.columns == COLUMNS[12].split() and dict(white.dtypes)["deviation"] == "bigint" and white.count() == 8 * 500
 
 
 def test_pipeline_holds_against_brute_force(spark, tmp_path):
