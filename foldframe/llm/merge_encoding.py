@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
+from itertools import repeat
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,29 @@ from pyspark.sql import types as T
 from foldframe.llm.work import slices
 
 SPACE = "▁"
-#: Runs of blanks with the letters behind them. No piece holds a blank behind another character, so no merge crosses a border.
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_ENTRIES = 400_000
+#: Stands before a chunk that is shown to the library, so that the dummy prefix does not touch it; no longer piece holds this character.
+GUARD = "\x01"
+#: Entries of each of the two generations of a worker's cache.
+CACHE_ENTRIES = 350_000
 TEXTS_AT_ONCE = 64
 #: Up to so many characters the agenda is a plain list, beyond a heap.
 LIST_AGENDA = 48
 NEVER = float("inf")
-IDS, SURFACE = itemgetter(0), itemgetter(1)
+
+
+def borders(pieces: list[str]) -> re.Pattern:
+    """Cuts text into chunks that no merge crosses: blanks with what stands behind them, up to the next blank and, where the pieces
+    allow it, letters apart from other characters.
+
+    A merge across a border would be a piece that holds both its sides. Letters are what Python's patterns call letters, without
+    characters of pieces (such as superscript digits) that are none by Unicode.
+    """
+    odd = "".join(sorted({c for p in pieces for c in p if not c.isalpha() and re.match(r"[^\W\d_]", c)}))
+    letter = f"[^\\W\\d_{SPACE}{re.escape(odd)}]"
+    kinds = [[re.match(letter, c) is not None for c in p.lstrip(SPACE)] for p in pieces]
+    if any(len(set(k)) > 1 for k in kinds):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    return re.compile(f"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+")
 
 
 class MergeCoder:
@@ -31,7 +47,9 @@ class MergeCoder:
 
     A chunk starts as single characters. The agenda holds every adjacent pair whose join is a piece, ordered by the piece's
     score and then by place; the best pair is joined and its new neighbours enter the agenda. What is left outside the vocabulary
-    becomes byte pieces. Every chunk seen for the first time is compared with the library, in one call per Arrow slice.
+    becomes byte pieces. Every chunk not in the cache is compared with the library both ways, in one call per part of an Arrow slice.
+    The cache holds ids as packed 32-bit numbers in two generations: when the young one is full it becomes the old one, and what is
+    met again moves to the young one, so frequent chunks stay.
     """
 
     def __init__(self, model_path: str):
@@ -48,14 +66,19 @@ class MergeCoder:
         crossing = [p for p in self.piece if re.search(f"[^{SPACE}]{SPACE}", p)]
         if crossing:
             raise ValueError(f"pieces with an inner blank are not supported: {crossing[:3]}")
-        self.seen: dict[str, tuple[list[int], str]] = {}
+        if any(GUARD in p and p != GUARD for p in self.piece):
+            raise ValueError("longer pieces with the guard character are not supported")
+        self.guard = lib.encode(GUARD)
+        self.chunks = borders([*self.piece]).findall
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk."""
         get = self.rank.get
         parts = [*chunk]
         if len(parts) <= LIST_AGENDA:
-            agenda = [get(chunk[i : i + 2], NEVER) for i in range(len(parts) - 1)]
+            agenda = [*map(get, map(add, parts, parts[1:]), repeat(NEVER))]
             while agenda:
                 best = min(agenda)
                 if best == NEVER:
@@ -106,33 +129,46 @@ class MergeCoder:
         return ids
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode chunks not met before and hold each against the library."""
-        if len(self.seen) + len(chunks) > CACHE_ENTRIES:
-            self.seen.clear()
-        fresh = list(chunks)
+        """Bring chunks into the young generation: from the old one, or encoded and held against the library."""
+        if len(self.young) + len(chunks) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        kept = {c: g for c in chunks if (g := self.old.get(c)) is not None}
+        self.young.update(kept)
+        fresh = [*(chunks - kept.keys())]
         found = [self.merge(c) for c in fresh]
-        # A chunk behind another begins with a blank, and the first has the dummy one: without it the library adds it again.
-        bare = [c[1:].replace(SPACE, " ") for c in fresh]
-        told, back = self.lib.encode(bare, num_threads=1), self.lib.decode(found, num_threads=1)
-        for c, ids, other, text, again in zip(fresh, found, told, bare, back, strict=True):
-            if (ids != other and c != SPACE) or text != again:
-                raise ValueError(f"agenda and library differ on {c!r}: {ids} and {other}, {again!r}")
-            self.seen[c] = (ids, " " + text)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """For each text: its ids with the end id, and the text decoded from them."""
-        out, seen = [], self.seen
+        guard, skip = self.guard, len(self.guard)
+        bare = [GUARD + c.replace(SPACE, " ") for c in fresh]
+        told, back = self.lib.encode(bare, num_threads=1), self.lib.decode([guard + ids for ids in found], num_threads=1)
+        if bare != back or any(ids != other[skip:] for ids, other in zip(found, told, strict=True)):
+            raise ValueError(f"agenda and library differ: {[x for x in zip(fresh, found, told, back, strict=True) if x[1] != x[2][skip:] or x[3] != GUARD + x[0].replace(SPACE, ' ')][:3]}")
+        sizes = [*map(len, found)]
+        packed, at = np.fromiter((i for ids in found for i in ids), np.int32, sum(sizes)).tobytes(), 0
+        for c, n in zip(fresh, sizes, strict=True):
+            self.young[c] = packed[at : (at := at + 4 * n)]
+
+    def packed(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text: its ids with the end id as 32-bit numbers, and the text decoded from them.
+
+        The library has decoded every chunk to its own characters, so the decoded text is that of the chunks put together.
+        """
+        out, end = [], np.int32(self.end).tobytes()
         for at in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at : at + TEXTS_AT_ONCE]]
-            rows = [[*map(seen.get, cs)] for cs in cut]
+            cut = [self.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at : at + TEXTS_AT_ONCE]]
+            rows = [[*map(self.young.get, cs)] for cs in cut]
             fresh = {c for cs, row in zip(cut, rows, strict=True) if None in row for c, g in zip(cs, row, strict=True) if g is None}
             if fresh:
                 self.learn(fresh)
             for cs, row in zip(cut, rows, strict=True):
-                got = [g or seen[c] for c, g in zip(cs, row, strict=True)] if None in row else row
-                out.append(([*chain.from_iterable(map(IDS, got)), self.end], "".join(map(SURFACE, got))[1:]))
+                if None in row:
+                    row = [self.young[c] if g is None else g for c, g in zip(cs, row, strict=True)]
+                row.append(end)
+                out.append((b"".join(row), "".join(cs)[1:].replace(SPACE, " ")))
         return out
 
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """For each text: its ids with the end id, and the text decoded from them."""
+        return [(np.frombuffer(ids, np.int32).tolist(), text) for ids, text in self.packed(texts)]
+
     def decode(self, ids: list[int]) -> str:
         """Text of any list of ids, by the library: blanks for their marks, bytes gathered into UTF-8, control ids left out."""
         return self.lib.decode(ids)
@@ -161,8 +197,9 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model_path)
         for part in slices(batches):
-            got = code.encode(part.column("text").to_pylist())
-            ids = pa.array([g[0] for g in got], pa.list_(pa.int32()))
+            got = code.packed(part.column("text").to_pylist())
+            ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(g[0] for g in got), np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("id"), ids, pa.array([g[1] for g in got], pa.string())], [id_col, "ids", "decoded"])
 
     return rows.mapInArrow(run, schema)
