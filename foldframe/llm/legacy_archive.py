@@ -143,16 +143,16 @@ def write_archives(records: DataFrame, path: str, suffix: str) -> None:
     """records(archive, place, data) as gzip files, one folder ``archive=name`` each, records in order of place.
 
     Spark's text writer ends each value with a newline and otherwise writes its bytes as they are, so any store that Spark reaches
-    will do, and a task that is lost is committed once.
+    will do, and a task that is lost is committed once. The fastest level of compression: archives are read again at once.
     """
     in_order = records.sortWithinPartitions("archive", "place").select("archive", F.col("data").cast("string").alias("value"))
-    in_order.write.partitionBy("archive").option("lineSep", "\n").option("compression", "gzip").text(path)
+    in_order.write.partitionBy("archive").option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def archive_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(archive, content): every archive below ``path``, gzip or plain; one row is one archive of bounded size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("archive"), "content")
+    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^archive=", "").alias("archive"), "content")
 
 
 def plain(content: bytes) -> bytes:
@@ -204,8 +204,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
 
 def read_arc(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
-    """Records of ARC archives with what WARC needs: archive, offset, version, record_id, url, ip, date, mime, http, rank, payload
-    bytes, digests and (if ``contents``) the record's bytes."""
+    """Records of ARC archives: archive, offset, version, record_id, url, ip, date, mime, http, rank, payload bytes, digests and (if
+    ``contents``) the record's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,33 +237,48 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, work: Work, min_
     Of records with equal payloads (length and SHA-256) of at least ``min_bytes``, that with the largest rank (the page header; records
     without one come last, then archive and offset decide) becomes the response, the others revisit it and keep their HTTP header
     only. Shorter payloads are all responses, records that are no HTTP response become resources. The first pass reads no contents
-    on; the second shuffles each record once, to meet its decision.
+    on. The decisions on the revisits of an archive come to its compressed bytes as one list, no longer than the archive has records,
+    so records are not shuffled one by one; each archive becomes one WARC archive of its name.
     """
-    index = work.keep(read_arc(spark, arc_path, contents=False).drop("content", "mime", "ip", "version"), "index")
+    index = work.keep(read_arc(spark, arc_path, contents=False).select("archive", "offset", "record_id", "url", "date", "http", "rank", "payload_bytes", "payload_key"), "index")
     order = F.struct(F.coalesce("rank", F.lit(-(2**63))).alias("r"), "archive", "offset")
     able = index.where((F.col("payload_bytes") >= min_bytes) & F.col("http"))
     keepers = able.groupBy("payload_key", "payload_bytes").agg(F.max_by(F.struct(F.col("record_id").alias("to"), F.col("url").alias("to_url"), F.col("date").alias("to_date")), order).alias("k"), F.count(F.lit(1)).alias("copies"))
     revisits = able.select("archive", "offset", "record_id", "payload_key", "payload_bytes").join(keepers.where("copies > 1"), ["payload_key", "payload_bytes"]).where("record_id <> k.to").select("archive", "offset", "k.*")
-    records = read_arc(spark, arc_path).join(revisits, ["archive", "offset"], "left")
-    records = records.select("record_id", "url", "ip", "date", "mime", "http", "payload_digest", "content", "to", "to_url", "to_date")
+    decided = revisits.groupBy("archive").agg(F.collect_list(F.struct("offset", "to", "to_url", "to_date")).alias("revisits"))
+    archives = archive_bytes(spark, arc_path).join(decided.hint("shuffle_hash"), "archive", "left")
+
+    def one(archive: str, r: dict, revisit: dict | None) -> bytes:
+        content, http = r["content"], split_http(r["content"])
+        block = http[0] if revisit else content
+        to = revisit or {"to": None, "to_url": None, "to_date": None}
+        kind = "revisit" if revisit else "response" if http else "resource"
+        return warc_record([
+            ("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id(archive, r['offset'])}>"), ("WARC-Date", warc_date(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"] if r["ip"] != "0.0.0.0" else None),
+            ("Content-Type", "application/http; msgtype=response" if http else r["mime"]), ("WARC-Payload-Digest", f"sha1:{digest(http[1] if http else content)}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
+            ("WARC-Profile", REVISIT_PROFILE if revisit else None), ("WARC-Refers-To", f"<{to['to']}>" if revisit else None), ("WARC-Refers-To-Target-URI", to["to_url"]), ("WARC-Refers-To-Date", to["to_date"]),
+        ], block)
 
-    def make(_: int, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: foldframe\r\nformat: WARC File Format 1.0\r\n"
-        head = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id(name, -1)}>"), ("WARC-Date", warc_date("")), ("Content-Type", "application/warc-fields")], info)
-
-        def one(row: dict, _: int) -> bytes:
-            content, to = row["content"], row["to"]
-            block = split_http(content)[0] if to else content
-            kind = "revisit" if to else "response" if row["http"] else "resource"
-            return warc_record([
-                ("WARC-Type", kind), ("WARC-Record-ID", f"<{row['record_id']}>"), ("WARC-Date", row["date"]), ("WARC-Target-URI", row["url"]), ("WARC-IP-Address", row["ip"] if row["ip"] != "0.0.0.0" else None),
-                ("Content-Type", "application/http; msgtype=response" if row["http"] else row["mime"]), ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
-                ("WARC-Profile", REVISIT_PROFILE if to else None), ("WARC-Refers-To", f"<{to}>" if to else None), ("WARC-Refers-To-Target-URI", row["to_url"] if to else None), ("WARC-Refers-To-Date", row["to_date"] if to else None),
-            ], block)
-
-        return head, one
-
-    write_archives(records.mapInArrow(_packed(make), ARCHIVED), warc_path, "warc")
+        for batch in batches:
+            for archive, content, known in zip(batch.column("archive").to_pylist(), batch.column("content"), batch.column("revisits").to_pylist(), strict=True):
+                to = {k["offset"]: k for k in known or ()}
+                data = [warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id(archive, -1)}>"), ("WARC-Date", warc_date("")), ("Content-Type", "application/warc-fields")], info)]
+                place, size = 0, 0
+                for r in parse_arc(plain(content.as_py())):
+                    data.append(one(archive, r, to.get(r["offset"])))
+                    size += len(data[-1])
+                    if size > 8 << 20:
+                        yield packed(archive, place, data)
+                        place, size, data = place + len(data), 0, []
+                if data:
+                    yield packed(archive, place, data)
+
+    def packed(archive: str, place: int, data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive] * len(data)), pa.array(range(place, place + len(data)), pa.int32()), pa.array(data, pa.binary())], ["archive", "place", "data"])
+
+    write_archives(archives.mapInArrow(run, ARCHIVED), warc_path, "warc")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
