@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: Marks of the chat template (fixed values), and what a mark inside a text becomes.
 OPEN, CLOSE, BROKEN = "<|im_start|>", "<|im_end|>", "<| im_"
 TRAINED_ROLE = "assistant"
+#: Columns that ``preference_pairs`` makes, and those that it holds for a while.
+RESULTS = ("prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans", "__c", "__r", "__cp", "__rp")
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -49,11 +51,12 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
 
     The longest common turn prefix is rendered once as the prompt, which is never trained on. Each completion is what its
     conversation adds; its spans say which characters carry loss. Where one conversation is the beginning of the other its completion is
-    empty, and equal ones have two empty completions. A null or empty conversation has no turns. All other columns pass through.
+    empty, and equal ones have two empty completions. A null or empty conversation has no turns. All other columns pass through but
+    those named like a result, which the result replaces.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     plain = lambda c: F.transform(F.coalesce(F.col(c), empty), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    rest = [F.col(f"`{c}`") for c in pairs.columns if c not in ("chosen", "rejected")]
+    rest = [F.col(f"`{c}`") for c in pairs.columns if c.lower() not in RESULTS]
     cut = pairs.select(*rest, plain("chosen").alias("__c"), plain("rejected").alias("__r")).withColumn("prompt_turns", common_turns(F.col("__c"), F.col("__r")))
     tail = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))
     parts = cut.select(*rest, "prompt_turns", F.array_join(rendered(F.slice("__c", F.lit(1), F.col("prompt_turns"))), "").alias("prompt"), tail("__c").alias("__c"), tail("__r").alias("__r"))

@@ -18,10 +18,14 @@ from foldframe.llm.work import slices
 
 #: Pages whose words fill the labelled training pages, and training pages made of each: the bound of what the model is fitted on.
 TRAINING_PAGES, RENDERINGS = 200, 6
+#: Words of a page, from its first on, that its training pages are made of. Bounds what is fitted on, never what is extracted.
+TRAINING_WORDS = 4000
 
 BLOCKS = frozenset("html body p h1 h2 h3 h4 h5 h6 li div section article main nav header footer aside ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre form fieldset figure figcaption address details summary center dialog iframe button select option textarea legend ins menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template head title svg math iframe object select option button textarea".split())
+NO_TEXT = frozenset("script style noscript template head title svg iframe select option button textarea".split())
+#: What may stand in a head; any other start tag ends a head whose end tag is missing.
+HEAD_TAGS = frozenset("title meta link base style script noscript template".split())
 #: An opening tag ends these open elements, up to the nearest of the second list.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAGS = {t: i for i, group in enumerate(("p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "div center section", "article main", "nav menu", "header", "footer address", "aside", "form fieldset legend dialog button select textarea", "table thead tbody tr td th caption", "blockquote pre figure figcaption", "html body")) for t in group.split()}
@@ -38,7 +42,7 @@ PARTS = {w: i for i, group in enumerate((
     "share sharing social related recommended more trending popular tags meta byline author toc",
     "article content post entry story main body text page-content entry-content post-content article-body richtext prose",
 )) for w in group.split()}
-N_TAGS, N_PARTS, N_TEXT = 15, 10, 16
+N_TAGS, N_PARTS, N_TEXT = 15, 10, 17
 WIDTH = N_TAGS + N_PARTS + N_TEXT + 1
 KINDS = 6
 WHITE = re.compile(r"\s+")
@@ -86,6 +90,10 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
+        if tag not in HEAD_TAGS and tag != "head" and self.silent and any(t == "head" for t, _ in self.stack):
+            at = next(k for k, (t, _) in enumerate(self.stack) if t == "head")
+            if all(t in ("head", "noscript") for t, _ in self.stack[at:]):
+                self.close_through(at)
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -192,6 +200,9 @@ def features(tree: Tree) -> np.ndarray:
     x[:, t + 13] = ~bad & (x[:, TAGS["article"]] > 0)
     x[:, t + 14] = ~bad & (x[:, N_TAGS + N_PARTS - 1] > 0)
     x[:, t + 15] = ~bad & (words >= 12) & (links < 0.3 * own)
+    content = (x[:, TAGS["article"]] > 0) | (x[:, N_TAGS + N_PARTS - 1] > 0)
+    heading = (x[:, TAGS["header"]] > 0) | (x[:, N_TAGS + 1] > 0)
+    x[:, t + 16] = heading & content[np.maximum(tree.parent, 0)]
     x[:, -1] = 1
     return x
 
@@ -359,7 +370,10 @@ def labelled_page(words: list[str], dice: random.Random) -> tuple[str, list[str]
     comments = lambda: box("section div div ol", "comments comment-list reader-comments discussion disqus responses", pick(["", f"<h2>{say(1, 3)}</h2>", f"<h3>{say(1, 3)}</h3>"]) + "".join(one_comment() for _ in range(dice.randint(1, 5))), 1)
     share = lambda: box("div ul", "share social-share related tags post-meta", "".join(f"<li>{link()}</li>" for _ in range(3)))
 
-    body = [f"<h1>{keep(say(2, 12))}</h1>"]
+    title = f"<h1>{keep(say(2, 12))}</h1>"
+    if dice.random() < 0.25:
+        title = pick(["<header>{}</header>", '<header class="entry-header">{}</header>', '<div class="post-header">{}</div>', '<div class="article-header">{}</div>', '<div class="page-title">{}</div>']).format(title)
+    body = [title]
     for _ in range(dice.choice([1, 2, 3, 5, 9])):
         kind = dice.random()
         if kind < 0.72:
@@ -378,8 +392,9 @@ def labelled_page(words: list[str], dice: random.Random) -> tuple[str, list[str]
             body.append(f"<div>{keep(say(10, 60, '.'))}</div>")
     if dice.random() < 0.15:
         body.append(pick([share, comments, side])())
-    article = box("article article main div div section", "content post entry story article-body main post-content entry-content page", "".join(body), 0.6)
-    if dice.random() < 0.4:
+    bare = dice.random() < 0.12
+    article = "".join(body) if bare else box("article article main div div section", "content post entry story article-body main post-content entry-content page", "".join(body), 0.6)
+    if not bare and dice.random() < 0.4:
         article = box("main div div section", "main container wrapper page content layout", article + "".join(pick([side, advert, comments, share])() for _ in range(dice.randint(0, 2))))
     before = [f() for f in (nav, head, advert, note, form, side) if dice.random() < 0.5]
     after = [f() for f in (foot, side, advert, note, comments, form, nav) if dice.random() < 0.5]
@@ -399,7 +414,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
             for key, html in zip(part.column("id").to_pylist(), part.column("html").to_pylist(), strict=True):
                 words = " ".join(t for _, t, _ in parse(html).blocks).split() or ["text"]
                 for k in range(renderings):
-                    page, main = labelled_page(words[:4000], random.Random(f"{key}/{k}"))
+                    page, main = labelled_page(words[:TRAINING_WORDS], random.Random(f"{key}/{k}"))
                     tree = parse(page)
                     rows.append({"x": features(tree).ravel().tolist(), "edges": [v for e in zip(edge_kinds(tree), tree.parent, strict=True) for v in e], "y": labels(tree, set(main)).tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("x", pa.list_(pa.float64())), ("edges", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))]))

@@ -81,8 +81,9 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
         yield from out()
 
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1)
-    return ranked.where(F.col("rank") < size).select("lang", "gram", "rank")
+    place = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    # Asked of the row number itself, the limit also acts before the window's shuffle.
+    return place.where(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:

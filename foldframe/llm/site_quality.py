@@ -12,6 +12,8 @@ from foldframe.llm.work import Work
 
 #: Labelled rows the document classifier is fitted on, at most: those with the smallest hash of id.
 TRAINING_ROWS = 20_000
+#: How many documents a site's prior is worth at least and at most.
+STRENGTHS = (1.0, 10_000.0)
 FEATURES = ("chars", "word_chars", "upper", "digits", "marks", "odd_marks", "stop_marks", "distinct", "top_repeat", "lines", "long_words", "short_words")
 
 
@@ -74,21 +76,22 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def strength(rows: DataFrame, group: str, parent: str) -> float:
+def strength(rows: DataFrame, group: str, parent: str, bounds: tuple[float, float] = STRENGTHS) -> float:
     """Prior rows a group is worth (the sum of the Beta prior's parameters), by moments of the groups' means about their parents'.
 
-    Large where groups differ no more than chance lets them, small where they differ by themselves.
+    Large where groups differ no more than chance lets them, small where they differ by themselves; kept within ``bounds``, of which
+    the upper one also stands for groups without any spread of their own and the lower one for no rows.
     """
     g = rows.select("n", (F.col(group) / F.col("n")).alias("m"), F.col(parent).alias("q"))
     v = g.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("m") - F.col("q"), 2)).alias("ss"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("q") * (1 - F.col("q"))).alias("noise")).first()
     if not v.n or not v.k:
-        return 1.0
+        return bounds[0]
     spread = v.noise / v.n  # variance of one document
     between = (v.ss - v.k * spread) / v.n
-    return float(min(10_000.0, max(1.0, spread / between - 1))) if between > 0 else 10_000.0
+    return float(min(bounds[1], max(bounds[0], spread / between - 1))) if between > 0 else bounds[1]
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
+def site_posteriors(scored: DataFrame, bounds: tuple[float, float] = STRENGTHS) -> DataFrame:
     """scored(id, host, path, evidence, p) to one row each with host and path posteriors and the document's own.
 
     Means add up from documents to paths to hosts before the shuffle. A path's prior is its host's posterior mean, a host's prior
@@ -100,11 +103,11 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
     mean = float(total.s / total.n) if total.n else 0.5
-    k_host = strength(hosts.select(F.col("host_n").alias("n"), "host_s", F.lit(mean).alias("mean")), "host_s", "mean")
+    k_host = strength(hosts.select(F.col("host_n").alias("n"), "host_s", F.lit(mean).alias("mean")), "host_s", "mean", bounds)
     hosts = hosts.withColumn("host_mean", (F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host))
     named = hosts.withColumnRenamed("host", "h_host")
     joined = paths.join(named, F.col("host").eqNullSafe(F.col("h_host"))).select("host", "path", "n", "s", "host_mean", "host_n")
-    k_path = strength(joined, "s", "host_mean")
+    k_path = strength(joined, "s", "host_mean", bounds)
     site = joined.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "s", "host_mean", "host_n")
     rows = scored.join(site, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
     path_mean = (F.col("s") - F.col("p") + k_path * F.col("host_mean")) / (F.col("n") - 1 + k_path)
@@ -112,11 +115,12 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return rows.withColumn("path_mean", path_mean).withColumn("quality", 1 / (1 + F.exp(-post))).select("id", "host", "path", "evidence", F.col("n").alias("path_docs"), F.col("host_n").alias("host_docs"), "host_mean", "path_mean", "quality")
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
+def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_col: str = "quality", threshold: float = 0.5, bounds: tuple[float, float] = STRENGTHS) -> DataFrame:
     """One row per document: id, evidence, host_docs, path_docs, host_mean, path_mean, quality (probability of good), keep.
 
     ``host`` and ``path`` are columns of ``docs`` (default ``source`` and ``lang``); null ones form a site of their own. Null texts count as
-    empty. Without usable labels the evidence is 0 and every document has the prior one half. Repeated rows count each.
+    empty. Without usable labels the evidence is 0 and every document has the prior one half. Repeated rows count each. ``bounds`` limits
+    how many documents a prior is worth (see ``strength``).
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
@@ -126,5 +130,5 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     prior = 0.5 if model is None else model.prior
     scored = quality_features(keyed, "key", "text").select("id.*", evidence.alias("evidence")).withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + math.log(prior / (1 - prior))))))
     scored = Work(docs.sparkSession, "quality").keep(scored, "scored")
-    out = site_posteriors(scored)
+    out = site_posteriors(scored, bounds)
     return out.select(F.col("id").alias(id_col), "evidence", "host_docs", "path_docs", "host_mean", "path_mean", "quality", (F.col("quality") >= threshold).alias("keep"))

@@ -87,6 +87,26 @@ def test_article_without_the_rest(model, page):
     assert model.main_text(page.replace("{}", ARTICLE)) == TEXT
 
 
+PARAGRAPHS = [f"Paragraph {i} of the story says that the river rose in the night, and nobody slept well." for i in range(3)]
+
+
+@pytest.mark.parametrize("page, title", [
+    ("<body>{}</body>", ""),
+    ("<body><h1>The title</h1>{}</body>", "The title"),
+    ("<html><head><title>x</title>{}", ""),
+    ("<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><article><header><h1>The title</h1></header>{}</article><footer>&copy; 2020 Us</footer>", "The title"),
+    ("<body><article><div class=post-header><h1>The title</h1></div>{}</article>", "The title"),
+    ("<body><div class=post><div class=entry-header><h1>The title</h1></div>{}</div><div class=comments><p>I liked it very much, thanks.</p></div>", "The title"),
+])
+def test_articles_of_other_forms_stay(model, page, title):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert model.main_text(page.replace("{}", text)) == "\n".join([title, *PARAGRAPHS] if title else PARAGRAPHS)
+
+
+def test_formulas_stay(model):
+    assert model.main_text("<body><article><h1>T</h1><p>a <math>x+1</math> b</p></article>") == "T\na x+1 b"
+
+
 def test_marginals_are_those_of_enumeration(model):
     tree = H.parse("<div><p>one two three four five six</p><ul class=menu><li><a>x</a></li></ul></div><p>more words here.</p>")
     odds, kinds, n = H.features(tree) @ model.weights, H.edge_kinds(tree), len(tree.tag)
@@ -146,6 +166,7 @@ def test_strength_by_spread(spark):
     alike = spark.createDataFrame([row(100, 50, 0.5)] * 20, "n long, s double, q double")
     apart = spark.createDataFrame([row(100, 5, 0.5), row(100, 95, 0.5)] * 10, "n long, s double, q double")
     assert S.strength(apart, "s", "q") < 2 < S.strength(alike, "s", "q")
+    assert S.strength(apart, "s", "q", (3.0, 4.0)) == 3 and S.strength(alike, "s", "q", (1.0, 1.5)) == 1.5
 
 
 def test_quality_without_labels_or_rows(spark):

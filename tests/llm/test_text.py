@@ -192,3 +192,31 @@ def test_conversations_of_odd_rows(spark):
     assert C.preference_pairs(C.derived_rejections(convs.limit(0))).count() == 0
     plan = C.preference_pairs(C.derived_rejections(convs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_preferences_with_columns_of_the_results_names(spark):
+    turns = [("user", "q"), ("assistant", "a")]
+    pairs = spark.createDataFrame([(1, "old", "x", "y", turns, turns[:1])], "conv_id long, prompt string, Prompt_Turns string, __c string, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    got = C.preference_pairs(pairs)
+    assert got.columns == ["conv_id", "prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans"]
+    row = got.first()
+    assert row.prompt_turns == 1 and row.rejected == "" and row.prompt != "old"
+
+
+def test_chunks_cut_letters_from_marks_only_where_pieces_allow_it():
+    cut = M.borders(["ab", "▁a", ".\n", "▁(", "²."]).findall
+    assert cut("▁ab.\n▁▁(ab²._1é▁") == ["▁ab", ".\n", "▁▁(", "ab", "²._1", "é", "▁"]
+    assert M.borders(["a."]).findall("▁ab.\n▁c") == ["▁ab.\n", "▁c"]
+
+
+def test_the_cache_keeps_frequent_chunks(monkeypatch):
+    monkeypatch.setattr(M, "CACHE_ENTRIES", 4)
+    code = M.MergeCoder(model_file())
+    texts = [f"the w{k} {chr(0x4E00 + k)}x, the end" for k in range(200)]
+    assert [g for t in texts for g in code.encode([t])] == [(code.lib.encode(t) + [code.end], t) for t in texts]
+    assert len(code.old) <= 16 and len(code.young) <= 16
+
+
+def test_profiles_are_cut_before_the_shuffle(spark):
+    plan = R.learn_profiles(spark.createDataFrame([("ab", "x")], "text string, lang string"))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
