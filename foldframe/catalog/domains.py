@@ -16,7 +16,7 @@ from foldframe.operators import quality as QU
 from foldframe.plans.fixtures import register_view
 from foldframe.session import written
 
-X, Y = f"((max_cr - {K.QX_MIN}e0) / {K.QX_SPAN}e0)", f"((min_density - {K.QY_MIN}e0) / {K.QY_SPAN}e0)"
+X, Y = f"((max_cr - {K.QX_MIN}e0) / {K.QX_MAX - K.QX_MIN}e0)", f"((min_density - {K.QY_MIN}e0) / {K.QY_MAX - K.QY_MIN}e0)"
 DD, HH, VV = f"(abs({K.QM}e0 * {X} - {Y} + {K.QQ}e0) / sqrt(1 + {K.QM}e0 * {K.QM}e0))", f"abs({Y} - {K.QH}e0)", f"abs({X} - {K.QV}e0)"
 SIDE = f"({K.QD}e0 * ({Y} - {K.QQ}e0) - (1 - {K.QQ}e0) * {X})"
 DISTANCE = f"""(case when {Y} > {K.QH} and {X} < {K.QV} and {SIDE} < 0 then -least({DD}, {HH}, {VV})

@@ -24,8 +24,8 @@ COUNT_HORIZONTAL = 3.166823
 COUNT_VERTICAL = 0.231845
 
 # Quality model.
-QX_MIN, QX_SPAN = 0.008501, 1.091080
-QY_MIN, QY_SPAN = 1.797981, 2.326237
+QX_MIN, QX_MAX = 0.008501, 1.099581
+QY_MIN, QY_MAX = 1.797981, 4.124218
 QH, QV = 0.5884363, 0.2046999
 QM, QQ = 1.680319, 0.4474396
 QDV, QDH = 0.2075470, 0.7867766
