@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from foldframe import constants as K
 from foldframe.functions import geometry as G
-from foldframe.functions.spatial import tiled_pairs
+from foldframe.functions.spatial import TILE, tiled_pairs
+from foldframe.session import spread
 
 
 def logistic(d: Column, d0: float = K.CONTACT_D0, delta: float = K.CONTACT_DELTA) -> Column:
@@ -39,11 +40,37 @@ def mirrored(contacts: DataFrame) -> DataFrame:
     return contacts.select("ck", F.explode(both).alias("_ij"), "p").select("ck", "_ij.i", "_ij.j", "p")
 
 
-def prefix_sums(contacts: DataFrame) -> DataFrame:
-    """Two-dimensional cumulative sums: c(i, j) is the sum of p over rows <= i and columns <= j."""
-    run = lambda *keys: W.partitionBy("ck", *keys[:1]).orderBy(keys[1]).rowsBetween(W.unboundedPreceding, 0)
-    rows = mirrored(contacts).withColumn("row_sum", F.sum("p").over(run("i", "j")))
-    return rows.select("ck", "i", "j", F.sum("row_sum").over(run("j", "i")).alias("c"))
+def prefix_sums(contacts: DataFrame, symmetric: bool = True, tile: int = TILE) -> DataFrame:
+    """Two-dimensional cumulative sums: c(i, j) is the sum of p over rows <= i and columns <= j.
+
+    ``contacts`` has every pair of a chain's positions: i <= j of a symmetric matrix, or all i, j. Each tile of ``tile`` x ``tile`` cells adds
+    up its own; what lies left of it, above it and before its corner comes from the row and column sums of the other tiles, one row of two
+    short arrays per tile. Cells are shuffled once, by tile, so a long chain uses many tasks.
+    """
+    rows = mirrored(contacts) if symmetric else contacts.select("ck", "i", "j", "p")
+    block = lambda c: F.floor(F.col(c) / tile).cast("int")
+    cells = rows.select("ck", block("i").alias("bi"), block("j").alias("bj"), "i", "j", "p")
+    key = ["ck", "bi", "bj"]
+    ends = F.array(F.struct(F.lit("row").alias("side"), F.col("bi").alias("own"), F.col("bj").alias("other"), F.col("i").alias("pos")),
+                   F.struct(F.lit("column").alias("side"), F.col("bj").alias("own"), F.col("bi").alias("other"), F.col("j").alias("pos")))
+    line = ["ck", "side", "own", "other", "pos"]
+    edges = cells.select("ck", "p", F.explode(ends).alias("_e")).select("ck", "p", "_e.*").groupBy(*line).agg(F.sum("p").alias("v"))
+    earlier = W.partitionBy("ck", "side", "own", "pos").orderBy("other").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("ck", "side", "own", "other").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    carried = edges.withColumn("_x", F.coalesce(F.sum("v").over(earlier), F.lit(0.0))).withColumn("_x", F.sum("_x").over(within))
+    packed = carried.groupBy("ck", "side", "own", "other").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("_x").alias("x")))).alias("_a"), F.sum("v").alias("total"))
+    packed = packed.withColumn("first", F.get("_a", F.lit(0))["pos"]).withColumn("carry", F.transform("_a", lambda s: s["x"])).drop("_a")
+    of = lambda side, own, other: packed.where(F.col("side") == side).select("ck", F.col("own").alias(own), F.col("other").alias(other), "total",
+                                                                            F.col("first").alias(f"{side}_first"), F.col("carry").alias(f"{side}_carry"))
+    before = lambda by, order: W.partitionBy("ck", by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    tiles = of("row", "bi", "bj").withColumn("_l", F.sum("total").over(before("bi", "bj")))
+    tiles = tiles.withColumn("corner", F.coalesce(F.sum("_l").over(before("bj", "bi")), F.lit(0.0))).drop("_l", "total")
+    tiles = tiles.join(of("column", "bj", "bi").drop("total"), key)
+    run = lambda by, order: W.partitionBy(*key, by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    own = spread(cells, *key).withColumn("_r", F.sum("p").over(run("i", "j"))).withColumn("_c", F.sum("_r").over(run("j", "i")))
+    c = F.col("_c") + F.get("row_carry", F.col("i") - F.col("row_first")) + F.get("column_carry", F.col("j") - F.col("column_first")) + F.col("corner")
+    return own.join(tiles, key).select("ck", "i", "j", c.alias("c"))
 
 
 def rectangle_sums(prefix: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -58,6 +85,52 @@ def rectangle_sums(prefix: DataFrame, boxes: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("s") * F.coalesce("c", F.lit(0.0))).alias("s")))
 
 
+def pieces_of(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pieces into which the ends of all fragments (ck, start, end) cut a chain: (ck, start, piece), numbered from 1, and per block of
+    ``TILE`` positions (ck, block, base, starts) what finds the piece of a position there: base plus the starts at or before it."""
+    cuts = fragments.select("ck", F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("start")).distinct()
+    named = cuts.select("ck", "start", F.row_number().over(W.partitionBy("ck").orderBy("start")).alias("piece"))
+    block = F.floor(F.col("start") / TILE).cast("int")
+    span = named.groupBy("ck").agg(F.explode(F.sequence(F.min(block), F.max(block))).alias("block"))
+    here = named.groupBy("ck", block.alias("block")).agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    full = span.join(here, ["ck", "block"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+    before = W.partitionBy("ck").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return named, full.select("ck", "block", F.coalesce(F.sum(F.size("starts")).over(before), F.lit(0)).cast("int").alias("base"), "starts")
+
+
+def piece_sums(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Sums of v by the pieces of both ends: ck, i, j (pieces, i <= j), p. ``pairs``: ck, i, j, v with i <= j; ``blocks`` as from ``pieces_of``.
+
+    Pairs are shuffled once, by block of both ends, and added up there; pairs beyond the first and last cut belong to no fragment and go.
+    """
+    side = lambda s: blocks.select("ck", *[F.col(c).alias(f"_{c}_{s}") for c in ("block", "base", "starts")])
+    tiles = side("i").join(side("j"), "ck").where("_block_i <= _block_j")
+    at = pairs.select("ck", "i", "j", "v", *[F.floor(F.col(s) / TILE).cast("int").alias(f"_block_{s}") for s in "ij"])
+    piece = lambda s: F.col(f"_base_{s}") + F.size(F.filter(f"_starts_{s}", lambda x: x <= F.col(s)))
+    return (at.join(tiles, ["ck", "_block_i", "_block_j"]).select("ck", piece("i").alias("_a"), piece("j").alias("_b"), "v")
+            .groupBy("ck", F.col("_a").alias("i"), F.col("_b").alias("j")).agg(F.sum("v").alias("p")))
+
+
+def fragment_sums(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Sum of v over the pairs (ck, i, j, v; i <= j) with both ends in a set of fragments (ck, subset, start, end): ck, subset, s.
+
+    Positions shrink to pieces between fragment ends, whose cumulative sums give each pair of a set's fragments by four look-ups: no pair is
+    repeated for the sets it lies in. Fragments of one set must not overlap. Sums are rounded to nine digits, so that a sum of zero is zero.
+    """
+    named, blocks = pieces_of(fragments)
+    count = named.groupBy("ck").agg(F.sequence(F.lit(1), F.max("piece")).alias("_n"))
+    grid = count.select("ck", "_n", F.explode("_n").alias("i")).select("ck", "i", F.explode("_n").alias("j"))
+    filled = grid.join(piece_sums(pairs, blocks), ["ck", "i", "j"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    ends = (fragments.join(named.select("ck", "start", F.col("piece").alias("_a")), ["ck", "start"])
+            .join(named.select("ck", (F.col("start") - 1).alias("end"), (F.col("piece") - 1).alias("_b")), ["ck", "end"]))
+    one = ends.select("ck", "subset", F.col("_a").alias("r0"), F.col("_b").alias("r1"))
+    two = ends.select("ck", "subset", F.col("_a").alias("c0"), F.col("_b").alias("c1"))
+    boxes = one.join(two, ["ck", "subset"]).where("r0 <= c0")
+    key = ["ck", "r0", "c0", "r1", "c1"]
+    sums = rectangle_sums(prefix_sums(filled, symmetric=False), boxes.select(*key).distinct())
+    return boxes.join(sums, key).groupBy("ck", "subset").agg(F.round(F.sum("s"), 9).alias("s"))
+
+
 def pu_contacts(residues: DataFrame, **options) -> DataFrame:
     """Sum of p over every unit x unit block, both orders. Input: ck, idx, ca, pu.
 

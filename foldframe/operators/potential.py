@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from foldframe import constants as K
 from foldframe.functions.spatial import near_self_pairs
+from foldframe.operators.contacts import fragment_sums
 from foldframe.session import spread, written
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: Residue pairs whose energies for all residue types are tabled at a time.
 PAIRS_AT_ONCE = 4096
+#: Positions of a tile of pairs, and decoys drawn together.
+DECOY_TILE, SEEDS_AT_ONCE = 512, 250
 LETTERS = sorted(K.ONE_TO_THREE)
 
 
@@ -227,14 +230,19 @@ def spline_table(potentials: DataFrame, width: float = K.POT_BIN) -> DataFrame:
     return potentials.select("pair", "bin", "e").groupBy("pair").applyInPandas(fit, "pair string, bin int, a double, b double, c double, e double")
 
 
+def spline_position(d: Column, width: float, bins: int) -> tuple[Column, Column]:
+    """Row of ``spline_table`` (from 0, in bin order) that holds d, and the offset in its interval."""
+    t = F.floor(F.round((d - width / 2) / width, 9)).cast("int")
+    k = F.greatest(F.lit(-1), F.least(F.lit(bins - 1), t))
+    return k + 1, d - (F.greatest(k, F.lit(0)) + 0.5) * width
+
+
 def cubic_energy(pairs: DataFrame, potentials: DataFrame, width: float = K.POT_BIN, bins: int = 150, types: int = 20) -> DataFrame:
     """Add ``e``: energy at d from the natural cubic spline of its pair; 0 for a pair the potential lacks."""
     co = F.array_sort(F.collect_list(F.struct("bin", "a", "b", "c", "e")))
     table = small(spline_table(potentials, width).groupBy("pair").agg(co.alias("co")), types * (types + 1) // 2, 48 * bins)
-    t = F.floor(F.round((F.col("d") - width / 2) / width, 9)).cast("int")
-    k = F.greatest(F.lit(-1), F.least(F.lit(bins - 1), t))
-    joined = pairs.join(table, "pair", "left").withColumn("_s", F.get("co", k + 1))
-    h = F.col("d") - (F.greatest(F.col("_s.bin"), F.lit(0)) + 0.5) * width
+    k, h = spline_position(F.col("d"), width, bins)
+    joined = pairs.join(table, "pair", "left").withColumn("_s", F.get("co", k))
     value = ((F.col("_s.a") * h + F.col("_s.b")) * h + F.col("_s.c")) * h + F.col("_s.e")
     return joined.withColumn("e", F.coalesce(value, F.lit(0.0))).drop("co", "_s")
 
@@ -250,12 +258,17 @@ def residue_energy(pair_energies: DataFrame) -> DataFrame:
     return (pair_energies.select(F.explode(ends).alias("k"), "e").groupBy("k.ck", "k.res_num").agg(F.sum("e").alias("e")))
 
 
+def runs_of(members: DataFrame) -> DataFrame:
+    """Fragments of residue subsets (ck, subset, res_num) as runs of consecutive numbers: ck, subset, start, end."""
+    at = members.select("ck", "subset", "res_num").distinct()
+    run = F.col("res_num") - F.row_number().over(W.partitionBy("ck", "subset").orderBy("res_num"))
+    return at.withColumn("_r", run).groupBy("ck", "subset", "_r").agg(F.min("res_num").alias("start"), F.max("res_num").alias("end")).drop("_r")
+
+
 def subset_energy(pair_energies: DataFrame, members: DataFrame) -> DataFrame:
-    """Energy of residue subsets (ck, subset, res_num): pairs with both ends inside."""
-    l = members.select(F.col("ck").alias("ckl"), "subset", F.col("res_num").alias("numl"))  # noqa: E741
-    r = members.select(F.col("ck").alias("ckr"), "subset", F.col("res_num").alias("numr"))
-    inside = pair_energies.join(l, ["ckl", "numl"]).join(r, ["ckr", "numr", "subset"])
-    sums = inside.groupBy(F.col("ckl").alias("ck"), "subset").agg(F.sum("e").alias("e"))
+    """Energy of residue subsets (ck, subset, res_num): pairs of one chain with both ends inside, to nine digits."""
+    pairs = pair_energies.where("ckl = ckr").select(F.col("ckl").alias("ck"), F.least("numl", "numr").alias("i"), F.greatest("numl", "numr").alias("j"), F.col("e").alias("v"))
+    sums = fragment_sums(pairs, runs_of(members)).withColumnRenamed("s", "e")
     return members.select("ck", "subset").distinct().join(sums, ["ck", "subset"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
 
 
@@ -306,67 +319,93 @@ def shuffled_codes(codes: np.ndarray, n: int, max_identity: float, rng: np.rando
     return seqs
 
 
-def decoy_stats(codes: np.ndarray, l: np.ndarray, r: np.ndarray, k: np.ndarray, frac: np.ndarray, cube: np.ndarray,  # noqa: E741
-                n: int, max_identity: float, seed: list[int]) -> tuple[float, float] | None:
-    """Mean and population deviation of the energy over n decoys on fixed distances."""
-    seqs = shuffled_codes(codes, n, max_identity, np.random.default_rng(seed))
-    if seqs is None:
-        return None
-    upper = np.minimum(k + 1, cube.shape[2] - 1)
+def cubic_cubes(potentials: DataFrame, width: float = K.POT_BIN) -> list[np.ndarray]:
+    """Spline coefficients, highest power first, in the form of ``energy_cube``; interval 0 extends the spline to the left."""
+    split = written(spline_table(potentials, width), "splines")
+    return [energy_cube(split.select("pair", (F.col("bin") + 1).alias("bin"), F.col(c).alias("e"))) for c in "abce"]
+
+
+def linear_cubes(potentials: DataFrame) -> list[np.ndarray]:
+    """Rise to the next bin and value of each bin, in the form of ``energy_cube``."""
+    cube = energy_cube(potentials)
+    return [np.diff(cube, axis=2, append=cube[:, :, -1:]), cube]
+
+
+def decoy_energies(seqs: np.ndarray, l: np.ndarray, r: np.ndarray, k: np.ndarray, h: np.ndarray, cubes: list[np.ndarray]) -> np.ndarray:  # noqa: E741
+    """Energy of each sequence over the residue pairs l, r, each at offset ``h`` in interval ``k`` of the polynomials ``cubes``."""
     by_position = np.ascontiguousarray(seqs.T)
     rows = by_position * 21
-    e = np.zeros(n)
+    e = np.zeros(len(seqs))
     for lo in range(0, len(l), PAIRS_AT_ONCE):
         at = slice(lo, lo + PAIRS_AT_ONCE)
-        table = np.ascontiguousarray((cube[:, :, k[at]] * (1 - frac[at]) + cube[:, :, upper[at]] * frac[at]).reshape(441, -1).T)
+        value = cubes[0][:, :, k[at]]
+        for cube in cubes[1:]:
+            value = value * h[at] + cube[:, :, k[at]]
+        table = np.ascontiguousarray(value.reshape(441, -1).T)
         for own, a, b in zip(table, l[at], r[at], strict=True):  # one lookup of all decoys per residue pair stays in cache
             e += own.take(rows[a] + by_position[b])
-    return float(e.mean()), float(e.std())
+    return e
 
 
 def decoy_zscore(pair_energies: DataFrame, residues: DataFrame, members: DataFrame, potentials: DataFrame, n: int = 2000,
-                 max_identity: float = 0.5, width: float = K.POT_BIN, seed: int = 7) -> DataFrame:
+                 max_identity: float = 0.5, width: float = K.POT_BIN, seed: int = 7, form: str = "linear") -> DataFrame:
     """Energy and Z-score of residue subsets against n sequence-shuffled decoys: ck, subset, e, mean, sd, z.
 
-    ``residues``: ck, res_num, aa; ``members``: ck, subset, res_num; ``pair_energies`` of CA pairs within chains. Each
-    subset becomes one row with its residue codes and pair list (both bounded by the chain), and the decoys are drawn
-    and scored where that row lies, from a seed made of the keys. z is 0 when the energy is 0.
+    ``residues``: ck, res_num, aa; ``members``: ck, subset, res_num; ``pair_energies`` within chains of a representation with one atom per
+    residue, scored in the same ``form`` (linear or cubic). z is 0 when the energy is 0; mean, sd and z are null where no order of the
+    residues differs enough. A chain's pairs are packed once per tile of positions. The unit of work is one subset, one tile and one block of
+    ``SEEDS_AT_ONCE`` decoys, drawn from a seed made of the keys and the block, so a large subset runs in many tasks and lost tasks give the
+    same numbers again. Energies of the tiles are added up decoy by decoy, and only their mean and deviation cross blocks.
     """
-    table = energy_cube(potentials)
-    bins = table.shape[2]
-    cube = residues.sparkSession.sparkContext.broadcast(table)
-    pos = W.partitionBy("ck", "subset").orderBy("res_num")
-    at = spread(members.join(residues.select("ck", "res_num", "aa"), ["ck", "res_num"]), "ck", "subset")
-    listed = at.withColumn("p", (F.row_number().over(pos) - 1).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct("p", "aa")))
-    seqs = listed.groupBy("ck", "subset").agg(F.array_join(F.transform(rows, lambda s: s["aa"]), "").alias("seq"))
-    k, frac = bin_position(F.col("d"), width, bins)
-    left = listed.select(F.col("ck").alias("ckl"), "subset", F.col("res_num").alias("numl"), F.col("p").alias("l"))
-    right = listed.select(F.col("ck").alias("ckr"), "subset", F.col("res_num").alias("numr"), F.col("p").alias("r"))
-    inside = pair_energies.join(left, ["ckl", "numl"]).join(right, ["ckr", "numr", "subset"])
-    packed = inside.groupBy(F.col("ckl").alias("ck"), "subset").agg(
-        F.array_sort(F.collect_list(F.struct("l", "r", k.alias("k"), frac.alias("f")))).alias("q"), F.sum("e").alias("e"))
-    ready = (seqs.join(packed, ["ck", "subset"], "left")
-             .select("ck", "subset", "seq", F.col("q.l").alias("l"), F.col("q.r").alias("r"), F.col("q.k").alias("k"), F.col("q.f").alias("f"),
-                     F.coalesce("e", F.lit(0.0)).alias("e")))
+    cubes = {"linear": linear_cubes, "cubic": lambda p: cubic_cubes(p, width)}[form](potentials)
+    bins = cubes[-1].shape[2] - (form == "cubic")
+    sent = residues.sparkSession.sparkContext.broadcast(cubes)
+    if form == "linear":
+        k, h = bin_position(F.col("d"), width, bins)
+    else:
+        k, h = spline_position(F.col("d"), width, bins)
+    block = lambda c: F.floor(F.col(c) / DECOY_TILE).cast("int")
+    tile = ["ck", "bi", "bj"]
+    pairs = pair_energies.where("ckl = ckr").select(F.col("ckl").alias("ck"), F.least("numl", "numr").alias("i"), F.greatest("numl", "numr").alias("j"),
+                                                    k.cast("int").alias("k"), h.cast("double").alias("h"))
+    packed = pairs.groupBy("ck", block("i").alias("bi"), block("j").alias("bj")).agg(F.array_sort(F.collect_list(F.struct("i", "j", "k", "h"))).alias("_q"))
+    packed = packed.select(*tile, *[F.col(f"_q.{c}").alias(c) for c in "ijkh"])
+    known = members.select("ck", "subset", "res_num").distinct().join(residues.select("ck", "res_num", "aa"), ["ck", "res_num"])
+    listed = known.groupBy("ck", "subset").agg(F.array_sort(F.collect_list(F.struct("res_num", "aa"))).alias("_m"))
+    listed = listed.select("ck", "subset", F.col("_m.res_num").alias("nums"), F.array_join("_m.aa", "").alias("seq"))
+    held = F.array_distinct(F.transform("nums", lambda x: F.floor(x / DECOY_TILE).cast("int")))
+    seeds = F.sequence(F.lit(0), F.lit((n - 1) // SEEDS_AT_ONCE))
+    asked = listed.withColumn("bi", F.explode(held)).withColumn("bj", F.explode(held)).where("bi <= bj").withColumn("part", F.explode(seeds))
+    ready = spread(asked, *tile, "part").join(spread(packed.withColumn("part", F.explode(seeds)), *tile, "part"), [*tile, "part"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = {c: i for i, c in enumerate(LETTERS)}
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                stats = None
-                if row.e != 0:
-                    codes = np.array([index.get(c, 20) for c in row.seq])
-                    key = [seed, zlib.crc32(f"{row.ck}|{row.subset}".encode())]
-                    stats = decoy_stats(codes, np.asarray(row.l), np.asarray(row.r), np.asarray(row.k), np.asarray(row.f), cube.value,
-                                        n, max_identity, key)
-                mean, sd = stats or (None, None)
-                z = 0.0 if row.e == 0 else ((row.e - mean) / sd if sd else None)
-                out.append((row.ck, row.subset, row.e, mean, sd, z))
-            yield pd.DataFrame(out, columns=["ck", "subset", "e", "mean", "sd", "z"])
-
-    return ready.mapInPandas(run, "ck string, subset string, e double, mean double, sd double, z double")
+                nums, i, j = np.asarray(row.nums), np.asarray(row.i), np.asarray(row.j)
+                l, r = np.searchsorted(nums, i), np.searchsorted(nums, j)  # noqa: E741
+                inside = (nums[np.minimum(l, len(nums) - 1)] == i) & (nums[np.minimum(r, len(nums) - 1)] == j)
+                if not inside.any():
+                    continue
+                codes = np.array([index.get(c, 20) for c in row.seq])
+                some = min(SEEDS_AT_ONCE, n - row.part * SEEDS_AT_ONCE)
+                rng = np.random.default_rng([seed, zlib.crc32(f"{row.ck}|{row.subset}".encode()), row.part])
+                seqs = shuffled_codes(codes, some, max_identity, rng)
+                if seqs is not None:
+                    es = decoy_energies(seqs, l[inside], r[inside], np.asarray(row.k)[inside], np.asarray(row.h)[inside], sent.value)
+                    out.append((row.ck, row.subset, row.part, row.bi, row.bj, es))
+            yield pd.DataFrame(out, columns=["ck", "subset", "part", "bi", "bj", "es"])
+
+    drawn = ready.mapInPandas(run, "ck string, subset string, part int, bi int, bj int, es array<double>")
+    whole = drawn.groupBy("ck", "subset", "part").agg(F.array_sort(F.collect_list(F.struct("bi", "bj", "es"))).alias("_t"))
+    none = F.transform(F.get("_t", F.lit(0))["es"], lambda x: F.lit(0.0))
+    summed = F.aggregate("_t", none, lambda total, t: F.zip_with(total, t["es"], lambda x, y: x + y))
+    stats = whole.select("ck", "subset", F.explode(summed).alias("e")).groupBy("ck", "subset").agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("sd"))
+    rows = subset_energy(pair_energies, members).join(stats, ["ck", "subset"], "left")
+    live = F.col("e") != 0
+    z = F.when(~live, 0.0).when(F.col("sd") > 0, (F.col("e") - F.col("mean")) / F.col("sd"))
+    return rows.select("ck", "subset", "e", F.when(live, F.col("mean")).alias("mean"), F.when(live, F.col("sd")).alias("sd"), z.alias("z"))
 
 
 def aul_percent(z: Column) -> Column:

@@ -148,10 +148,9 @@ def test_decoy_energy_of_a_permutation():
     codes, cube = rng.integers(0, 20, 40), rng.random((21, 21, 150))
     l, r = np.triu_indices(40, 4)  # noqa: E741
     k, f = rng.integers(0, 150, len(l)), np.zeros(len(l))
-    mean, sd = P.decoy_stats(codes, l, r, k, f, cube, 300, 0.5, [1])
     seqs = P.shuffled_codes(codes, 300, 0.5, np.random.default_rng([1]))
     want = np.array([cube[s[l], s[r], k].sum() for s in seqs])
-    assert mean == pytest.approx(want.mean()) and sd == pytest.approx(want.std())
+    assert P.decoy_energies(seqs, l, r, k, f, [cube, cube]) == pytest.approx(want)
 
 
 def test_ambiguity(spark):
