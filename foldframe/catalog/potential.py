@@ -8,6 +8,7 @@ from foldframe.catalog.base import Input, query, r, rs
 from foldframe.operators import chain as CH
 from foldframe.operators import potential as P
 from foldframe.plans.fixtures import register_view
+from foldframe.session import written
 
 register_view("fx_pd", ("fx_res",), """select structure_id, case when la < ra then la || 'CA' || ra || 'CA' else ra || 'CA' || la || 'CA' end as pair, d,
     case when la < ra then lck else rck end as ckl, case when la < ra then rck else lck end as ckr,
@@ -159,7 +160,8 @@ def _(q: Input):
 @query("decoy_zscore")
 def _(q: Input):
     members = q.fx_res.select("ck", F.concat(F.lit("whole "), "ck").alias("subset"), "res_num")
-    z = P.decoy_zscore(scored(q), q.fx_res, members, trained(q))
+    potential = written(trained(q), "potential")
+    z = P.decoy_zscore(P.linear_energy(pairs(q, inter=False), potential), q.fx_res, members, potential)
     return z.select("ck", "subset", *[r(c, 4).alias(c) for c in ("e", "mean", "sd", "z")], P.aul_percent(F.col("z")).alias("aul"))
 
 

@@ -20,7 +20,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 #: Residue pairs whose energies for all residue types are tabled at a time.
 PAIRS_AT_ONCE = 4096
 #: Positions of a tile of pairs, and decoys drawn together.
-DECOY_TILE, SEEDS_AT_ONCE = 512, 250
+DECOY_TILE, SEEDS_AT_ONCE = 512, 500
 LETTERS = sorted(K.ONE_TO_THREE)
 
 
@@ -267,7 +267,17 @@ def runs_of(members: DataFrame) -> DataFrame:
 
 def subset_energy(pair_energies: DataFrame, members: DataFrame) -> DataFrame:
     """Energy of residue subsets (ck, subset, res_num): pairs of one chain with both ends inside, to nine digits."""
-    pairs = pair_energies.where("ckl = ckr").select(F.col("ckl").alias("ck"), F.least("numl", "numr").alias("i"), F.greatest("numl", "numr").alias("j"), F.col("e").alias("v"))
+    return energy_of(chain_pairs(pair_energies), members)
+
+
+def chain_pairs(pair_energies: DataFrame, *more: Column) -> DataFrame:
+    """Pairs of one chain in order of their numbers: ck, i, j, v (the energy)."""
+    low, high = F.least("numl", "numr").alias("i"), F.greatest("numl", "numr").alias("j")
+    return pair_energies.where("ckl = ckr").select(F.col("ckl").alias("ck"), low, high, F.col("e").alias("v"), *more)
+
+
+def energy_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Energy of each subset from pairs in the form of ``chain_pairs``, 0 where it has none."""
     sums = fragment_sums(pairs, runs_of(members)).withColumnRenamed("s", "e")
     return members.select("ck", "subset").distinct().join(sums, ["ck", "subset"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
 
@@ -366,8 +376,7 @@ def decoy_zscore(pair_energies: DataFrame, residues: DataFrame, members: DataFra
         k, h = spline_position(F.col("d"), width, bins)
     block = lambda c: F.floor(F.col(c) / DECOY_TILE).cast("int")
     tile = ["ck", "bi", "bj"]
-    pairs = pair_energies.where("ckl = ckr").select(F.col("ckl").alias("ck"), F.least("numl", "numr").alias("i"), F.greatest("numl", "numr").alias("j"),
-                                                    k.cast("int").alias("k"), h.cast("double").alias("h"))
+    pairs = written(chain_pairs(pair_energies, k.cast("int").alias("k"), h.cast("double").alias("h")), "decoy-pairs")
     packed = pairs.groupBy("ck", block("i").alias("bi"), block("j").alias("bj")).agg(F.array_sort(F.collect_list(F.struct("i", "j", "k", "h"))).alias("_q"))
     packed = packed.select(*tile, *[F.col(f"_q.{c}").alias(c) for c in "ijkh"])
     known = members.select("ck", "subset", "res_num").distinct().join(residues.select("ck", "res_num", "aa"), ["ck", "res_num"])
@@ -402,7 +411,7 @@ def decoy_zscore(pair_energies: DataFrame, residues: DataFrame, members: DataFra
     none = F.transform(F.get("_t", F.lit(0))["es"], lambda x: F.lit(0.0))
     summed = F.aggregate("_t", none, lambda total, t: F.zip_with(total, t["es"], lambda x, y: x + y))
     stats = whole.select("ck", "subset", F.explode(summed).alias("e")).groupBy("ck", "subset").agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("sd"))
-    rows = subset_energy(pair_energies, members).join(stats, ["ck", "subset"], "left")
+    rows = energy_of(pairs, members).join(stats, ["ck", "subset"], "left")
     live = F.col("e") != 0
     z = F.when(~live, 0.0).when(F.col("sd") > 0, (F.col("e") - F.col("mean")) / F.col("sd"))
     return rows.select("ck", "subset", "e", F.when(live, F.col("mean")).alias("mean"), F.when(live, F.col("sd")).alias("sd"), z.alias("z"))
