@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,29 +71,90 @@ def sphere_points(order: int = 2) -> list[tuple[float, float, float, float]]:
     return [(*map(float, unit(a + b + c)), float(w)) for (a, b, c), w in zip(faces, area, strict=True)]
 
 
+#: Side of the blocks of ``solvent_accessibility`` in reaches: an atom goes to its own block and those within a reach, two on average.
+BLOCK_REACHES = 8
+#: Atoms whose points are held against their neighbours together, and neighbours met at a time.
+ATOMS_AT_ONCE, PAIRS_MET = 512, 1 << 20
+
+
+def near_lists(own: np.ndarray, xyz: np.ndarray, rad: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows ``own`` of a block and, for each, the rows that may touch it, a bounded number of pairs at a time: two arrays of equal length."""
+    cell = np.floor((xyz - xyz.min(axis=0)) / reach).astype(np.int64) + 1
+    ny, nz = cell[:, 1].max() + 2, cell[:, 2].max() + 2
+    code = (cell[:, 0] * ny + cell[:, 1]) * nz + cell[:, 2]
+    order = np.argsort(code, kind="stable")
+    ranked = code[order]
+    # the three cells along z are one run of codes, so nine runs hold the neighbours
+    steps = np.array([(dx * ny + dy) * nz for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    first = np.searchsorted(ranked, code[own][:, None] + steps - 1)
+    count = np.searchsorted(ranked, code[own][:, None] + steps + 1, side="right") - first
+    ends = np.cumsum(count.sum(axis=1))
+    at = 0
+    while at < len(own):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, min(at + ATOMS_AT_ONCE, int(np.searchsorted(ends, base + PAIRS_MET, side="right"))))
+        n = count[at:to].ravel()
+        run = np.repeat(first[at:to].ravel() - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        left, right = np.repeat(own[at:to], count[at:to].sum(axis=1)), order[run]
+        d2 = ((xyz[right] - xyz[left]) ** 2).sum(axis=1)
+        touch = (d2 > 1e-6) & (d2 < (rad[left] + rad[right]) ** 2)
+        yield left[touch], right[touch]
+        at = to
+
+
+def free_shares(own: np.ndarray, xyz: np.ndarray, rad: np.ndarray, reach: float, points: np.ndarray) -> np.ndarray:
+    """Share of 4 pi of each row of ``own`` that no neighbour covers, from the points (x, y, z, share) of the unit sphere."""
+    share = np.full(len(xyz), points[:, 3].sum())
+    for left, right in near_lists(own, xyz, rad, reach):
+        if not len(left):
+            continue
+        gap = xyz[right] - xyz[left]
+        limit = (rad[left] ** 2 - rad[right] ** 2 + (gap ** 2).sum(axis=1)) / (2 * rad[left])
+        starts = np.flatnonzero(np.diff(left, prepend=-1))
+        step = max(1, PAIRS_MET // len(points))
+        hidden = np.zeros((len(starts), len(points)), bool)
+        atom = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(left))))
+        for lo in range(0, len(left), step):
+            covers = gap[lo:lo + step] @ points[:, :3].T > limit[lo:lo + step, None]
+            here = atom[lo:lo + step]
+            cut = np.flatnonzero(np.diff(here, prepend=-1))
+            hidden[here[cut]] |= np.logical_or.reduceat(covers, cut, axis=0)
+        share[left[starts]] = (~hidden) @ points[:, 3]
+    return share[own]
+
+
 def solvent_accessibility(atoms: DataFrame) -> DataFrame:
     """Accessible area per residue, rounded: points on each atom's enlarged sphere that no neighbour covers.
 
-    Neighbours are all atoms of the same structure and model, whatever their chain; they come from a grid join. The fixed
-    point set is a literal, so no point ever becomes a row.
+    Neighbours are all atoms of the same structure and model, whatever their chain. Space is cut into blocks; an atom goes to its own block and
+    to those within a reach of it, so a block finds its atoms' neighbours and areas alone and only areas are shuffled after it. Points and
+    neighbours are met a bounded number at a time.
     """
     keys = entry_keys(atoms) or ["ck"]
     radius = codes.lookup({k: v + K.RADIUS_WATER for k, v in K.RADII.items()}, F.col("atom_name"), K.RADIUS_SIDE + K.RADIUS_WATER)
-    a = atoms.where(F.col("element") != "H").select(*dict.fromkeys([*keys, "ck"]), "res_num", "serial", "x", "y", "z", radius.alias("rad"))
+    a = atoms.where(F.col("element") != "H").select(*dict.fromkeys([*keys, "ck"]), "res_num", "x", "y", "z", radius.alias("rad"))
     reach = 2 * (max(*K.RADII.values(), K.RADIUS_SIDE) + K.RADIUS_WATER)
-    d2 = sum(((F.col(f"r.{c}") - F.col(f"l.{c}")) * (F.col(f"r.{c}") - F.col(f"l.{c}")) for c in "xyz"), F.lit(0.0))
-    touch = (d2 > 1e-6) & (d2 < (F.col("l.rad") + F.col("r.rad")) * (F.col("l.rad") + F.col("r.rad")))
-    met = near_pairs(a, a, keys, reach, touch)
-    shade = F.struct(*[(F.col(f"r.{c}") - F.col(f"l.{c}")).alias(c) for c in "xyz"],
-                     ((F.col("l.rad") * F.col("l.rad") - F.col("r.rad") * F.col("r.rad") + d2) / (2 * F.col("l.rad"))).alias("t"))
-    lit = met.select(*keys, F.col("l.serial").alias("serial"), shade.alias("s"))
-    shades = spread(lit, *keys, "serial").groupBy(*keys, "serial").agg(F.collect_list("s").alias("n"))
-    dots = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"), F.lit(w).alias("w")) for x, y, z, w in sphere_points()])
-    free = F.filter("dots", lambda p: ~F.exists("n", lambda s: p["x"] * s["x"] + p["y"] * s["y"] + p["z"] * s["z"] > s["t"]))
-    covered = a.join(shades, [*keys, "serial"], "left").withColumn("n", F.coalesce("n", F.array().cast("array<struct<x:double,y:double,z:double,t:double>>")))
-    area = F.aggregate(free, F.lit(0.0), lambda acc, p: acc + p["w"]) * F.col("rad") * F.col("rad")
-    return (covered.withColumn("dots", dots).select("ck", "res_num", area.alias("area")).groupBy("ck", "res_num")
-            .agg(F.floor(F.sum("area") + 0.5).cast("int").alias("area")))
+    side = BLOCK_REACHES * reach
+    block = lambda c, d: F.floor((F.col(c) + d) / side).cast("int")
+    for c in "xyz":
+        a = a.withColumn(f"_g{c}", F.explode(F.sequence(block(c, -reach), block(c, reach))))
+    own = F.lit(True)
+    for c in "xyz":
+        own = own & (F.col(f"_g{c}") == block(c, 0))
+    cells = [*keys, "_gx", "_gy", "_gz"]
+    sent = a.select(*cells, *[F.when(own, F.col(c)).alias(f"_{c}") for c in ("ck", "res_num")], "x", "y", "z", "rad")
+    points = np.array(sphere_points())
+
+    def run(block: pa.Table) -> pa.Table:
+        mine = np.flatnonzero(block["_res_num"].is_valid().to_numpy())
+        rad = block["rad"].to_numpy()
+        xyz = np.stack([block[c].to_numpy() for c in "xyz"], axis=1)
+        area = free_shares(mine, xyz, rad, reach, points) * rad[mine] ** 2 if len(mine) else np.zeros(0)
+        return pa.table({"ck": block["_ck"].take(mine), "res_num": block["_res_num"].take(mine), "area": area})
+
+    kind = a.schema["res_num"].dataType.simpleString()
+    areas = spread(sent, *cells).groupBy(*cells).applyInArrow(run, f"ck string, res_num {kind}, area double")
+    return areas.groupBy("ck", "res_num").agg(F.floor(F.sum("area") + 0.5).cast("int").alias("area"))
 
 
 def exposed_residues(areas: DataFrame, residues: DataFrame, limit: float = 0.25, exposed: bool = True) -> DataFrame:
