@@ -48,9 +48,7 @@ def neighbours_around(atoms: DataFrame, centres: DataFrame, dist: float, ca_limi
     with_ca = atoms.select(*entry_keys(atoms), "ck", "res_num", "x", "y", "z").join(ca, ["ck", "res_num"])
     mid = with_ca.join(centres.select("ck", "res_num").distinct(), ["ck", "res_num"], "left_semi")
     other = (F.col("l.ck") != F.col("r.ck")) | (F.col("l.res_num") != F.col("r.res_num"))
-    point = lambda s: G.point(f"{s}.x", f"{s}.y", f"{s}.z")
-    close = (G.distance(point("l"), point("r")) <= dist) & (G.distance(F.col("l.ca"), F.col("r.ca")) <= ca_limit)
-    return (near_pairs(mid, with_ca, entry_keys(atoms), dist, other & close)
+    return (near_pairs(mid, with_ca, entry_keys(atoms), dist, other & (G.distance(F.col("l.ca"), F.col("r.ca")) <= ca_limit))
             .select("structure_id", F.col("l.ck").alias("centre_ck"), F.col("l.res_num").alias("centre"), F.col("r.ck").alias("ck"),
                     F.col("r.res_num").alias("res_num")).distinct())
 
