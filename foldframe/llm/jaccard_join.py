@@ -13,16 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldframe.llm.components import components
-from foldframe.llm.work import Work, blank_words, slices
+from foldframe.llm.work import Work, among, blank_words, slices
 
 #: Shingles counted together while common ones are looked for, and the count from which one is reported.
 COUNTED_TOGETHER, REPORTED_FROM = 1 << 22, 2
 #: Places in the order of common shingles, which is sent to every task (12 bytes a place).
 COMMON = 1 << 20
+#: Parts of the shingles that are dealt out one after another, so that a part's shuffles are gone before the next one's are written.
+PARTS = 3
 #: Rows of a tile's block; a tile of more rows is compared block against block in separate tasks.
 BLOCK = 1024
 #: Bits for each shingle of a cell's largest set, and bits of all bitmaps of a cell at most; fewer bits let more pairs through to exact work.
 BITS, MAP_BITS = 16, 1 << 29
+#: What names a cell: the rows of one or two blocks of a tile that are compared in one task.
+CELL = ["lo", "band", "kind", "x", "y"]
 #: Keys over which the rows of a tile are dealt while they learn its size.
 SALTS = 64
 
@@ -178,12 +182,13 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, work: Work, tag: str) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets link, by exact intersection of the sorted arrays.
 
-    A node's text is that of the row with its id and its text's hash. Only texts that occur in a pair are shuffled. A node in very many pairs (the first of a group of copies) is a hot join key
+    A node's text is that of the row with its id and its text's hash. Hardly any but the texts that occur in a pair are shuffled. A node in very many pairs (the first of a group of copies) is a hot join key
     that Spark may split; its set is computed once in each run of equal keys.
     """
     pairs = work.keep(pairs, f"{tag}-pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "code"), "node")
-    texts = work.keep(docs.join(met, ["id", "code"]).select("node", "text"), f"{tag}-texts")
+    met = work.keep(met, f"{tag}-met")
+    texts = work.keep(among(docs, met, "id", "code").join(met, ["id", "code"]).select("node", "text"), f"{tag}-texts")
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -201,7 +206,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, nu
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = work.keep(rows.mapInArrow(run, "a long, b long"), f"{tag}-links")
-    work.drop(f"{tag}-pairs", f"{tag}-texts")
+    work.drop(f"{tag}-pairs", f"{tag}-met", f"{tag}-texts")
     return links
 
 
@@ -239,13 +244,62 @@ def cell_links(sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right
     return out
 
 
+def open_rows(n: np.ndarray, maps: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Which rows of a cell have a partner of another component whose bitmap leaves room for a link (``left``, ``right`` as for ``cell_links``)."""
+    words = min(map(len, maps))
+    maps = np.stack([fold(m, words) for m in maps])
+    found = np.zeros(len(n), bool)
+    for at, i in enumerate(left.tolist()):
+        j = left[at + 1 :] if right is None else right
+        if found[i]:
+            j = j[~found[j]]
+        j = j[(comp[j] != comp[i]) & (n[j] * den >= n[i] * num) & (n[i] * den >= n[j] * num)]
+        if not len(j):
+            continue
+        u, v = maps[i], maps[j]
+        most = np.minimum(n[i] - np.bitwise_count(u & ~v).sum(1, dtype=np.int64), n[j] - np.bitwise_count(v & ~u).sum(1, dtype=np.int64))
+        j = j[enough(n[i], n[j], most, num, den)]
+        found[j] = True
+        found[i] |= len(j) > 0
+    return found
+
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray | None]]:
+    """The rows of each cell in sorted batches, with the rows to be held against each other; cells without two components are left out."""
+
+    def cell(t: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray | None]]:
+        side, comp = (t.column(c).to_numpy() for c in ("side", "component"))
+        within = t.column("kind")[0].as_py() == 0 and t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        left, right = (np.arange(t.num_rows), None) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if comp.min() < comp.max() and len(left) and (right is None or len(right)):
+            yield t, left, right
+
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        t = pa.Table.from_batches([*rest, batch])
+        change = np.zeros(t.num_rows, bool)
+        for c in CELL:
+            col = t.column(c).to_numpy()
+            change[1:] |= col[1:] != col[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(change)))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if b - a > 1:
+                yield from cell(t.slice(a, b - a))
+        rest = t.slice(starts[-1]).to_batches()
+    if rest:
+        t = pa.Table.from_batches(rest)
+        if t.num_rows > 1:
+            yield from cell(t)
+
+
 def tile_links(docs: DataFrame, tagged: DataFrame, nodes: DataFrame, words: int, num: int, den: int, work: Work) -> DataFrame:
     """tagged(shingle, node, component, n) to links (a, b) between different components, enough to join all that belong together.
 
     A tile holds the sets with one shingle and a size of one band; sets of the band below come as guests, so sets whose sizes allow
     a link meet in one tile. Tiles of a band with the same smallest component are laid together: sets that share many shingles then
-    meet once, not once a shingle. Only tiles with several components get their texts. A tile beyond BLOCK rows is dealt out as
-    pairs of blocks, each compared in a task of its own. A cell intersects exactly and returns fewer links than it has rows.
+    meet once, not once a shingle. A tile beyond BLOCK rows is dealt out as pairs of blocks, each compared in a task of its own. A cell
+    is compared by its rows' bitmaps first, and only rows that have a partner there get their texts and meet again; then it intersects
+    exactly and returns fewer links than it has rows.
     """
     step = math.log(den / num) * 1.0001  # sizes that allow a link are less than one band apart
     band = F.floor(F.log("n") / F.lit(step))
@@ -257,50 +311,40 @@ def tile_links(docs: DataFrame, tagged: DataFrame, nodes: DataFrame, words: int,
     # Tiles beyond one block are at most one in BLOCK rows; their sizes are laid out once for each salt, so no tile's rows come together here.
     large = met.groupBy("lo", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    held = nodes.select("node", "id", "code").join(met.select("node").distinct(), "node")
-    texts = work.keep(docs.join(held, ["id", "code"]).groupBy("node").agg(F.first("text").alias("text")), "tile-texts")
-    rows = met.join(large, ["lo", "band", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(texts, "node")
+    rows = met.join(large, ["lo", "band", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(nodes.select("node", "n", "bits"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
     own = F.flatten(F.transform(others, lambda j: F.array(cell(0, F.least("block", j), F.greatest("block", j), F.col("block") > j), cell(1, F.col("block"), j, F.lit(0)))))
-    cells = F.when(F.col("guest") == 0, own).otherwise(F.transform(others, lambda j: cell(1, j, F.col("block"), F.lit(1))))
-    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(cells)).select("lo", "band", "cell.*", "node", "component", "text")
-    key = ["lo", "band", "kind", "x", "y"]
-    ordered = dealt.repartition(*key).sortWithinPartitions(*key, "node")
+    places = F.when(F.col("guest") == 0, own).otherwise(F.transform(others, lambda j: cell(1, j, F.col("block"), F.lit(1))))
+    dealt = rows.withColumn("block", block).withColumn("cell", F.explode(places)).select("lo", "band", "cell.*", "node", "component", "n", "bits")
+    ordered = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL, "node")
+    kept = [*CELL, "side", "node", "component"]
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, left, right in cells(batches):
+            maps = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
+            found = open_rows(t.column("n").to_numpy(), maps, t.column("component").to_numpy(), left, right, num, den)
+            if found.any():
+                yield from t.select(kept).filter(pa.array(found)).to_batches()
+
+    near = dealt.select(*kept, "n", "bits")
+    near = work.keep(ordered(near).mapInArrow(bounded, near.select(*kept).schema), "open")
+    work.drop("met")
+    held = work.keep(nodes.select("node", "id", "code").join(near.select("node").distinct(), "node"), "tile-nodes")
+    texts = work.keep(among(docs, held, "id", "code").join(held, ["id", "code"]).groupBy("node").agg(F.first("text").alias("text")), "tile-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, rest = Shingler(words), []
-
-        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            side, ids, comp = (t.column(c).to_numpy() for c in ("side", "node", "component"))
-            within = t.column("kind")[0].as_py() == 0 and t.column("x")[0].as_py() == t.column("y")[0].as_py()
-            left, right = (np.arange(len(ids)), None) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            if comp.min() == comp.max() or not len(left) or (right is not None and not len(right)):
-                return
+        cut = Shingler(words)
+        for t, left, right in cells(batches):
+            ids, comp = (t.column(c).to_numpy() for c in ("node", "component"))
             found = cell_links([cut(x) for x in t.column("text").to_pylist()], comp.copy(), left, right, num, den)
             if found:
                 a, b = ids[np.array(found).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([*rest, batch])
-            change = np.zeros(t.num_rows, bool)
-            for c in key:
-                col = t.column(c).to_numpy()
-                change[1:] |= col[1:] != col[:-1]
-            starts = np.concatenate(([0], np.flatnonzero(change)))
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a > 1:
-                    yield from compare(t.slice(a, b - a))
-            rest = t.slice(starts[-1]).to_batches()
-        if rest:
-            t = pa.Table.from_batches(rest)
-            if t.num_rows > 1:
-                yield from compare(t)
-
-    links = work.keep(ordered.mapInArrow(run, "a long, b long"), "tile-links")
-    work.drop("tile-texts")
+    links = work.keep(ordered(near.join(texts, "node").select(*kept, "text")).mapInArrow(run, "a long, b long"), "tile-links")
+    work.drop("open", "tile-nodes", "tile-texts")
     return links
 
 
@@ -324,10 +368,19 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = work.keep(signatures(rows, words, num, den, work), "signed")
     named = signed.where("n > 0 and id is not null")
     whole = named.groupBy("same").agg(F.min_by(F.struct("id", "code", "n", "first", "bits"), F.struct("id", "code")).alias("v"))
-    nodes = work.keep(whole.select("same", "v.*", F.monotonically_increasing_id().alias("node")), "nodes")
-    postings = nodes.where(F.size("first") > 0).select("node", "n", F.explode("first").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("shingle")
-    tagged = work.keep(postings.join(shared, "shingle").withColumn("component", F.col("node")), "tiles-0")
+    nodes = work.keep(whole.select("same", "v.*", F.monotonically_increasing_id().alias("node")), "nodes-0")
+    signed = work.keep(signed.select("id", "n", "same"), "sets")
+    named = signed.where("n > 0 and id is not null")
+    work.drop("signed")
+    postings, parts = nodes.where(F.size("first") > 0).select("node", "n", F.explode("first").alias("shingle")), []
+    for k in range(PARTS):
+        part = postings.where(F.pmod("shingle", F.lit(PARTS)) == k)
+        shared = part.groupBy("shingle").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("shingle")
+        parts.append(work.keep(part.join(shared, "shingle").withColumn("component", F.col("node")), f"tiles-0-{k}"))
+        work.drop()
+    tagged = reduce(DataFrame.unionByName, parts)
+    nodes = work.keep(nodes.drop("first"), "nodes")
+    work.drop("nodes-0")
 
     # Sets of one id belong together.
     several = named.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("id")
@@ -342,7 +395,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         group = work.keep(components(reduce(DataFrame.unionByName, links), work, f"groups-{k}"), f"group-{k}")
         told = tagged.drop("component").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         tagged = work.keep(told, f"tiles-{k}")
-        work.drop(f"tiles-{k - 1}")
+        work.drop(*([f"tiles-0-{part}" for part in range(PARTS)] if k == 1 else [f"tiles-{k - 1}"]))
 
     across = tile_links(rows, tagged, nodes, words, num, den, work)
     of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
@@ -361,4 +414,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The input's rows and columns with one document of each component: that with the smallest id. Null ids stay."""
     found = shingle_components(docs, id_col, text_col, words, num, den)
     drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    drop = Work(docs.sparkSession, "near").keep(drop, "gone")
+    rows = docs.withColumn("__gone", F.col(id_col).cast("long"))
+    # Only the few rows that share a bit with one that goes are dealt out.
+    stay = among(rows, drop, "__gone").join(drop, "__gone", "left_anti")
+    return among(rows, drop, "__gone", out=True).unionByName(stay).drop("__gone")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foldframe.llm import jaccard_join as J
 from foldframe.llm import suffix_decontam as D
+from foldframe.llm import work
 from foldframe.llm.exact_dedup import drop_exact_copies, exact_groups
 
 ROWS = "doc_id long, text string, keep_id string, id long, n int"
@@ -233,3 +234,35 @@ def test_a_cell_of_near_copies_returns_fewer_links_than_rows():
         assert [len(set(root[[k for k in comp if comp[k] == c]])) for c in set(comp.values())] == [1] * len(set(comp.values()))
         if joined is not None:
             assert bool(links) == joined
+
+
+def test_only_sets_that_may_link_get_their_texts(spark, monkeypatch):
+    """Sets that share a rare shingle without being alike are told apart by their bitmaps: no text of theirs is dealt out, nor kept beside the ids."""
+    kept, keep = {}, work.Work.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = (out.count(), out.columns)
+        return out
+
+    monkeypatch.setattr(work.Work, "keep", counted)
+    monkeypatch.setattr(J, "COMMON", 0)  # shared shingles are not put last
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, " ".join(f"w{i}-{j}" for j in range(30)) + " " + passage) for i in range(12)] + [(50, " ".join(f"u{j}" for j in range(60)))]
+    rows.append((51, rows[-1][1] + " end"))
+    assert sorted(r.doc_id for r in J.drop_near_copies(frame(spark, rows)).collect()) == [*range(12), 50]
+    assert kept["met"][0] > 2 and kept["open"][0] == kept["tile-texts"][0] == 0
+    assert kept["star-1-texts"][0] == 2
+    assert "bits" not in kept["sets"][1] and "first" not in kept["nodes"][1]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_a_small_filter_lets_more_rows_through_and_none_too_few(spark, monkeypatch, bits):
+    monkeypatch.setattr(work, "FILTER_BITS", bits)
+    rows = spark.range(1000).selectExpr("id", "concat('t', id) as t").union(spark.createDataFrame([(None, "null")], "id long, t string"))
+    wanted = rows.where("id % 7 = 0")
+    some, others = (sorted(str(r.id) for r in work.among(rows, wanted, "id", "t", out=x).collect()) for x in (False, True))
+    assert {str(x) for x in range(0, 1000, 7)} <= set(some) and sorted(some + others) == sorted(str(r.id) for r in rows.collect())
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = frame(spark, [(7, text), (7, text), (3, text + " end"), (None, text), (8, "else"), (None, None)])
+    assert sorted(str(r.doc_id) for r in J.drop_near_copies(docs).collect()) == ["3", "8", "None", "None"]
